@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairn.llm import encode, mixture, mojibake, neighbours, rank, split, syntax
+from cairn.llm import encode, mixture, mojibake, neighbours, provenance, rank, split, syntax
 from cairn.session import table
 
 
@@ -26,6 +26,14 @@ def p4_found(spark, d):
     return pairs.select("symbol_id_a", "symbol_id_b")
 
 
+def p6_files(spark, d):
+    return provenance.find_foreign(table(spark, d, "file_contents"), table(spark, d, "files"))
+
+
+def p6_found(spark, d):
+    return provenance.find_foreign(table(spark, d, "file_contents"), table(spark, d, "files")).select("file_id")
+
+
 def p7_flags(spark, d):
     return syntax.flag_files(table(spark, d, "file_contents"))
 
@@ -58,7 +66,7 @@ def p10_restored(spark, d):
     return mojibake.repair_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_ranking, p4_found, p7_found, p7_flags, p7_rates, p8_ids, p9_mixture, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_ranking, p4_found, p6_found, p6_files, p7_found, p7_flags, p7_rates, p8_ids, p9_mixture, p9_shares, p10_found, p10_restored)}
 
 SQL = {
     "p2_found": "SELECT DISTINCT symbol_id, chunk_index FROM symbol_chunks WHERE length(embed_text) > 800",
