@@ -2,10 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from cairn.llm import encode, mixture, mojibake, neighbours, provenance, rank, split, syntax
+from cairn.llm import docpairs, encode, mixture, mojibake, neighbours, provenance, rank, split, syntax
 from cairn.session import table
 
 
+def p1_pairs(spark, d):
+    return docpairs.pairs_with_code(table(spark, d, "symbols"))
+
+
+def p1_found(spark, d):
+    return docpairs.pair_documentation(table(spark, d, "symbols")).select("symbol_id")
+
+
 def p2_pieces(spark, d):
     """All pieces of all oversized chunks, renumbered within their symbol."""
     return split.renumber(split.split_items(table(spark, d, "symbol_chunks")))
@@ -66,7 +74,7 @@ def p10_restored(spark, d):
     return mojibake.repair_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_ranking, p4_found, p6_found, p6_files, p7_found, p7_flags, p7_rates, p8_ids, p9_mixture, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p3_ranking, p4_found, p6_found, p6_files, p7_found, p7_flags, p7_rates, p8_ids, p9_mixture, p9_shares, p10_found, p10_restored)}
 
 SQL = {
     "p2_found": "SELECT DISTINCT symbol_id, chunk_index FROM symbol_chunks WHERE length(embed_text) > 800",
