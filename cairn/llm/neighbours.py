@@ -42,7 +42,7 @@ class Index:
     width: float = 3.0
     probes: int = 7
     seed: int = 7
-    hamming: int = 19
+    hamming: int = 17
 
     def projections(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         rng = np.random.default_rng(self.seed)
@@ -52,27 +52,34 @@ class Index:
         return a, b, mix, rng.normal(size=(self.dim, SKETCH))
 
     @staticmethod
-    def fit(n: int, min_cosine: float, *, dim: int = DIM, recall: float = 0.97, at: float | None = None, width: float = 3.0, probes: int = 7, seed: int = 7) -> Index:
+    def fit(n: int, min_cosine: float, *, dim: int = DIM, recall: float = 0.97, at: float | None = None, seed: int = 7) -> Index:
         """Functions so that unrelated vectors meet about 4 times per bucket, tables so that a pair with
-        cosine ``at`` (default: a third of the way from min_cosine to 1) is met with probability ``recall``."""
+        cosine ``at`` (default: a third of the way from min_cosine to 1) is met with probability ``recall``;
+        width and probes so that the rows to shuffle, tables * (1 + probes), are fewest. All of this is
+        estimated on random vectors, not on the data. The sketch may differ in as many bits as a pair with
+        exactly min_cosine does, plus three deviations."""
         rng = np.random.default_rng(seed)
-        x, y, u = rng.normal(size=20000), rng.normal(size=20000), rng.uniform(size=20000)
-        same = max(1e-6, float(np.mean(np.floor(x / width + u) == np.floor(y / width + u))))
-        functions = max(4, math.ceil(math.log(max(n, 16) / 4) / -math.log(same)))
         at = min_cosine + (1 - min_cosine) / 3 if at is None else at
-        trial = Index(dim, 1, functions, width, probes, seed)
-        v = rng.normal(size=(4000, dim))
+        v, g = rng.normal(size=(3000, dim)), rng.normal(size=(3000, dim))
         v /= np.linalg.norm(v, axis=1, keepdims=True)
-        g = rng.normal(size=v.shape)
         g -= (g * v).sum(1, keepdims=True) * v
-        g /= np.linalg.norm(g, axis=1, keepdims=True)
-        w = at * v + math.sqrt(1 - at * at) * g
-        (kv, _), (kw, _) = buckets(trial, v), buckets(trial, w)
-        met = (kv[:, 0, :] == kw[:, 0, :1]).any(1) | (kw[:, 0, :] == kv[:, 0, :1]).any(1)
-        p = min(0.999, max(0.01, float(met.mean())))
-        tables = max(2, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+        w = at * v + math.sqrt(1 - at * at) * g / np.linalg.norm(g, axis=1, keepdims=True)
+        x, y, u = rng.normal(size=(3, 20000))
+        u -= np.floor(u)
+        best = None
+        for width in (2.0, 3.0, 4.5):
+            same = min(0.999, max(1e-6, float(np.mean(np.floor(x / width + u) == np.floor(y / width + u)))))
+            functions = max(4, math.ceil(math.log(max(n, 16) / 4) / -math.log(same)))
+            for probes in (0, 1, 2, 3, 4, 6, 8, 12):
+                trial = Index(dim, 4, functions, width, probes, seed)
+                (kv, _), (kw, _) = buckets(trial, v), buckets(trial, w)
+                met = (kv == kw[:, :, :1]).any(2) | (kw == kv[:, :, :1]).any(2)
+                p = min(0.999, max(0.005, float(met.mean())))
+                tables = max(2, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+                if best is None or tables * (1 + probes) < best[0]:
+                    best = (tables * (1 + probes), tables, functions, width, probes)
         angle = math.acos(min_cosine) / math.pi
-        return Index(dim, tables, functions, width, probes, seed, math.ceil(SKETCH * angle + 3.6 * math.sqrt(SKETCH * angle * (1 - angle))))
+        return Index(dim, *best[1:], seed, math.floor(SKETCH * angle + 3 * math.sqrt(SKETCH * angle * (1 - angle))))
 
 
 def buckets(index: Index, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +103,7 @@ def buckets(index: Index, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         own = (q * mix).sum(2) + np.arange(index.tables, dtype=np.int64) * 0x9E3779B97F4A7
         change = np.take_along_axis(step * mix, at, 2)  # what one step of a coordinate adds to the key
-        order = np.argpartition(score @ member.T, probes - 1, axis=2)[:, :, :probes]
+        order = np.argpartition(score @ member.T, max(0, probes - 1), axis=2)[:, :, :probes]
         moved = change @ member.T.astype(np.int64)
         keys = np.concatenate([own[:, :, None], own[:, :, None] + np.take_along_axis(moved, order, 2)], axis=2)
     sketch = ((v @ planes) > 0) @ (np.int64(1) << np.arange(SKETCH, dtype=np.int64))
