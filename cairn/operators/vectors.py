@@ -20,18 +20,45 @@ def vector_leg(vectors: DataFrame, queries: DataFrame, *, min_cosine: float = 0.
 
     Dot products are clamped to [0, 1]; vectors of another length, NULL or with NaN are skipped; the gate is
     inclusive. Of a symbol's chunks the best counts, on ties the one that starts first. ``queries`` holds
-    ``query`` and ``vec``; it is counted, and beyond MAX_QUERIES refused, because it is sent to every task.
+    ``query`` and ``vec``; their number is checked, because they go to every task as one matrix. Each Arrow
+    batch keeps at most k rows per query and symbol run, so what is shuffled does not grow with the gate.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+    rows = queries.select(query, "vec").where("vec is not null").limit(MAX_QUERIES + 1).collect()
+    if len(rows) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} query vectors; run them in slices")
-    pairs = vectors.crossJoin(F.broadcast(queries.select(query, "vec")))
-    scored = pairs.withColumn("cosine", clamp(dot(F.col("embedding"), F.col("vec")))).where((F.col("cosine") >= min_cosine) & ~F.isnan("cosine"))
+    by_dim: dict[int, tuple[list, list]] = {}
+    for r in rows:
+        ids, vecs = by_dim.setdefault(len(r["vec"]), ([], []))
+        ids.append(r[query])
+        vecs.append(r["vec"])
+    sides = {d: (np.array(ids), np.array(vecs, dtype=np.float64)) for d, (ids, vecs) in by_dim.items()}
+    kind = dict(queries.dtypes)[query]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            sizes = p.embedding.map(lambda v: -1 if v is None else len(v)).to_numpy()
+            for dim, (ids, q) in sides.items():
+                part = p[sizes == dim]
+                for lo in range(0, len(part), 4096):
+                    some = part.iloc[lo : lo + 4096]
+                    cosine = np.clip(np.stack(some.embedding.to_numpy()).astype(np.float64) @ q.T, 0.0, 1.0)
+                    i, j = np.nonzero(cosine >= min_cosine)  # NaN is never above
+                    out = some.iloc[i][["symbol_id", "chunk_index", "start_line", "end_line"]].assign(**{query: ids[j], "cosine": cosine[i, j]})
+                    out = out.sort_values(["cosine", "start_line", "chunk_index"], ascending=[False, True, True]).drop_duplicates([query, "symbol_id"])
+                    yield out.sort_values(["cosine", "symbol_id"], ascending=[False, True]).groupby(query, sort=False).head(k)[[query, "symbol_id", "chunk_index", "start_line", "end_line", "cosine"]]
+
+    scored = vectors.select("symbol_id", "chunk_index", "start_line", "end_line", "embedding").mapInPandas(run, f"{query} {kind}, symbol_id long, chunk_index long, start_line long, end_line long, cosine double")
     one = Window.partitionBy(query, "symbol_id").orderBy(F.col("cosine").desc(), "start_line", "chunk_index")
     best = scored.withColumn("_n", F.row_number().over(one)).where("_n = 1")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("cosine").desc(), "symbol_id"))).where(F.col("rank") <= k)
     return ranked.select(query, "symbol_id", "chunk_index", "start_line", "end_line", "cosine", "rank")
 
 
+def similarity(vectors: DataFrame, vec: list[float]) -> DataFrame:
+    """Native form for one query vector: the clamped dot product as a column."""
+    return vectors.withColumn("cosine", clamp(dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vec]))))
+
+
 class Encoder:
     """Turns texts into unit vectors. ``load`` returns a function from a list of texts to a matrix; it is
     called once per Python worker. ``prefix`` goes before queries only."""
