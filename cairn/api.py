@@ -13,7 +13,7 @@ from cairn.functions.params import Bm25Params, HybridParams
 from cairn.functions.text import lines
 from cairn.operators import chunk, fusion, graph, lexical, vectors
 from cairn.session import reach_workers
-from cairn.sources.workspace import index_location, read_workspace, root_of_uri
+from cairn.sources.workspace import as_text, index_location, read_workspace, root_of_uri
 from cairn.store import Store, scan_records
 
 SNIPPETS, SNIPPET_LINES, SNIPPET_BYTES = 5, 40, 2400
@@ -41,9 +41,8 @@ class Engine:
     def index(self) -> dict:
         """Scans the workspace: only changed files are parsed, files that went are pruned."""
         scan = read_workspace(self.spark, self.root)
-        raw = scan.withColumn("content", F.decode("content", "UTF-8"))
-        copy = {r["key"]: r["value"] for r in chunk.locale_dictionary(read_workspace(self.spark, self.root, everything=True).withColumn("content", F.decode("content", "UTF-8"))).collect()}  # one workspace's dictionary
-        self.store.apply(scan_records(scan), keep=raw.select("path"), i18n=copy or None)
+        copy = {r["key"]: r["value"] for r in chunk.locale_dictionary(read_workspace(self.spark, self.root, everything=True).withColumn("content", as_text(F.col("content")))).collect()}  # one workspace's dictionary
+        self.store.apply(scan_records(scan), keep=scan.select("path"), i18n=copy or None)
         if self.encoder is not None:
             self.store.embed_pending(self.encoder)
         return self.status()
@@ -87,7 +86,7 @@ class Engine:
 
     def attach_snippets(self, results: DataFrame) -> DataFrame:
         """Lines of the first five results, at most 40 lines and 2400 bytes, cut between characters."""
-        files = read_workspace(self.spark, self.root).select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("_text"))
+        files = read_workspace(self.spark, self.root).select(F.col("path").alias("file_path"), as_text(F.col("content")).alias("_text"))
         wanted = F.greatest(F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(SNIPPET_LINES)), F.lit(0)).cast("int")
         text = F.array_join(F.slice(lines(F.col("_text")), F.greatest(F.col("start_line"), F.lit(1)).cast("int"), wanted), "\n")
         size = lambda n: F.octet_length(F.substring(text, 1, n)) <= SNIPPET_BYTES

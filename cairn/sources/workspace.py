@@ -213,10 +213,14 @@ def read_workspace(spark: SparkSession, root: str, *, everything: bool = False,
     return spark.read.format("cairn_workspace").option("path", root).option("batch", str(batch)).option("all", str(everything).lower()).load()
 
 
+def as_text(content):
+    """Bytes as text, NULL where they are no UTF-8."""
+    return F.try_validate_utf8(content.cast("string"))
+
+
 def decode_text(files: DataFrame) -> DataFrame:
     """``content`` as text: files whose bytes are no UTF-8 are left out; oversized ones keep NULL."""
-    ok = F.col("content").isNull() | F.is_valid_utf8(F.decode("content", "UTF-8")) & (F.encode(F.decode("content", "UTF-8"), "UTF-8") == F.col("content"))
-    return files.where(ok).withColumn("content", F.decode("content", "UTF-8"))
+    return files.withColumn("_text", as_text(F.col("content"))).where("content is null or _text is not null").drop("content").withColumnRenamed("_text", "content")
 
 
 def is_minified(content):
