@@ -67,7 +67,7 @@ class Engine:
         symbols, chunks, p = self.store.read("symbols"), self.store.read("chunks"), self.params
         terms = lexical.query_terms(q)
         dl = self.store.read("lengths").drop("path")
-        scored = lexical.bm25(lexical.term_hits(self.store.read("postings").drop("path"), terms, "chunk_key"), dl, lexical.statistics(dl), "chunk_key", self.bm25)
+        scored = lexical.bm25(lexical.term_hits(self.store.read("postings").drop("path"), terms, "chunk_key"), terms, dl, lexical.statistics(dl), "chunk_key", self.bm25)
         leg = lexical.lexical_leg(scored, chunks, p.k_candidates)
         leg = leg.join(chunks.select("chunk_key", "start_line", "end_line", F.concat_ws(" ", "fts_name", "fts_path", "fts_body").alias("fts_text")), "chunk_key")
         semantic = None

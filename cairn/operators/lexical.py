@@ -2,7 +2,7 @@
 
 The index is three tables: postings ``(doc, field, token, tf, positions)``, document lengths, and the global
 statistics ``(n_docs, avg_len)`` with document frequencies per token. A query reads only the postings of its
-own terms: terms are joined by broadcast, being at most twelve per query and counted.
+own terms: they are at most twelve per query, and joined by broadcast as long as their number is small.
 """
 
 from __future__ import annotations
@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 
 from cairn.functions.params import Bm25Params
 from cairn.functions.text import index_tokens, match_terms
+from cairn.session import broadcast_checked, cut
 
 
-def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """``key, field (number), token, tf, positions``; map-side combined. NULL fields have no tokens."""
+def postings(docs: DataFrame, key: str, fields: list[str], only: DataFrame | None = None) -> DataFrame:
+    """``key, field (number), token, tf, positions``; map-side combined. NULL fields have no tokens. ``only``
+    is a table of distinct tokens to keep, joined before anything is grouped."""
     def tokens(i: int, f: str) -> Column:
         return F.transform(index_tokens(F.col(f)), lambda t, p: F.struct(F.lit(i).alias("field"), t.alias("token"), p.cast("int").alias("pos")))
 
     each = F.flatten(F.array(*[tokens(i, f) for i, f in enumerate(fields)]))
     rows = docs.select(key, F.explode(each).alias("x")).select(key, "x.*")
+    if only is not None:
+        rows = rows.join(broadcast_checked(only.select("token")), "token")
     return rows.groupBy(key, "field", "token").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
@@ -40,41 +44,49 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query_te
     return t.withColumn("tokens", index_tokens(F.col("term"))).where(F.size("tokens") > 0)
 
 
-def term_hits(post: DataFrame, terms: DataFrame, key: str, query: str = "query_id") -> DataFrame:
-    """``query, term, key, field, tf``: how often each term stands in each field.
+def term_hits(post: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """``term, key, field, tf``: how often each distinct term stands in each field, whichever queries ask for it.
 
     A phrase counts where its tokens follow each other: each token's positions are moved back by its place in
     the phrase, and the positions all tokens share are its beginnings. Phrases are grouped by (term, document,
-    field), so no two postings lists are joined with each other.
+    field), so no two postings lists are joined with each other. All groups hold the document key, so
+    postings that are partitioned by it are not shuffled again.
     """
-    parts = terms.select(query, "term", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
-    found = post.join(F.broadcast(parts), "token")
-    single = found.where("n = 1").select(query, "term", key, "field", "tf")
-    moved = found.where("n > 1").select(query, "term", key, "field", "n", F.explode(F.transform("positions", lambda p: p - F.col("place"))).alias("at"), "place")
-    whole = moved.groupBy(query, "term", key, "field", "n", "at").agg(F.count_distinct("place").alias("got")).where("got = n")
-    phrases = whole.groupBy(query, "term", key, "field").agg(F.count(F.lit(1)).alias("tf"))
-    return single.unionByName(phrases)
+    parts = terms.select("term", "tokens").distinct().select("term", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
+    found = post.join(broadcast_checked(parts), "token")
+    places = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.transform("positions", lambda p: p - F.col("place")))
+    at = found.select("term", key, "field", "n", "place", F.when(F.col("n") == 1, F.col("tf")).otherwise(F.lit(1)).alias("tf"), F.explode(places).alias("at"))
+    whole = at.groupBy("term", key, "field", "n", "at").agg(F.count(F.lit(1)).alias("got"), F.max("tf").alias("tf")).where("got = n")
+    return whole.groupBy("term", key, "field").agg(F.sum("tf").alias("tf"))
 
 
 def idf(n_docs: Column, df: Column, p: Bm25Params) -> Column:
     return F.greatest(F.ln((n_docs - df + 0.5) / (df + 0.5)), F.lit(p.least_idf))
 
 
-def bm25(hits: DataFrame, dl: DataFrame, stats: DataFrame, key: str, p: Bm25Params = Bm25Params(), query: str = "query_id") -> DataFrame:
-    """``query, key, bm25`` (higher is better): weighted term frequencies in one saturation per term."""
+def bm25(hits: DataFrame, terms: DataFrame, dl: DataFrame, stats: DataFrame, key: str, p: Bm25Params = Bm25Params(), query: str = "query_id") -> DataFrame:
+    """``query, key, bm25`` (higher is better): weighted term frequencies in one saturation per term.
+
+    Each (term, document) is scored once and handed to the queries that ask for the term.
+    """
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in p.weights]), F.col("field") + 1)
-    tf = hits.groupBy(query, "term", key).agg(F.sum(weight * F.col("tf")).alias("tf"))
-    df = tf.groupBy(query, "term").agg(F.count(F.lit(1)).alias("df"))  # one row per term of a query
-    scored = tf.join(F.broadcast(df), [query, "term"]).join(dl, key).crossJoin(F.broadcast(stats))  # stats is one row
+    tf = cut(hits.groupBy("term", key).agg(F.sum(weight * F.col("tf")).alias("tf")))  # for the frequencies and for the scores
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    scored = tf.join(dl, key).join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
     part = idf(F.col("n_docs"), F.col("df"), p) * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avg_len")))
-    return scored.withColumn("part", part).groupBy(query, key).agg(F.sum("part").alias("bm25"))
+    asked = broadcast_checked(terms.select(query, "term"))
+    return scored.select("term", key, part.alias("part")).join(asked, "term").groupBy(query, key).agg(F.sum("part").alias("bm25"))
 
 
 def search(docs: DataFrame, queries: DataFrame, key: str, fields: list[str], p: Bm25Params = Bm25Params(), query: str = "query_id", text: str = "query_text") -> DataFrame:
-    """``query, key, bm25`` over an index built on the fly."""
+    """``query, key, bm25`` over an index built on the fly, of the tokens that are asked for.
+
+    Documents are partitioned by key once; grouping by (term, key) and by (query, key) stays within.
+    """
     terms = query_terms(queries, query, text)
     dl = lengths(docs, key, fields)
-    return bm25(term_hits(postings(docs, key, fields), terms, key, query), dl, statistics(dl), key, p, query)
+    asked = terms.select(F.explode("tokens").alias("token")).distinct()
+    return bm25(term_hits(postings(docs.repartition(key), key, fields, asked), terms, key), terms, dl, statistics(dl), key, p, query)
 
 
 def top(scored: DataFrame, k: int | Column, order: list[Column], query: str = "query_id") -> DataFrame:
