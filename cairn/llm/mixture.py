@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 from cairn.llm.encode import TOKENIZERS, count_udf
 from cairn.session import cut
 
-BLOCK_TOKENS, SHARDS, SEED = 256, 64, 20250301
+BLOCK_TOKENS, SEED = 256, 20250301
+#: Records per shard as the number of shards grows, and the most shards.
+SHARD_RECORDS, MAX_SHARDS = 512, 4096
 #: Bound on (source, shard) rows that reach the driver.
 MAX_CELLS = 200_000
 
@@ -72,7 +74,7 @@ def normal_source(c):
     return F.lower(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", ""))
 
 
-def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k", block_tokens: int = BLOCK_TOKENS, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k", block_tokens: int = BLOCK_TOKENS, shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """``(records, report)`` of the mixture.
 
     records: key, source (trimmed, lower case), tokens, copies (1 to max_repeats). report: per target source
@@ -82,9 +84,10 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str =
     tables give an empty mixture.
     """
     d = docs.select(F.col(key).alias("k"), normal_source(F.col(source)).alias("source"), F.col(text).alias("t")).where(F.col("source").isNotNull() & F.col("t").isNotNull() & F.col("k").isNotNull())
-    shard = F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(shards)).cast("int")
-    sized = d.select("k", "source", shard.alias("shard"), count_udf(tokenizers, name)(F.col("t")).alias("tokens")).where("tokens > 0").dropDuplicates(["k"])
+    sized = d.select("k", "source", count_udf(tokenizers, name)(F.col("t")).alias("tokens")).where("tokens > 0").dropDuplicates(["k"])
     sized = cut(sized)  # narrow rows; the texts are encoded once
+    shards = shards or max(1, min(MAX_SHARDS, sized.count() // SHARD_RECORDS))
+    sized = sized.withColumn("shard", F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(shards)).cast("int"))
     cells = sized.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens"))
     goals = targets.select(normal_source(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null").dropDuplicates(["source"])
     rows = cells.join(F.broadcast(goals.select("source").limit(10_000)), "source", "left_semi").limit(MAX_CELLS + 1).collect()

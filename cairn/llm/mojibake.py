@@ -57,7 +57,7 @@ def _reads_as_text(text: str, a: int, b: int, decoded: str) -> bool:
     """The span is better left alone: a drawing among drawings, an alphabet's own letters, capitals in a capital word."""
     span = text[a:b]
     before, after = text[a - 1 : a], text[b : b + 1]
-    if _BOX.fullmatch(span):
+    if _BOX.fullmatch(span) and not _CYRILLIC.fullmatch(decoded):
         lines_only = all("─" <= c <= "╬" for c in span)
         return bool(_BOX.match(before or " ") or _BOX.match(after or " ")) or (lines_only and not (before.isalpha() or after.isalpha()))
     if _CYRILLIC.fullmatch(span) and not any(c in "ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐЁЄЇІіґєјЅѕї" for c in span):

@@ -55,12 +55,13 @@ def leximin(df: DataFrame, group: str, key: str, scores: dict[str, Column], *, w
 
     A weight w turns a percentile p into p**w: 0 takes the score out, more than 1 makes it bind sooner. Equal
     vectors are ordered by ``last`` (descending) and then by ``key``, so positions are total. Rows with the
-    same key are repeats and count once; rows whose group is NULL form one group; an item without any score
+    same key are repeats and count once, rows without key are left out; rows whose group is NULL form one
+    group; an item without any score
     has an empty vector and comes last. Columns of the input pass through; ``vector``, ``out`` and names
     starting with ``_`` are replaced.
     """
-    df = df.drop("vector", out).dropDuplicates([key])
-    parts = percentiles(df, group, key, scores)
+    df = df.drop("vector", out).where(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit("\0")))
+    parts = percentiles(df, "_g", key, scores)
     names = list(scores)
     df = df.join(parts.select(key, *[F.col(n).alias(f"_p_{n}") for n in names]), key, "left")
     weight = lambda n: (weights or {}).get(n, F.lit(1.0))
@@ -70,11 +71,12 @@ def leximin(df: DataFrame, group: str, key: str, scores: dict[str, Column], *, w
     padded = F.when(has, F.concat("vector", F.array_repeat(F.lit(1.0), F.lit(len(names)) - F.size("vector")))).otherwise(F.array_repeat(F.lit(-1.0), len(names)))
     worst = lambda i: F.get(F.col("_pad"), F.lit(i))
     df = df.withColumn("_pad", padded)
+    df = df.withColumn("_pad", padded)
     second = worst(1) if len(names) > 1 else worst(0)
-    # slots fall with quality: coarse value of the weakest score, refined by the second weakest
-    df = df.withColumn("_slot", F.when(has, -(F.floor(worst(0) * SLOTS) * (SLOTS + 1) + F.floor(second * SLOTS))).otherwise(F.lit(1)))
+    # slots fall with the weakest score, which comes first in the comparison
+    df = df.withColumn("_slot", F.when(has, -F.floor(worst(0) * SLOTS * 8)).otherwise(F.lit(1)))
     order = [F.col("_pad").desc(), *[c.desc_nulls_last() for c in last or []], F.col(key).asc()]
-    ranked = spread_count_below(df.withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit("\0"))), ["_g"], "_slot", order, out=out)
+    ranked = spread_count_below(df, ["_g"], "_slot", order, out=out)
     return ranked.withColumn(out, (F.col(out) + 1).cast("long")).drop("_pad", "_slot", "_g")
 
 
