@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairn.llm import docpairs, encode, mixture, mojibake, neighbours, provenance, rank, split, syntax
+from cairn.llm import docpairs, encode, mixture, mojibake, nearest, neighbours, provenance, rank, split, syntax
 from cairn.session import table
 
 
@@ -34,6 +34,13 @@ def p4_found(spark, d):
     return pairs.select("symbol_id_a", "symbol_id_b")
 
 
+def p4_neighbours(spark, d):
+    """Ten nearest vectors of other symbols, for every vector whose symbol_id is divisible by 20, against all."""
+    e = table(spark, d, "symbol_embeddings")
+    got = nearest.nearest(e, e.where("symbol_id % 20 = 0"))
+    return got.withColumn("cosine", F.round("cosine", 6))
+
+
 def p6_files(spark, d):
     return provenance.find_foreign(table(spark, d, "file_contents"), table(spark, d, "files"))
 
@@ -74,7 +81,7 @@ def p10_restored(spark, d):
     return mojibake.repair_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p3_ranking, p4_found, p6_found, p6_files, p7_found, p7_flags, p7_rates, p8_ids, p9_mixture, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p3_ranking, p4_found, p4_neighbours, p6_found, p6_files, p7_found, p7_flags, p7_rates, p8_ids, p9_mixture, p9_shares, p10_found, p10_restored)}
 
 SQL = {
     "p2_found": "SELECT DISTINCT symbol_id, chunk_index FROM symbol_chunks WHERE length(embed_text) > 800",

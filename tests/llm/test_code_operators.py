@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import mixture, neighbours, provenance, rank, syntax
+from cairn.llm import mixture, nearest, neighbours, provenance, rank, syntax
 from cairn.llm.repair import re_pair, shared_rules
 
 VALID = {
@@ -192,6 +192,32 @@ def test_hot_copies_collapse(spark):
     assert pairs.count() == 0 and members.groupBy("fp").count().agg(F.max("count")).first()[0] >= 500
 
 
+def test_nearest(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(3000, 64)).astype(np.float32)
+    v[2000:2400] = v[:400] + 0.3 * v[2000:2400]
+    rows = [(i, 0, v[i].tolist()) for i in range(3000)] + [(0, 0, v[0].tolist()), (20, 1, v[5].tolist()), (9000, 0, None), (9020, 0, [0.0] * 64), (None, 0, v[1].tolist())]
+    df = spark.createDataFrame(rows, "symbol_id long, chunk_index long, embedding array<float>").withColumn("g", F.lit("clash")).withColumn("rank", F.lit(0))
+    got = {}
+    for r in nearest.nearest(df, df.where("symbol_id % 20 = 0")).collect():
+        got.setdefault((r["symbol_id"], r["chunk_index"]), []).append((r["rank"], r["neighbour_symbol_id"], r["neighbour_chunk_index"]))
+    keys = [(i, 0) for i in range(3000)] + [(20, 1)]
+    u = np.concatenate([v, v[5:6]]).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hit = 0
+    for j, (g, c) in enumerate(keys):
+        if g % 20 == 0:
+            s = np.where([x[0] == g for x in keys], -3, u @ u[j])
+            want = {keys[x] for x in np.argsort(-s)[:10]}
+            mine = got[g, c]
+            assert sorted(m[0] for m in mine) == list(range(1, 11)) and all(m[1] != g for m in mine)
+            hit += len(want & {(a, b) for _, a, b in mine})
+    assert len(got) == 151 and hit >= 0.9 * 1510
+    assert nearest.nearest(df.limit(0), df).count() == 0
+    few = nearest.nearest(df.where("symbol_id in (1, 2, 3)"), df.where("symbol_id = 2"), k=10).collect()
+    assert {r["neighbour_symbol_id"] for r in few} == {1, 3}
+
+
 def test_fit_is_a_rule():
     a, b = neighbours.Index.fit(1000, 0.9), neighbours.Index.fit(1_000_000, 0.9)
     assert a == neighbours.Index.fit(1000, 0.9) and b.functions > a.functions and b.tables > a.tables
