@@ -48,6 +48,9 @@ _AUTOMATA = {c: _automaton(m) for c, m in _CHARS.items()}
 #: What decoded text may hold: Latin-1, common Latin letters, Greek, Cyrillic, general punctuation and symbols,
 #: box drawing, kana, unified ideographs, full-width forms, emoji.
 _USED = re.compile(r"[\t\n -ÿŒœŠšŸŽžƒˆ˜Ѐ-џ‐-›€№™←-⇿∀-⋿─-➿　-ヿ一-鿿＀-￯﻿​-‍️\U0001f000-\U0001faff]+")
+#: Further scripts, for spans of the Latin code pages, where pairs of capitals and signs are no text by themselves.
+_WIDE = re.compile(r"[\t\n -ÿĀ-ɏˀ-ͯͰ-ϿЀ-ԯ֐-ۿऀ-ॿ฀-๿Ḁ-ỿ‌-⁯₠-➿　-鿿ﬀ-ﬆ＀-￯﻿️\U0001d400-\U0001d7ff\U0001f000-\U0001faff\U00020000-\U0002ffff]+")
+_LATIN = frozenset(("cp1252", "latin-1", "cp1250", "cp1254", "iso8859-15"))
 _BOX = re.compile(r"[─-▟]+")
 _CYRILLIC = re.compile(r"[Ѐ-џ]+")
 _ANY = re.compile(r"[\u0080-\U0010ffff]")
@@ -74,7 +77,8 @@ def _multibyte(text: str) -> tuple[str, set[str]]:
         for m in _AUTOMATA[codec].finditer(text):
             decoded = bytes(chars[c] for c in m.group()).decode("utf-8", "replace")
             again = any(_AUTOMATA[k].search(decoded) for k in ("cp1252", "latin-1"))
-            if (_USED.fullmatch(decoded) or again) and not _reads_as_text(text, m.start(), m.end(), decoded):
+            wide = codec in _LATIN and len(m.group()) > 2 and _WIDE.fullmatch(decoded)
+            if (_USED.fullmatch(decoded) or wide or again) and not _reads_as_text(text, m.start(), m.end(), decoded):
                 found.setdefault(m.span(), (decoded, codec))
     out, end, used = [], len(text), set()
     chosen, at = [], -1
@@ -95,8 +99,11 @@ def _multibyte(text: str) -> tuple[str, set[str]]:
 # Single-byte mix-ups: span shape, the bytes' encoding as it was read, and as it was meant.
 _C1 = re.compile(r"[\u0080-\u009f]+")
 _HIGH_RUN = re.compile(r"[\u0080-ÿŒœŠšŸŽžƒˆ˜‐-›€™]{6,}")
+_SJIS_LINE = re.compile(r"[\t -~\u0080-ÿŒœŠšŸŽžƒˆ˜‐-›€™]{4,}")
+_SJIS_SIGN = re.compile(r"‚[Ÿ -ñ]|ƒ[@-~€‚ƒ„…†‡ˆ‰Š‹Œ\u008dŽ\u008f\u0090‘’“”•–]|\u0081[A-Z@-~]")
+_KANA = re.compile(r"[ぁ-ヿ]")
 _EAST = re.compile(r"[一-鿿ぁ-ヿ　-〟！-～·—…‘’“”]+")
-_LATIN_RUN = re.compile(r"(?:[À-ÖØ-öø-ÿ¨¸]{2,}|[À-ÿ])(?:[ ,.:;!?\-]*[À-ÿ¨¸]+)*")
+_LATIN_RUN = re.compile("[À-ÿ¨¸]+(?:[ ,.:;!?-]*[À-ÿ¨¸]+)*")
 _DOS = "а-я -¿ЂЃ‚ѓ„…†‡€‰Љ‹ЊЌЋЏђ‘’“”•–—™љ›њќћџЎўЈҐЁЄЇІіґєјЅѕї№"
 _CP866_RUN = re.compile(f"[{_DOS}]+(?:[ ,.:;!?0-9-]+[{_DOS}]+)*")
 _CP866_WORD = re.compile(f"[{_DOS}]{{3,}}")
@@ -129,8 +136,8 @@ def _single_byte(text: str, early: bool) -> tuple[str, set[str]]:
 
     def latin(m: re.Match) -> str:
         span = m.group()
-        words = re.findall(r"[^\W\d_]+", span)
-        if not any(len(w) >= 4 for w in words):
+        words = re.findall("[À-ÿ¨¸]+", span)
+        if not any(len(w) >= (3 if _CYRILLIC.search(text) else 4) for w in words):
             return span
         before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
         if before > "\x7f" or after > "\x7f":
@@ -142,7 +149,7 @@ def _single_byte(text: str, early: bool) -> tuple[str, set[str]]:
                 continue
             letters = [c for c in out if c.isalpha()]
             small = sum(c.islower() for c in letters)
-            if letters and all(c.lower() in _RANK for c in letters) and small * 2 > len(letters) and _russian(out) < 13 and not (before.isalpha() and before.isascii()) and not (after.isalpha() and after.isascii()):
+            if letters and all(c.lower() in _RANK for c in letters) and small * 2 > len(letters) and _russian(out) < 20 and not (before.isalpha() and before.isascii()) and not (after.isalpha() and after.isascii()):
                 used.add(f"{read}>{meant}")
                 return out
         return span
@@ -164,6 +171,19 @@ def _single_byte(text: str, early: bool) -> tuple[str, set[str]]:
                 return out + span[cut:]
         return span
 
+    def sjis(m: re.Match) -> str:
+        span = m.group()
+        if len(_SJIS_SIGN.findall(span)) < 3:
+            return span
+        try:
+            out = bytes(ord(c) if c < "\x80" else _CHARS["cp1252"].get(c) or _CHARS["latin-1"][c] for c in span).decode("cp932")
+        except (UnicodeDecodeError, KeyError):
+            return span
+        if len(_KANA.findall(out)) < 3 or not all(c < "\x80" or _EAST.fullmatch(c) or _USED.fullmatch(c) for c in out):
+            return span
+        used.add("cp1252>cp932")
+        return out
+
     def dos_text(span: str) -> str | None:
         try:
             out = span.encode("cp1251").decode("cp866")
@@ -204,7 +224,7 @@ def _single_byte(text: str, early: bool) -> tuple[str, set[str]]:
         return span
 
     if early:  # before the automaton can mistake parts of them
-        text = _HIGH_RUN.sub(east, _LATIN_RUN.sub(latin, text))
+        text = _HIGH_RUN.sub(east, _LATIN_RUN.sub(latin, _SJIS_LINE.sub(sjis, text)))
         return _CP866_RUN.sub(dos, text), used
     return _CYR_WORDS.sub(koi, _C1.sub(c1, text)), used
 
