@@ -2,8 +2,8 @@
 
 Languages are covered in tiers: documentation and TOML natively (``sections``), HTML with its scripts and
 styles by the standard parser, Python by its syntax tree, and the brace languages by a scanner that knows
-strings and comments, finds declarations by patterns and their extent by brackets. Languages without a
-scanner yield one symbol for the whole file. Symbol kinds follow the vocabulary of the languages' grammars.
+strings and comments, finds declarations by patterns and their extent by brackets. Further languages are
+scanned by the patterns and block ends of ``languages``. The rest yields one symbol for the whole file. Symbol kinds follow the vocabulary of the languages' grammars.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.language import base_name, detect
+from cairn.operators.languages import LANGUAGES, scan
 
 SYMBOL = "name string, kind string, parent_context string, signature string, doc_comment string, body_text string, start_line long, start_col long, end_line long, end_col long"
 SCHEMA = f"struct<language:string,symbols:array<struct<{SYMBOL.replace(' ', ':').replace(',:', ',')}>>,calls:array<struct<from_name:string,to_name:string,from_line:long>>,error:string>"
@@ -309,6 +310,15 @@ def parse_fallback(language: str, path: str, content: str, whole_words: bool = F
     return out
 
 
+def parse_scanned(language: str, content: str) -> list[dict]:
+    """Symbols of the languages in ``languages``, with the enclosing ones as context."""
+    lines, got, out = content.split("\n"), scan(language, content), []
+    for k, (name, kind, a, b, col) in enumerate(got):
+        parents = [f"{CONTAINERS.get(q, q)}:{n}" for n, q, x, y, _ in got[:k] if x < a and y >= b]
+        out.append(symbol(name, kind, a, b, lines, parent=" > ".join(parents) or None, signature=clip(lines[a - 1].strip(), SIGNATURE), doc=comment_above(lines, a), cols=(col, len(lines[b - 1].encode()) + 1)))
+    return out
+
+
 # ---------------------------------------------------------------- HTML
 
 
@@ -415,6 +425,8 @@ def parse_file(path: str | None, content: str | None, whole_words: bool = False)
         symbols, calls, error = parse_html(text), [], None
     elif language in _COMPILED:
         symbols, calls, error = parse_braces(language, text)
+    elif language in LANGUAGES:
+        symbols, calls, error = parse_scanned(language, text), [], None
     else:
         symbols, calls, error = parse_fallback(language, path, text, whole_words), [], None
     return {"language": language, "symbols": symbols, "calls": calls, "error": error}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -94,6 +96,17 @@ class Encoder:
         return (v / max(float(np.linalg.norm(v)), 1e-12)).tolist()
 
 
+def verify_model(model_dir: str, expected: dict[str, tuple[str, int]]) -> None:
+    """Raises ValueError unless every file of ``expected`` has the given SHA-256 and length."""
+    for name, (digest, size) in expected.items():
+        path = os.path.join(model_dir, name)
+        if not os.path.isfile(path) or os.path.getsize(path) != size:
+            raise ValueError(f"{name} is missing or has another length")
+        with open(path, "rb") as f:
+            if hashlib.file_digest(f, "sha256").hexdigest() != digest.lower():
+                raise ValueError(f"{name} has another checksum")
+
+
 def onnx_loader(model_dir: str, max_tokens: int = 512, threads: int = 2) -> Callable[[], Callable[[list[str]], np.ndarray]]:
     """Loads ``model.onnx`` and ``tokenizer.json`` of a directory; mean-pools token vectors under the mask."""
 

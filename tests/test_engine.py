@@ -136,6 +136,19 @@ def test_encoder(spark):
     assert pool(np.array([[[1.0, 0.0], [9.0, 9.0]]]), np.array([[1, 0]])).tolist() == [[1.0, 0.0]]
 
 
+def test_model_checksums(tmp_path):
+    import hashlib
+
+    from cairn.operators.vectors import verify_model
+
+    (tmp_path / "model.onnx").write_bytes(b"weights")
+    good = hashlib.sha256(b"weights").hexdigest()
+    verify_model(str(tmp_path), {"model.onnx": (good, 7)})
+    for bad in ({"model.onnx": (good, 8)}, {"model.onnx": ("0" * 64, 7)}, {"tokenizer.json": (good, 7)}):
+        with pytest.raises(ValueError):
+            verify_model(str(tmp_path), bad)
+
+
 def test_coalesce(spark):
     rows = [("a", "2025-01-01 00:00:00.100", 1), ("a", "2025-01-01 00:00:01.200", 2), ("a", "2025-01-01 00:00:09", 3), ("b", "2025-01-01 00:00:00.200", 4)]
     df = spark.createDataFrame(rows, "path string, s string, n int").selectExpr("path", "to_timestamp(s) as at", "n")

@@ -131,3 +131,34 @@ def test_gate_and_locales(spark):
     assert {r["p"]: r["x"] for r in files.select("p", chunk.is_locale_file(F.concat(F.lit("/"), F.col("p"))).alias("x")).collect()} == paths
     d = spark.createDataFrame([("w/locales/de.json", '{"a": "Hallo", "b": "nur"}'), ("w/locales/en.json", '{"a": "Hello"}'), ("w/locales/bad.json", "{"), ("w/locales/x.ts", None)], "path string, content string")
     assert {r["key"]: r["value"] for r in chunk.locale_dictionary(d).collect()} == {"a": "Hello", "b": "nur"}
+
+
+SCANNED = {
+    "a.rb": ("class Foo\n  def bar\n    if x\n    end\n  end\nend\n", [("Foo", "class", 1, 6), ("bar", "method", 2, 5)]),
+    "a.lua": ("local function f(a)\n  if a then\n  end\nend\n", [("f", "function_declaration", 1, 4)]),
+    "a.ex": ("defmodule A.B do\n  def go(x) do\n    x\n  end\nend\n", [("A.B", "module", 1, 5), ("go", "function", 2, 4)]),
+    "a.sh": ("run() {\n  echo '}'\n}\n", [("run", "function_definition", 1, 3)]),
+    "a.hs": ("data T = A\n  | B\n\nf :: Int\nf = 1\n", [("T", "data_type", 1, 2), ("f", "function", 4, 4)]),
+    "a.clj": ("(ns a.b)\n(defn f [x]\n  (+ x 1))\n", [("a.b", "module", 1, 1), ("f", "function_definition", 2, 3)]),
+    "a.erl": ("-module(a).\nf(0) -> 1;\nf(X) ->\n  X.\n", [("a", "module", 1, 1), ("f", "function", 2, 4)]),
+    "a.proto": ("message M {\n  int32 a = 1;\n  enum E { X = 0; }\n}\n", [("M", "struct_declaration", 1, 4), ("E", "enum_declaration", 3, 3)]),
+    "a.tf": ('resource "aws" "web" {\n  a = 1\n}\n', [("web", "declaration", 1, 3)]),
+    "a.css": ("body {\n  color: red;\n}\n@media (x) {\n  .a { b: c }\n}\n", [("body", "rule_set", 1, 3), ("@media (x)", "media_statement", 4, 6), (".a", "rule_set", 5, 5)]),
+    "a.yaml": ("a:\n  b: 1\nc: 2\n", [("a", "declaration", 1, 2), ("c", "declaration", 3, 3)]),
+    "a.ini": ("[one]\nx=1\n[two]\n", [("one", "section", 1, 2), ("two", "section", 3, 4)]),
+    "Makefile": ("all: x\n\tcc\n\nx:\n", [("all", "declaration", 1, 2), ("x", "declaration", 4, 4)]),
+    "a.sol": ("contract C {\n  function f() public { }\n}\n", [("C", "class_declaration", 1, 3), ("f", "function_definition", 2, 2)]),
+    "a.v": ("module m(a);\nendmodule\n", [("m", "module", 1, 2)]),
+    "a.ml": ("let rec f x =\n  x\nmodule M = struct\nend\n", [("f", "value_definition", 1, 2), ("M", "module_definition", 3, 3)]),
+    "a.jl": ("struct P\n  x\nend\nfunction f(x)\n  for i in x\n  end\nend\n", [("P", "struct_definition", 1, 3), ("f", "function_definition", 4, 7)]),
+    "a.r": ("f <- function(x) {\n  x\n}\n", [("f", "function_definition", 1, 3)]),
+    "a.zig": ("pub fn f(x: u8) u8 {\n  return x;\n}\n", [("f", "function_declaration", 1, 3)]),
+}
+
+
+def test_scanned_languages():
+    for path, (text, want) in SCANNED.items():
+        got = extract.parse_file(path, text)
+        assert [(s["name"], s["kind"], s["start_line"], s["end_line"]) for s in got["symbols"]] == want, path
+        assert extract.parse_file(path, "")["error"] is None
+    assert extract.parse_file("a.rb", SCANNED["a.rb"][0])["symbols"][1]["parent_context"] == "class:Foo"
