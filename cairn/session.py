@@ -56,6 +56,15 @@ def broadcast_checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before costly Python work, if its input has fewer splits than there are cores.
+
+    Only small inputs, or files that can't be split, are moved; a large table has more splits than cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def dedupe(df: DataFrame, *keys: str) -> DataFrame:
     """Repeated rows (full copies with the same key) count once."""
     return df.dropDuplicates(list(keys))
