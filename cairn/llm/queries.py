@@ -3,7 +3,15 @@
 from pyspark.sql import functions as F
 
 from cairn.llm import docpairs, encode, mixture, mojibake, nearest, neighbours, provenance, rank, split, syntax
-from cairn.session import table
+from cairn.session import spread, table
+
+
+def _contents(spark, d):
+    return spread(table(spark, d, "file_contents").select("file_id", "path", "content"))
+
+
+def _texts(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def p1_pairs(spark, d):
@@ -42,27 +50,27 @@ def p4_neighbours(spark, d):
 
 
 def p6_files(spark, d):
-    return provenance.find_foreign(table(spark, d, "file_contents"), table(spark, d, "files"))
+    return provenance.find_foreign(_contents(spark, d), table(spark, d, "files"))
 
 
 def p6_found(spark, d):
-    return provenance.find_foreign(table(spark, d, "file_contents"), table(spark, d, "files")).select("file_id")
+    return provenance.find_foreign(_contents(spark, d), table(spark, d, "files")).select("file_id")
 
 
 def p7_flags(spark, d):
-    return syntax.flag_files(table(spark, d, "file_contents"))
+    return syntax.flag_files(_contents(spark, d))
 
 
 def p7_rates(spark, d):
-    return syntax.rates(syntax.flag_files(table(spark, d, "file_contents")))
+    return syntax.rates(syntax.flag_files(_contents(spark, d)))
 
 
 def p7_found(spark, d):
-    return syntax.flag_files(table(spark, d, "file_contents")).where("invalid").select("file_id")
+    return syntax.flag_files(_contents(spark, d)).where("invalid").select("file_id")
 
 
 def p8_ids(spark, d):
-    return encode.encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return encode.encode_corpus(_texts(spark, d)).select("doc_id", "ids")
 
 
 def p9_mixture(spark, d):
@@ -74,11 +82,11 @@ def p9_shares(spark, d):
 
 
 def p10_found(spark, d):
-    return mojibake.repair_corpus(table(spark, d, "documents")).select("doc_id")
+    return mojibake.repair_corpus(_texts(spark, d)).select("doc_id")
 
 
 def p10_restored(spark, d):
-    return mojibake.repair_corpus(table(spark, d, "documents"))
+    return mojibake.repair_corpus(_texts(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p3_ranking, p4_found, p4_neighbours, p6_found, p6_files, p7_found, p7_flags, p7_rates, p8_ids, p9_mixture, p9_shares, p10_found, p10_restored)}
