@@ -93,6 +93,19 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p3_r
 
 SQL = {
     "p2_found": "SELECT DISTINCT symbol_id, chunk_index FROM symbol_chunks WHERE length(embed_text) > 800",
+    "p3_ranking": """
+WITH h AS (SELECT DISTINCT ON (hit_id) * FROM search_hits), q AS (SELECT DISTINCT ON (query_id) * FROM search_queries),
+l AS (SELECT query_id, hit_id, 0 AS m, cosine AS v FROM h UNION ALL SELECT query_id, hit_id, 1, -bm25 FROM h UNION ALL SELECT query_id, hit_id, 2, score FROM h),
+r AS (SELECT query_id, hit_id, m, CASE WHEN count(*) OVER (PARTITION BY query_id, m) > 1
+        THEN (rank() OVER (PARTITION BY query_id, m ORDER BY v) - 1 + (count(*) OVER (PARTITION BY query_id, m, v) - 1) / 2.0::DOUBLE) / (count(*) OVER (PARTITION BY query_id, m) - 1) ELSE 0.5 END::DOUBLE AS p
+      FROM l WHERE v IS NOT NULL AND NOT isnan(v)),
+w AS (SELECT query_id, hit_id, pow(p, CASE m WHEN 0 THEN coalesce(w_vector, 1) WHEN 1 THEN coalesce(w_bm25, 1) ELSE 1 END::DOUBLE) AS p
+      FROM r LEFT JOIN q USING (query_id) WHERE CASE m WHEN 0 THEN coalesce(w_vector, 1) WHEN 1 THEN coalesce(w_bm25, 1) ELSE 1 END > 0),
+v AS (SELECT query_id, hit_id, list(p ORDER BY p) AS vector FROM w GROUP BY ALL),
+o AS (SELECT h.query_id, h.hit_id, symbol_id, boost, coalesce(vector, []) AS vector, CASE WHEN vector IS NULL THEN [-1.0::DOUBLE, -1.0, -1.0] ELSE list_resize(vector, 3, 1.0::DOUBLE) END AS pad,
+        cosine IS NOT NULL AND NOT isnan(cosine) AS c, bm25 IS NOT NULL AND NOT isnan(bm25) AS b FROM h LEFT JOIN v USING (query_id, hit_id))
+SELECT query_id, hit_id, symbol_id, row_number() OVER (PARTITION BY query_id ORDER BY pad DESC, boost DESC NULLS LAST, hit_id) AS position,
+  list_transform(vector, lambda x: round(x, 6)) AS vector, CASE WHEN c AND b THEN 'hybrid' WHEN c THEN 'semantic' WHEN b THEN 'lexical' ELSE 'none' END AS evidence FROM o""",
     "p4_found": """
 WITH v AS (SELECT DISTINCT symbol_id, embedding FROM symbol_embeddings
            WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: isnan(x)))
