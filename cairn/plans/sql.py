@@ -151,9 +151,40 @@ _EMBED_TEXT = f"concat_ws(' | ', kind || ': ' || name, 'context: ' || {_nonblank
 _CODE, _DOC = _language("path")
 _LAST = "last AS (SELECT path, arg_max(hash, ingested_at) AS hash, arg_max(struct_pack(m := last_modified, s := size), ingested_at) AS x FROM file_scans WHERE hash IS NOT NULL GROUP BY path)"
 
+_CHUNK_SQL = rf"""WITH RECURSIVE {SYM},
+n0 AS (SELECT *, {_camel("name")} AS l, {BASE.format("path")} AS base, string_split(path, '/') AS dirs FROM sym),
+n1 AS (SELECT *, {_distinct("l")} AS wl, {STEM.format("base")} AS stem, {_nonblank("doc_comment")} AS doc, regexp_replace(coalesce(body_text, ''), '\s+$', '') AS body FROM n0),
+n2 AS (SELECT *, CASE WHEN len(wl) > 1 OR (len(wl) = 1 AND wl[1] <> lower(name)) THEN array_to_string(wl, ' ') END AS words,
+  [base, stem] || {_camel("stem")} || flatten(list_transform(list_reverse(dirs[greatest(len(dirs) - 3, 1):len(dirs) - 1]), lambda x: {_camel("x")})) AS pt,
+  CASE WHEN {_nonblank("body")} IS NULL THEN [] ELSE string_split_regex(body, '\r?\n') END AS ls FROM n1),
+n3 AS (SELECT *, concat_ws(' | ', CASE WHEN words IS NULL THEN kind || ': ' || name ELSE kind || ': ' || name || ' (' || words || ')' END, 'file: ' || nullif(stem, ''), 'context: ' || {_nonblank("parent_context")}, doc) AS header,
+  array_to_string({_distinct("pt")}, ' ') AS fts_path, CASE WHEN words IS NULL THEN name ELSE name || ' ' || words END AS fts_name FROM n2),
+pre AS (SELECT symbol_id, k, sum(length(x) + 1) OVER (PARTITION BY symbol_id ORDER BY k) AS upto FROM (SELECT symbol_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS k FROM n3)),
+p AS (SELECT symbol_id, list(upto ORDER BY k) AS upto, count(*) AS n FROM pre GROUP BY 1),
+c(symbol_id, i, j) AS (SELECT symbol_id, 1::BIGINT, greatest(1, len(list_filter(upto, lambda u: u <= 800)))::BIGINT FROM p
+  UNION ALL SELECT x.symbol_id, x.i, greatest(x.i, len(list_filter(p.upto, lambda u: u <= p.upto[x.i - 1] + 800)))::BIGINT
+  FROM (SELECT symbol_id, greatest(j - 1, i + 1) AS i, j FROM c) x JOIN p USING (symbol_id) WHERE x.j < p.n),
+g AS (SELECT n3.*, i, j, {_nonblank("array_to_string(ls[i:j], chr(10))")} AS slice FROM c JOIN n3 USING (symbol_id)),
+h AS (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY i) - 1 AS chunk_index FROM g WHERE slice IS NOT NULL),
+b0 AS (SELECT symbol_id, chunk_index, flatten(list_transform(list_filter({_runs("slice")}, lambda r: regexp_matches(r, '[^\p{{Lu}}]\p{{Lu}}|\p{{Lu}}\p{{Lu}}\p{{Ll}}')), lambda x: {_camel("x")})) AS l FROM h),
+b1 AS (SELECT symbol_id, chunk_index, {_distinct("l")} AS l FROM b0),
+b2 AS (SELECT symbol_id, chunk_index, unnest(l) AS w, generate_subscripts(l, 1) AS k FROM b1),
+b3 AS (SELECT *, sum(octet_length(encode(w))) OVER (PARTITION BY symbol_id, chunk_index ORDER BY k) + k - 1 AS n FROM b2),
+b AS (SELECT symbol_id, chunk_index, string_agg(w, ' ' ORDER BY k) AS split FROM b3 WHERE n <= 400 GROUP BY ALL)
+SELECT symbol_id, chunk_index, (greatest(end_line - len(ls) + 1, start_line) + i - 1)::BIGINT AS start_line, (greatest(end_line - len(ls) + 1, start_line) + j - 1)::BIGINT AS end_line,
+  header || ' | ' || slice AS embed_text, fts_name, fts_path, concat_ws(chr(10), doc, slice, split) AS fts_body FROM h LEFT JOIN b USING (symbol_id, chunk_index)
+UNION ALL SELECT symbol_id, 0, start_line, end_line, header, fts_name, fts_path, coalesce(doc, '') FROM n3 WHERE len(ls) = 0"""
+
 SQL = {
+    "chunk_symbols": _CHUNK_SQL,
     "identifier_split": f"""WITH n AS (SELECT DISTINCT name FROM symbols), w AS (SELECT name, {_camel("name")} AS l FROM n), d AS (SELECT name, {_distinct("l")} AS l FROM w)
 SELECT name, array_to_string(l, ' ') AS words, CASE WHEN len(l) > 1 OR (len(l) = 1 AND l[1] <> lower(name)) THEN array_to_string(l, ' ') END AS word_string FROM d""",
+    "body_split_words": rf"""WITH {SYM}, r AS (SELECT symbol_id, list_filter({_runs("coalesce(body_text, '')")}, lambda r: regexp_matches(r, '[^\p{{Lu}}]\p{{Lu}}|\p{{Lu}}\p{{Lu}}\p{{Ll}}')) AS rs FROM sym),
+w AS (SELECT symbol_id, flatten(list_transform(rs, lambda x: {_camel("x")})) AS l FROM r), d AS (SELECT symbol_id, {_distinct("l")} AS l FROM w),
+u AS (SELECT symbol_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM d),
+c AS (SELECT symbol_id, w, i, sum(octet_length(encode(w))) OVER (PARTITION BY symbol_id ORDER BY i) + i - 1 AS n FROM u),
+a AS (SELECT symbol_id, string_agg(w, ' ' ORDER BY i) AS words FROM c WHERE n <= 400 GROUP BY 1)
+SELECT symbol_id, coalesce(words, '') AS words FROM d LEFT JOIN a USING (symbol_id)""",
     "query_terms": f"""WITH {Q}, t AS (SELECT query_id, {_tokens("query_text")} AS toks, {_TERMS} AS l FROM q)
 SELECT query_id, array_to_string(toks, ' ') AS tokens, array_to_string(list_slice({_distinct("l")}, 1, 12), ' OR ') AS terms,
        greatest(least(2, len(toks)), ceil(len(toks) / 2), 1)::BIGINT AS required FROM t""",
