@@ -14,6 +14,9 @@ from cairn.functions.params import Bm25Params
 from cairn.functions.text import index_tokens, match_terms
 from cairn.session import broadcast_checked, cut
 
+#: Decimals of a score; further ones depend on the order of summation.
+DIGITS = 9
+
 
 def postings(docs: DataFrame, key: str, fields: list[str], only: DataFrame | None = None) -> DataFrame:
     """``key, field (number), token, tf, positions``; map-side combined. NULL fields have no tokens. ``only``
@@ -67,7 +70,8 @@ def idf(n_docs: Column, df: Column, p: Bm25Params) -> Column:
 def bm25(hits: DataFrame, terms: DataFrame, dl: DataFrame, stats: DataFrame, key: str, p: Bm25Params = Bm25Params(), query: str = "query_id") -> DataFrame:
     """``query, key, bm25`` (higher is better): weighted term frequencies in one saturation per term.
 
-    Each (term, document) is scored once and handed to the queries that ask for the term.
+    Each (term, document) is scored once and handed to the queries that ask for the term. Scores are rounded
+    to DIGITS, so equal documents tie whatever order their parts were added in.
     """
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in p.weights]), F.col("field") + 1)
     tf = cut(hits.groupBy("term", key).agg(F.sum(weight * F.col("tf")).alias("tf")))  # for the frequencies and for the scores
@@ -75,7 +79,7 @@ def bm25(hits: DataFrame, terms: DataFrame, dl: DataFrame, stats: DataFrame, key
     scored = tf.join(dl, key).join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
     part = idf(F.col("n_docs"), F.col("df"), p) * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avg_len")))
     asked = broadcast_checked(terms.select(query, "term"))
-    return scored.select("term", key, part.alias("part")).join(asked, "term").groupBy(query, key).agg(F.sum("part").alias("bm25"))
+    return scored.select("term", key, part.alias("part")).join(asked, "term").groupBy(query, key).agg(F.round(F.sum("part"), DIGITS).alias("bm25"))
 
 
 def search(docs: DataFrame, queries: DataFrame, key: str, fields: list[str], p: Bm25Params = Bm25Params(), query: str = "query_id", text: str = "query_text") -> DataFrame:

@@ -15,6 +15,8 @@ from cairn.functions.vector import clamp, dot
 
 #: Query vectors that one pass over the vectors may carry.
 MAX_QUERIES = 10_000
+#: Decimals of a cosine; further ones depend on how a batch was multiplied, and equal vectors must tie.
+DIGITS = 9
 
 
 def vector_leg(vectors: DataFrame, queries: DataFrame, *, min_cosine: float = 0.40, k: int = 50, query: str = "query_id") -> DataFrame:
@@ -43,7 +45,7 @@ def vector_leg(vectors: DataFrame, queries: DataFrame, *, min_cosine: float = 0.
                 part = p[sizes == dim]
                 for lo in range(0, len(part), 4096):
                     some = part.iloc[lo : lo + 4096]
-                    cosine = np.clip(np.stack(some.embedding.to_numpy()).astype(np.float64) @ q.T, 0.0, 1.0)
+                    cosine = np.round(np.clip(np.stack(some.embedding.to_numpy()).astype(np.float64) @ q.T, 0.0, 1.0), DIGITS)
                     i, j = np.nonzero(cosine >= min_cosine)  # NaN is never above
                     out = some.iloc[i][["symbol_id", "chunk_index", "start_line", "end_line"]].assign(**{query: ids[j], "cosine": cosine[i, j]})
                     out = out.sort_values(["cosine", "start_line", "chunk_index"], ascending=[False, True, True]).drop_duplicates([query, "symbol_id"])

@@ -87,7 +87,7 @@ m AS (SELECT t3.query_id, t3.term, {key}, field, w, pos - place AS at, t3.n FROM
       GROUP BY ALL HAVING count(DISTINCT place) = t3.n),
 tf AS (SELECT query_id, term, {key}, sum(w) AS tf FROM m GROUP BY ALL),
 df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
-scored AS (SELECT query_id, {key}, sum(greatest(ln((st.n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))) AS bm25
+scored AS (SELECT query_id, {key}, round(sum(greatest(ln((st.n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))), 9) AS bm25
            FROM tf JOIN df USING (query_id, term) JOIN dl USING ({key}), st GROUP BY ALL)"""
 
 
@@ -103,7 +103,7 @@ _CHUNK_FIELDS = [("fts_name", 3.0), ("fts_path", 2.0), ("fts_body", 1.0)]
 _EMB = """
 e AS (SELECT DISTINCT ON (symbol_id, chunk_index) * FROM symbol_embeddings),
 qv AS (SELECT query_id, arg_min(embedding, hit_id)::DOUBLE[] AS vec FROM hits JOIN (SELECT * FROM e WHERE chunk_index = 0 AND len(embedding) = 64) USING (symbol_id) GROUP BY 1),
-v0 AS (SELECT query_id, symbol_id, chunk_index, e.start_line, e.end_line, greatest(0.0, least(1.0, list_dot_product(embedding::DOUBLE[], vec))) AS cosine
+v0 AS (SELECT query_id, symbol_id, chunk_index, e.start_line, e.end_line, round(greatest(0.0, least(1.0, list_dot_product(embedding::DOUBLE[], vec))), 9) AS cosine
        FROM (SELECT * FROM e WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: isnan(x)))) e, (SELECT * FROM qv WHERE NOT list_bool_or(list_transform(vec, lambda x: isnan(x)))) qv),
 v1 AS (SELECT * FROM v0 WHERE cosine >= 0.4 QUALIFY row_number() OVER (PARTITION BY query_id, symbol_id ORDER BY cosine DESC, start_line, chunk_index) = 1),
 sem AS (SELECT query_id, symbol_id, start_line, end_line, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, symbol_id) AS rank FROM v1 QUALIFY rank <= 50)"""
@@ -208,7 +208,7 @@ UNION ALL
 SELECT path, 0, {STEM.format(BASE.format("path"))}, 'doc_section', path, {_nonblank("left(c, 800)")}, 1, greatest(len(ls), 1) FROM l WHERE path NOT IN (SELECT path FROM h)""",
     "bm25_chunks_topk": f"WITH {Q}, {CH}, {_bm25('ch', 'chunk_key', _CHUNK_FIELDS)}, {_leg(True)} SELECT query_id, symbol_id, chunk_key, bm25, rank FROM lex",
     "code_search": f"WITH {Q}, {SYM}, {_bm25('sym', 'symbol_id', [('name', 1.0), ('signature', 1.0)])} SELECT query_id, symbol_id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, symbol_id) AS rank FROM scored QUALIFY rank <= 20",
-    "vector_topk": """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS symbol_id, greatest(0.0, least(1.0, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS cosine
+    "vector_topk": """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS symbol_id, round(greatest(0.0, least(1.0, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 9) AS cosine
   FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
 SELECT query_id, symbol_id, round(cosine, 5) AS cosine FROM s WHERE cosine >= 0.15 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, symbol_id) <= 10""",
     "hybrid_search": f"{_HYBRID} SELECT query_id, position, symbol_id, match_type, round(score, 5) AS score, file_path, start_line, end_line FROM fin",
