@@ -156,7 +156,7 @@ def nearest(df: DataFrame, queries: DataFrame, *, k: int = 10, group: str = "sym
                     best = (np.full((len(ids), k), -3.0), np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k), np.int64))
                 for at in range(0, len(ids), BLOCK):
                     s = slice(at, at + BLOCK)
-                    cosine = vecs[s] @ v[lo:hi].T
+                    cosine = np.round(vecs[s] @ v[lo:hi].T, 9)  # equal vectors tie, however a block is multiplied
                     cosine[ids[s, 0][:, None] == key[lo:hi, 0][None, :]] = -3.0
                     take = min(k, hi - lo)
                     top = np.argpartition(-cosine, take - 1, axis=1)[:, :take]
