@@ -28,7 +28,10 @@ OUTPUT = frozenset("dist build out gen generated target".split())
 _MARK = re.compile(r"@generated\b|<auto-generated|auto-?generated\s*\(|code generated by\b|generated (?:on build )?by \w+,|machine-written by|automatically (?:produced|generated) by|do not edit\b|do not modify manually|changes will be lost", re.I)
 _COMMENT_LINE = re.compile(r"\s*(?://|#|/\*|\*|--|;|<!--)")
 _BUNDLE = re.compile(r"(?:\.min|\.bundle|-[0-9a-f]{8})\.\w+$|\.lock\.json$|(?:^|/)package-lock\.json$")
-_STRING = re.compile(r"\"((?:[^\"\\\n]|\\.){160,})\"|'((?:[^'\\\n]|\\.){160,})'")
+_WRAP = re.compile(r"\\?\r?\n[ \t]*")
+#: Tokens that may stand between the pieces of one literal, and between the items of a list.
+_JOINERS = frozenset([*"+.\\()", *"rRuUbBfF", "rb", "br", "Rb", "bR", "rB", "Br", "RB", "BR"])
+_LISTED = frozenset(",[]{}")
 _CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?:[ \t].*)?\r?\n?", re.M)
 _DATED = re.compile(r"\d{4}-\d\d-\d\d[ T]\d\d:\d\d")
 #: A template's grammar has this many symbols, plus this share of the tokens; JSON, whose configuration repeats
@@ -38,19 +41,45 @@ SQUEEZED, BLOB_SHARE = 0.10, 0.6
 #: A copy has this share of its long rules, and at least so many tokens in them, in other repositories too.
 COPIED_SHARE, COPIED_TOKENS = 0.5, 64
 OVERSIZED = 1_000_000
-
-
-def blob_share(tokens: list[str], text: str) -> float:
-    """Share of the token characters in numbers and in strings that a grammar can't shorten."""
-    total = sum(map(len, tokens)) or 1
+#: Characters from which a literal is examined.
+LITERAL = 160
+#: Characters from which items of a list that are all equally long, but for the last one, are lines of wrapped data.
+WRAPPED_LINE = 32
+
+
+def literals(tokens: list[str]) -> list[str]:
+    """The literals' characters without quotes, wrapping and indentation. Pieces that are joined are one literal,
+    and so are the lines of wrapped data in a list."""
+    out: list[list[str]] = []
+    joined = listed = False
+    for t in tokens:
+        if len(t) > 1 and t[0] in "\"'`":
+            n = 3 if t[:3] in ('"""', "'''") and len(t) >= 6 else 1
+            s = _WRAP.sub("", t[n:-n])
+            wrapped = listed and len(s) <= len(out[-1][-1]) == len(out[-1][0]) >= WRAPPED_LINE
+            if not (joined or wrapped):
+                out.append([])
+            out[-1].append(s)
+            joined = listed = True
+        elif t not in _JOINERS:
+            joined, listed = False, listed and t in _LISTED
+    return ["".join(x) for x in out]
+
+
+def dense(s: str) -> int:
+    """Characters of the literal if it has no blanks and a grammar can't shorten its beginning."""
+    if sum(c.isspace() for c in s) * 50 < len(s):
+        left, rules, _ = re_pair(list(s[:4000]))
+        if left + 2 * rules > 0.6 * min(len(s), 4000):
+            return len(s)
+    return 0
+
+
+def blob_share(tokens: list[str]) -> float:
+    """Share of the token characters in numbers and in literals that a grammar can't shorten."""
+    total = sum(len(_WRAP.sub("", t)) if "\n" in t else len(t) for t in tokens) or 1
     numbers = sum(len(t) for t in tokens if t[0].isdigit())
-    strings = 0
-    for m in _STRING.finditer(text):
-        s = m.group(1) or m.group(2)
-        if sum(c.isspace() for c in s) * 50 < len(s):
-            left, rules, _ = re_pair(list(s[:4000]))
-            if left + 2 * rules > 0.6 * min(len(s), 4000):
-                strings += len(s)
+    strings = sum(dense(s) for s in literals(tokens) if len(s) >= LITERAL)
     return (numbers + strings) / total
 
 
@@ -81,7 +110,7 @@ def examine(path: str, content: str | None, size: int | None = None) -> tuple[st
     if detect_doc(path) or not content.strip():
         return kind, [], 0
     content = _CONFLICT.sub("", content)  # what a merge left behind is nobody's writing
-    tokens = code_tokens(content)
+    tokens = code_tokens(content, language)
     rules = shared_rules(tokens)
     covered = sum(n for _, n in rules)
     if kind is None and language:
@@ -92,7 +121,7 @@ def examine(path: str, content: str | None, size: int | None = None) -> tuple[st
         marked = any(_MARK.search(s) for s in head)
         reuse = n >= 40 and max(uses, default=0) >= 4
         blank = sum(c in " \t\r\n" for c in content) / len(content)
-        blob = blob_share(tokens, content)
+        blob = blob_share(tokens)
         if language != "json" and (blob >= BLOB_SHARE or tabular(content)):
             kind = "data"
         elif n >= 60 and blank < SQUEEZED and language != "json" and len(content) > 250 and max(map(len, content.splitlines())) > 120:

@@ -7,19 +7,61 @@ import zlib
 
 import numpy as np
 
-_TOKEN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\W\d]\w*|\d[\w.]*|[^\w\s]")
-_COMMENT = re.compile(r"//[^\n]*|/\*.*?\*/|(?:(?<=\n)|^)[ \t]*#(?!include|define|if|else|endif|pragma|\[|!)[^\n]*|\"\"\".*?\"\"\"|'''.*?'''", re.S)
+_TRIPLE = r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''"
+_SHORT = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+#: A literal in plain quotes whose lines, as of wrapped data, hold no blanks but their indentation.
+_WRAPPED = r"\"(?:[^\"\s]*\r?\n[ \t]*)+[^\"\s]*\"|'(?:[^'\s]*\r?\n[ \t]*)+[^'\s]*'"
+_BACKTICK = r"`(?:[^`\\]|\\.)*`"
+_REST = r"|[^\W\d]\w*|\d[\w.]*|[^\w\s]"
+_NOTE = r"//[^\n]*|/\*.*?\*/|(?:(?<=\n)|^)[ \t]*#(?!include|define|if|else|endif|pragma|\[|!)[^\n]*"
+#: By whether the language has literals in backticks: comments and literals as they follow each other, and tokens.
+_SCAN = {t: re.compile("|".join([_NOTE, _TRIPLE, _SHORT, _WRAPPED, *[_BACKTICK] * t]), re.S) for t in (False, True)}
+_TOKEN = {t: re.compile("|".join([_TRIPLE, _SHORT, _WRAPPED, *[_BACKTICK] * t]) + _REST, re.S) for t in (False, True)}
+_BACKTICKED = frozenset(("javascript", "jsx", "typescript", "tsx", "go"))
 _DIGITS = re.compile(r"\d+")
 
 
-def code_tokens(text: str) -> list[str]:
-    """Tokens without comments and docstrings."""
-    return _TOKEN.findall(_COMMENT.sub(" ", text))
+def _documents(before: str, near: int = 64) -> bool:
+    """A string after this text, which is free of comments, is the first statement of a module, class or function.
+    That takes the last lines, ``near`` at first and all where the statement before begins further up."""
+    lines = before.rsplit("\n", near)
+    whole = len(lines) <= near
+    own = lines.pop()
+    if own.strip(" \trRuUbBfF"):
+        return bool(re.search(r"@\w*doc\s+(?:~[sS])?$", own))
+    while lines and not lines[-1].strip():
+        lines.pop()
+    if not whole and len(lines) < 2:
+        return _documents(before, near * 16)
+    if not lines:
+        return True
+    head, depth = re.sub(r"#[^\"']*$", "", lines[-1]).rstrip(), 0
+    if not head.endswith(":"):
+        return False
+    for line in reversed([*lines[:-1], head]):  # back to the line on which the statement begins
+        depth += sum(line.count(c) for c in ")]}") - sum(line.count(c) for c in "([{")
+        if depth <= 0:
+            return bool(re.match(r"\s*(?:async\s+def|def|class)\b", line))
+    return not whole and _documents(before, near * 16)
+
+
+def code_tokens(text: str, language: str | None = None) -> list[str]:
+    """Tokens without comments and docstrings; a literal is one token, however many lines it has."""
+    ticks = language in _BACKTICKED
+    kept: list[str] = []
+    at = 0
+    for m in _SCAN[ticks].finditer(text):
+        found = m.group()
+        if found[0] in "\"'`" and not (found[:3] in ('"""', "'''") and _documents("".join(kept) + text[at : m.start()])):
+            continue
+        kept += [text[at : m.start()], " "]
+        at = m.end()
+    return _TOKEN[ticks].findall("".join(kept) + text[at:])
 
 
 def shape(tokens: list[str]) -> list[str]:
     """Tokens with numbers and numbering in names unified: what a template leaves alike."""
-    return ["0" if t[0].isdigit() else '""' if t[0] in "\"'" else _DIGITS.sub("0", t) for t in tokens]
+    return ["0" if t[0].isdigit() else '""' if t[0] in "\"'`" else _DIGITS.sub("0", t) for t in tokens]
 
 
 def re_pair(tokens: list[str], least: int = 2) -> tuple[int, int, list[int]]:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import mixture, nearest, neighbours, provenance, rank, syntax
-from cairn.llm.repair import re_pair, shared_rules
+from cairn.llm.repair import code_tokens, re_pair, shared_rules
 
 VALID = {
     "a.py": "import os\nfrom . import x as y\n\n@dec(1)\nasync def f(a, *b, c: int = 1, **d) -> 'T':\n    '''doc'''\n    async with g(a) as h, i:\n        return [x for x in h if x > 1 if y] or {k: v for k, v in b}\n    for i, (j, *k) in z: pass\n    else:\n        x: int = 5; y += 1\n    try:\n        raise E from None\n    except (A, B) as e:\n        pass\n    finally:\n        del a[0], b.c\n    lambda q, *r: q if r else (yield)\n    return f'{a}' 'b' if not a else -b ** 2\nclass C(B, metaclass=M): x = 1\nmatch a:\n    case {'k': [1, *_]} | P(x=1) if a: pass\n",
@@ -135,6 +135,31 @@ def test_kinds(spark):
     assert provenance.find_foreign(df.limit(0)).count() == 0
 
 
+def noise(n, seed=6):
+    rng = random.Random(seed)
+    return "".join(rng.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789+/") for _ in range(n))
+
+
+def test_wrapped_literals_are_data():
+    kind = lambda path, text: provenance.examine(path, text)[0]
+    lines = [noise(76, i) for i in range(12)] + [noise(40)]
+    wrapped = "\n".join(lines)
+    for text in (f'X = b"""\n{wrapped}\n"""\n', f"X = '''{wrapped}'''\r\n", "X = (\n" + "".join(f'    b"{s}"\n' for s in lines) + ")\n", "X = [\n" + "".join(f'    "{s}",\n' for s in lines) + "]\n"):
+        assert kind("one/src/b.py", text) == "data", text
+    assert kind("one/src/b.ts", f"export const x = `{wrapped}`;\n") == "data" and kind("one/src/b.rs", f'const X: &str = "{wrapped}";\n') == "data"
+    assert kind("one/src/b.py", f'X = """\n{wrapped}\n"""\n' + hand(12)) is None
+    sql = 'Q = """\n' + "\n".join(f"select {a}, count(*) from {b} where {a} is not null" for a in ("one", "two", "six") for b in ("read", "node", "edge")) + '\n"""\n'
+    names = "NAMES = [" + ", ".join(f'"{a}_{b}"' for a in ("read", "merge", "build", "drop", "seal") for b in ("cache", "node", "frame", "token", "edge")) + "]\n"
+    assert kind("one/src/q.py", sql) is None and kind("one/src/n.py", names) != "data"
+
+
+def test_docstrings_are_no_tokens():
+    for text in ('"""told"""\nx = 1', '# c\n\n"""told"""\nx = 1', 'def f(\n    a,\n) -> int:\n    """told"""\n    return 1', 'class A:  # note\n    r"""told"""', '@doc """\ntold\n"""\nx'):
+        assert "told" not in "".join(code_tokens(text, "python"))
+    for text in ('x = """told"""', 'x = {\n  "k":\n  """told"""}', 'x = f(\n"""told""")'):
+        assert '"""told"""' in code_tokens(text, "python")
+
+
 # ---------------------------------------------------------------- ranking
 
 
