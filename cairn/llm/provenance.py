@@ -41,8 +41,8 @@ SQUEEZED, BLOB_SHARE = 0.10, 0.6
 #: A copy has this share of its long rules, and at least so many tokens in them, in other repositories too.
 COPIED_SHARE, COPIED_TOKENS = 0.5, 64
 OVERSIZED = 1_000_000
-#: Characters from which a literal is examined.
-LITERAL = 160
+#: Characters from which a literal is examined, and about as many that go through one grammar.
+LITERAL, BLOCK = 160, 4000
 #: Characters from which items of a list that are all equally long, but for the last one, are lines of wrapped data.
 WRAPPED_LINE = 32
 
@@ -67,12 +67,17 @@ def literals(tokens: list[str]) -> list[str]:
 
 
 def dense(s: str) -> int:
-    """Characters of the literal if it has no blanks and a grammar can't shorten its beginning."""
-    if sum(c.isspace() for c in s) * 50 < len(s):
-        left, rules, _ = re_pair(list(s[:4000]))
-        if left + 2 * rules > 0.6 * min(len(s), 4000):
-            return len(s)
-    return 0
+    """Characters of the literal in blocks without blanks that a grammar can't shorten; every block is examined."""
+    k = max(1, round(len(s) / BLOCK))
+    ends = [len(s) * i // k for i in range(k + 1)]
+    found = 0
+    for a, b in zip(ends, ends[1:]):
+        block = s[a:b]
+        if sum(c.isspace() for c in block) * 50 < len(block):
+            left, rules, _ = re_pair(list(block))
+            if left + 2 * rules > 0.6 * len(block):
+                found += len(block)
+    return found
 
 
 def blob_share(tokens: list[str]) -> float:

@@ -153,6 +153,12 @@ def test_wrapped_literals_are_data():
     assert kind("one/src/q.py", sql) is None and kind("one/src/n.py", names) != "data"
 
 
+def test_long_literals_are_examined_whole():
+    kind = lambda s: provenance.examine("one/src/b.py", f'X = "{s}"\n')[0]
+    assert kind("A" * 5000 + noise(60_000)) == "data" and kind(noise(5000) + "AB" * 30_000) is None and kind(noise(9000)) == "data" and kind("A" * 9000) is None
+    assert provenance.dense("A" * 8000 + noise(12_000)) == 12_000
+
+
 def test_docstrings_are_no_tokens():
     for text in ('"""told"""\nx = 1', '# c\n\n"""told"""\nx = 1', 'def f(\n    a,\n) -> int:\n    """told"""\n    return 1', 'class A:  # note\n    r"""told"""', '@doc """\ntold\n"""\nx'):
         assert "told" not in "".join(code_tokens(text, "python"))
