@@ -2,8 +2,8 @@
 
 Characters are mapped back to the bytes of a legacy encoding, and a byte-structure automaton (the well-formed
 UTF-8 sequences, as a regular expression over the encoding's characters) finds the maximal multibyte spans;
-only those spans are decoded, and only if they decode to characters that texts use and the span itself does
-not read as text. This repeats until nothing changes, so text garbled twice is restored as well. Single-byte
+only those spans are decoded, and only if they decode to assigned letters, marks, numbers and symbols and the
+span itself does not read as text; for rare characters more counts as such. This repeats until nothing changes, so text garbled twice is restored as well. Single-byte
 mix-ups (a Cyrillic or a Windows text read with another single-byte encoding) have no multibyte structure;
 their spans are found by the shape of their bytes and decoded the same way. Replacement characters mark a
 passage whose bytes are lost: found, but not restorable.
@@ -12,6 +12,7 @@ passage whose bytes are lost: found, but not restorable.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,10 +46,10 @@ def _automaton(chars: dict[str, int]) -> re.Pattern:
 
 _CHARS = {c: _bytes_of(c) for c in LEGACY}
 _AUTOMATA = {c: _automaton(m) for c, m in _CHARS.items()}
-#: What decoded text may hold: Latin-1, common Latin letters, Greek, Cyrillic, general punctuation and symbols,
+#: What decoded text often holds: Latin-1, common Latin letters, Cyrillic, general punctuation and symbols,
 #: box drawing, kana, unified ideographs, full-width forms, emoji.
 _USED = re.compile(r"[\t\n -ÿŒœŠšŸŽžƒˆ˜Ѐ-џ‐-›€№™←-⇿∀-⋿─-➿　-ヿ一-鿿＀-￯﻿​-‍️\U0001f000-\U0001faff]+")
-#: Further scripts, for spans of the Latin code pages, where pairs of capitals and signs are no text by themselves.
+#: Further scripts that count as often held for longer spans of the Latin code pages, where pairs of capitals and signs are no text by themselves.
 _WIDE = re.compile(r"[\t\n -ÿĀ-ɏˀ-ͯͰ-ϿЀ-ԯ֐-ۿऀ-ॿ฀-๿Ḁ-ỿ‌-⁯₠-➿　-鿿ﬀ-ﬆ＀-￯﻿️\U0001d400-\U0001d7ff\U0001f000-\U0001faff\U00020000-\U0002ffff]+")
 _LATIN = frozenset(("cp1252", "latin-1", "cp1250", "cp1254", "iso8859-15"))
 _BOX = re.compile(r"[─-▟]+")
@@ -56,6 +57,40 @@ _CYRILLIC = re.compile(r"[Ѐ-џ]+")
 _ANY = re.compile(r"[\u0080-\U0010ffff]")
 
 
+#: Marks that close a word or a sentence, and may stand behind a capital or an accented letter.
+_CLOSING = frozenset("“”‘’…–—»«‹›\u00a0")
+_OPENS = {"»": "«", "”": "“„"}
+
+
+def _assigned(decoded: str) -> bool:
+    """Every character is an assigned letter, mark, number or symbol, or one that texts use anyway."""
+    return all(_WIDE.fullmatch(c) or unicodedata.category(c)[0] in "LMNS" for c in decoded)
+
+
+def _reads_as_rare(text: str, a: int, b: int, decoded: str) -> bool:
+    """For spans that decode to characters not all texts use: the span is a capital or an accented letter with
+    what follows it in any text, a quotation with its first letter, or a letter of another script in a word."""
+    span, before, after = text[a:b], text[a - 1 : a], text[b : b + 1]
+    if all(c in _CLOSING for c in span[1:]) and len(decoded) == 1 and span[0].isalpha():
+        if len(span) == 2 and not before.isalpha() and span[1] in _OPENS:  # nothing was opened that it could close
+            return any(text.count(c, 0, a) > text.count(span[1], 0, a) for c in _OPENS[span[1]])
+        torn = before.islower() and span[0].isupper()  # a capital within a word
+        return ord(decoded) >= 0x480 or not torn and not (after.isalpha() and span[-1] in "“”‘…›" and len(span) == 2)
+    if len(decoded) > 1 or len(span) > 2:
+        return span.isalpha() and _CYRILLIC.fullmatch(span) is not None
+    if unicodedata.category(span[0])[0] in "PZ" or before.isupper() and span[0].isupper() and not after.islower():
+        return True
+    if ord(decoded) >= 0x480 and (before.isalpha() or after.isalpha()):
+        return True
+    if _BOX.match(span) and (_BOX.match(before or " ") or not (before.isalpha() or after.isalpha() or _BOX.fullmatch(span))):
+        return True
+    if _CYRILLIC.match(span) and (_CYRILLIC.match(span[1]) or span[1] in "°§©®"):
+        return not (before.isascii() and before.isalpha() or after.isascii() and after.isalpha())
+    if span.isalpha() and span[0] != "ƒ" and span[1] not in "ªº":  # a word's own letters, unless a capital stands within it
+        return not (before.islower() and span[0].isupper()) and not (span.isupper() and after.islower() and not before.isalpha())
+    return unicodedata.category(decoded)[0] == "M" and not before.isalpha()
+
+
 def _reads_as_text(text: str, a: int, b: int, decoded: str) -> bool:
     """The span is better left alone: a drawing among drawings, an alphabet's own letters, capitals in a capital word."""
     span = text[a:b]
@@ -78,7 +113,9 @@ def _multibyte(text: str) -> tuple[str, set[str]]:
             decoded = bytes(chars[c] for c in m.group()).decode("utf-8", "replace")
             again = any(_AUTOMATA[k].search(decoded) for k in ("cp1252", "latin-1"))
             wide = codec in _LATIN and len(m.group()) > 2 and _WIDE.fullmatch(decoded)
-            if (_USED.fullmatch(decoded) or wide or again) and not _reads_as_text(text, m.start(), m.end(), decoded):
+            usual = _USED.fullmatch(decoded) or wide or again
+            rare = not usual and _assigned(decoded) and not _reads_as_rare(text, m.start(), m.end(), decoded)
+            if (usual or rare) and not _reads_as_text(text, m.start(), m.end(), decoded):
                 found.setdefault(m.span(), (decoded, codec))
     out, end, used = [], len(text), set()
     chosen, at = [], -1

@@ -118,6 +118,21 @@ def test_clean_text_stays(text):
     assert mojibake.repair(text)[:2] == (False, text)
 
 
+RARE = ["파일을 읽습니다", "Spark를 쓴다", "5 μm wide", "the α value", "są małe", "wąski most", "dağ evi", "účet a čas", "Łódź leży", "ქართული ენა", "Հայերեն լեզու", "বাংলা ভাষা", "தமிழ் மொழி", "x₁ + y² ⭐"]
+
+
+@pytest.mark.parametrize("codec", ["latin-1", "cp1252", "cp1250", "cp437", "cp850", "mac_roman", "koi8-r"])
+@pytest.mark.parametrize("text", RARE)
+def test_other_scripts(codec, text):
+    garbled = "".join(bytes([b]).decode(codec, "replace") if bytes([b]).decode(codec, "replace") != "\ufffd" else chr(b) for b in text.encode())
+    assert mojibake.repair(f"# {garbled} ok")[:3] == (True, f"# {text} ok", True)
+
+
+@pytest.mark.parametrize("text", [*RARE, "„Ä“ und „Ö“", "CAFÉ\u00a0! ANNÉE", "CAFÉ…", "Spaß“ und Straß… Gruß–", "Úžasný Úžas", "l’été d’état «École» ‹É›", "KLÁŠTER ŘEKA", "Ósmy ŻÓŁĆ MÓŁ", "её моё всё ещё МОЁ", "Íñigo São ãé", "ÇA… ÇÀ « É »", "NÃO… É…", "├файл └файл ─а", "Ш§ 5 Д°"])
+def test_clean_text_of_other_scripts_stays(text):
+    assert mojibake.repair(text)[:2] == (False, text)
+
+
 def test_repair_table(spark):
     rows = [(1, "caf\u00c3\u00a9"), (1, "caf\u00c3\u00a9"), (2, None), (3, ""), (4, "ok é"), (5, "\u00c3\u00a9 " * 50_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("restored", F.lit(0)).withColumn("k", F.lit(0))
