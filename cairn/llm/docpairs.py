@@ -1,10 +1,10 @@
 """Functions paired with their documentation.
 
 Candidate documentation is the comment above a symbol and, in languages that put it there, the string at the
-head of a body. Candidates and functions of a file are matched by bipartite assignment: an edge weighs the
-distance in lines, whether the text names the function, how its parameter tags fit the signature, and whether
-it is informative; edges that span other lines are implausible and left out. A function without an
-informative candidate is dropped.
+head of a body. A function's candidates are its own comment and its own head string; the better one is taken
+by whether the text names the function, how its parameter tags fit the signature, and whether it is
+informative. Comments of other symbols are no candidates, so :func:`assign` has one function in each component
+here. A function without an informative candidate is dropped.
 """
 
 from __future__ import annotations
