@@ -1,27 +1,35 @@
 """Functions paired with their documentation.
 
-Candidate documentation is the comment above a symbol and, in languages that put it there, the string at the
-head of a body. A function's candidates are its own comment and its own head string; the better one is taken
-by whether the text names the function, how its parameter tags fit the signature, and whether it is
-informative. Comments of other symbols are no candidates, so :func:`assign` has one function in each component
-here. A function without an informative candidate is dropped.
+Candidate documentation is every comment of the file that is stored with a symbol, of whatever kind, and in
+languages that put it there the string at the head of a body. Functions and comments of a file form a
+bipartite graph: a function is linked with its own comments, and with comments of other symbols within a few
+lines: those whose parameter tags or leading name point to it and not to the symbol they are stored with, and
+the nearest ones. Edges weigh closeness, names, parameter tags and information; the assignment of greatest
+total weight gives each function at most one comment and each comment at most one function. Links by
+distance alone are implausible and rejected; a pair whose text is uninformative for its function is dropped.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.language import detect
 
 #: Kinds that are functions or methods.
 FUNCTION_KINDS = frozenset("function_item function_declaration function_definition function function_static_declaration method_definition method_declaration method singleton_method constructor_declaration destructor_declaration local_function_statement local_function_declaration method_signature secondary_constructor".split())
-#: Lines of a file that are matched together; a longer file is cut into such windows.
+#: Lines of a file that are matched together; a longer file is cut into such windows, which share NEAR lines.
 WINDOW = 4096
+#: Lines that may lie between a function and a comment that is stored with another symbol.
+NEAR = 4
+#: Weights of an edge: a comment of the function's own, one that other tags contradict, information, the head of
+#: the body, a name in the text, a leading name, a parameter tag of an own and of another symbol's comment.
+OWN, CONTRADICTED, TELLS, HEAD, NAMED, LED, OWN_TAG, TAG = 6.0, -5.0, 4.0, 0.5, 1.0, 3.0, 0.5, 2.0
 
 _PY_HEAD = re.compile(r"\s*(?:async\s+)?def\b[^\n]*?\(", re.S)
 _PY_STRING = re.compile(r"\s*(?:#[^\n]*\n\s*)*[rRuUbBfF]{0,2}(\"\"\"(.*?)\"\"\"|'''(.*?)'''|\"([^\"\n]*)\"|'([^'\n]*)')", re.S)
@@ -178,14 +186,44 @@ def _hungarian(cost: list[list[float]]) -> list[int]:
     return out
 
 
+def settle(weights: dict[tuple[int, int], float]) -> tuple[dict[int, int], dict[tuple[int, int], float]]:
+    """``(links, edges left)``: links that some assignment of greatest weight holds. Such is an edge that weighs as
+    much as the best other edges of its function and of its comment together: exchanging these two for it loses
+    nothing. Settled ends are taken out, which may settle their neighbours."""
+    of_f: dict[int, dict[int, float]] = {}
+    of_c: dict[int, dict[int, float]] = {}
+    for (f, c), w in weights.items():
+        of_f.setdefault(f, {})[c] = w
+        of_c.setdefault(c, {})[f] = w
+    out, todo = {}, sorted(of_f, reverse=True)
+    while todo:
+        f = todo.pop()
+        edges = of_f.get(f)
+        if not edges:
+            continue
+        c = max(edges, key=lambda c: (edges[c], -c))
+        w = edges[c]
+        if w < max((x for d, x in edges.items() if d != c), default=0.0) + max((x for g, x in of_c[c].items() if g != f), default=0.0):
+            continue
+        out[f] = c
+        freed = {g for d in edges for g in of_c[d] if g != f} | {g for g in of_c[c] if g != f}
+        for d in of_f.pop(f):
+            of_c[d].pop(f, None)
+        for g in of_c.pop(c):
+            of_f[g].pop(c, None)
+        todo += sorted(freed & of_f.keys(), reverse=True)
+    return out, {(f, c): w for f, edges in of_f.items() for c, w in edges.items()}
+
+
 def assign(weights: dict[tuple[int, int], float]) -> dict[int, int]:
-    """Comment of each function in the assignment of greatest total weight (weights are positive), component
-    by component of the graph of plausible edges."""
+    """Comment of each function in the assignment of greatest total weight (weights are positive): what
+    :func:`settle` leaves open is solved component by component of the graph."""
+    out, weights = settle(weights)
     near: dict[tuple[str, int], list[tuple[str, int]]] = {}
     for f, c in weights:
         near.setdefault(("f", f), []).append(("c", c))
         near.setdefault(("c", c), []).append(("f", f))
-    seen, out = set(), {}
+    seen = set()
     for start in sorted(near):
         if start in seen:
             continue
@@ -199,96 +237,184 @@ def assign(weights: dict[tuple[int, int], float]) -> dict[int, int]:
                     seen.add(y)
                     todo.append(y)
         fs, cs = sorted(i for k, i in part if k == "f"), sorted(i for k, i in part if k == "c")
-        if len(fs) == 1:
-            out[fs[0]] = max(cs, key=lambda c: (weights[fs[0], c], -c))
-            continue
-        spare = max(0, len(fs) - len(cs)) + len(fs)  # a function may stay alone at no gain
-        cost = [[-weights.get((f, c), 0.0) for c in cs] + [0.0] * spare for f in fs]
+        cost = [[-weights.get((f, c), 0.0) for c in cs] + [0.0] * len(fs) for f in fs]  # a function may stay alone at no gain
         for f, j in zip(fs, _hungarian(cost)):
-            if 0 <= j < len(cs) and (f, cs[j]) in weights:
+            if j < len(cs) and (f, cs[j]) in weights:
                 out[f] = cs[j]
     return out
 
 
-def match_window(rows: list[tuple]) -> list[tuple]:
-    """``(symbol key, documentation, place)`` of the functions in one window; rows are (key, name, kind, path,
-    signature, doc_comment, head, start_line, end_line, is function)."""
+def graph(rows: list[tuple]) -> tuple[list[tuple], list[int], dict[tuple[int, int], float], set[tuple[int, int]]]:
+    """``(comments, functions, weights, plausible and informative edges)`` of one window; an edge is (place in
+    functions, place in comments), a comment (row, place, text, line, tags, leading word).
+
+    A comment is linked with its own function, with functions nearby that its tags or its leading word point
+    to, and by distance alone with the nearest function below and above; a link by distance alone competes in the
+    assignment, but is implausible.
+    """
     comments, functions = [], []
-    for i, (_, name, _, _, _, above, head, start, end, yes) in enumerate(rows):
-        start, end = int(start or 0), int(end or start or 0)
+    for i, (_, _, _, _, above, head, start, _, yes) in enumerate(rows):
         for where, text in (("above", above), ("head", head)):
             if text and text.strip():
-                comments.append((i, where, text, start, set(tags(text))))
+                line = None if start is None else start if where == "above" else start + 2
+                comments.append((i, where, text, line, set(tags(text)), leading_word(text)))
         if yes:
-            functions.append((i, start, end))
-    near: dict[int, list[int]] = {}
-    for c, (_, _, _, line, _) in enumerate(comments):
-        near.setdefault(line, []).append(c)
-    weights = {}
-    for k, (i, start, _) in enumerate(functions):
-        name, signature = rows[i][1], rows[i][4]
-        for c in near.get(start, ()):
-            j, where, text, _, named = comments[c]
-            if j != i and not rows[j][9] and rows[j][2] != "unknown":
-                continue  # a comment on something else that begins on the line
-            if j != i:
-                continue  # an equal line of another symbol is a repeat, not this function
-            fits = len(named & set(re.findall(r"\w+", signature or "")))
-            informative = not is_trivial(text, name, signature)
-            weights[k, c] = 4.0 * informative + (where == "head") * 0.5 + (1.0 if name and name in text else 0.0) + 0.5 * min(fits, 4) + 1.0
+            functions.append(i)
+    place = {i: f for f, i in enumerate(functions)}
+    words = [set(re.findall(r"\w+", rows[i][3] or "")) for i in functions]
+    ends: list[tuple[int, int]] = []  # where a comment right above and one right below a function belong
+    by_word: dict[str, list[tuple[int, int]]] = {}  # the same by the function's name and parameters
+    for f, i in enumerate(functions):
+        start, end = rows[i][6], rows[i][7]
+        if start is not None:
+            at = [(x, f) for x in {start, max(end or start, start) + 2}]
+            ends += at
+            for w in words[f] | {rows[i][1]}:
+                by_word.setdefault(w, []).extend(at)
+    for at in (ends, *by_word.values()):
+        at.sort()
+    weights, plausible = {}, set()
+
+    def edge(f: int, c: int, weight: float) -> None:
+        i, text = functions[f], comments[c][2]
+        if not is_trivial(text, rows[i][1], rows[i][3]):
+            plausible.add((f, c))
+            weight += TELLS
+        weights[f, c] = weight
+
+    for c, (i, where, text, line, named, led) in enumerate(comments):
+        f, name = place.get(i), rows[i][1]
+        fits = len(named & (words[f] if f is not None else set(re.findall(r"\w+", rows[i][3] or ""))))
+        near: dict[int, int] = {}
+        if line is not None:
+            k = bisect_left(ends, (line,))
+            some = [*ends[max(0, k - 1) : k], *ends[k : k + 2]]
+            for w in {*named, led} - {None}:
+                at = by_word.get(w, ())
+                some += at[bisect_left(at, (line - NEAR,)) : bisect_right(at, (line + NEAR, len(functions)))]
+            for x, g in some:
+                if g != f and abs(line - x) <= NEAR:
+                    near[g] = min(abs(line - x), near.get(g, NEAR))
+        pointed = False
+        for g, gap in near.items():
+            own, match = rows[functions[g]][1], len(named & words[g])
+            by_tags, by_name = match and not fits and 2 * match > len(named), led is not None and led == own and own != name and not (name and name in text)
+            close = 1 - gap / (NEAR + 1)
+            if by_tags or by_name:
+                pointed = True
+                edge(g, c, close + TAG * min(match, 3) * bool(by_tags) + LED * by_name)
+            else:
+                weights[g, c] = close
+        if f is not None:
+            edge(f, c, OWN + CONTRADICTED * pointed + HEAD * (where == "head") + NAMED * bool(name and name in text) + OWN_TAG * min(fits, 4))
+    return comments, functions, weights, plausible
+
+
+def match_window(rows: list[tuple]) -> list[tuple]:
+    """``(symbol key, documentation, place, key of the symbol the comment is stored with, its line, weight)`` of the
+    functions in one window; rows are (key, name, path, signature, doc_comment, head, start_line, end_line, is
+    function). place: above or head, or near for another symbol's comment."""
+    comments, functions, weights, plausible = graph(rows)
     got = []
-    for k, c in assign(weights).items():
-        if weights[k, c] >= 4.0 and not is_trivial(comments[c][2], rows[functions[k][0]][1], rows[functions[k][0]][4]):
-            got.append((rows[functions[k][0]][0], comments[c][2], comments[c][1]))
+    for f, c in assign(weights).items():
+        if (f, c) in plausible:
+            owner, where, text, line, _, _ = comments[c]
+            i = functions[f]
+            got.append((rows[i][0], text, where if owner == i else "near", rows[owner][0], where, line, weights[f, c]))
     return got
 
 
-def pair_documentation(df: DataFrame, *, key: str = "symbol_id", repo: str | None = "repo") -> DataFrame:
+def leading_word(text: str) -> str | None:
+    """The identifier a comment begins with, comment marks aside."""
+    first = next((s for s in clean(text) if s), "")
+    m = re.match(r"`?([^\W\d]\w*)`?(?:\(\))?(?=[\s:,.]|$)", first)
+    return m.group(1) if m else None
+
+
+def whole_signature(signature: str | None, body: str | None) -> str:
+    """The signature, completed from the body where it is missing or was cut within its brackets."""
+    if signature and signature.count("(") <= signature.count(")"):
+        return signature
+    head, depth, seen = [], 0, False
+    for line in (body or "").split("\n"):
+        if not head and line.lstrip().startswith("@"):
+            continue
+        depth += line.count("(") - line.count(")")
+        seen = seen or "(" in line
+        head.append(line)
+        if depth <= 0 and (seen or "{" in line):
+            break
+    text = " ".join(head)
+    close = text.rfind(")") if seen else -1
+    brace = text.find("{", max(close, 0))
+    return f"{signature or ''} {text[:brace] if brace >= 0 else text}".strip()
+
+
+def pair_documentation(df: DataFrame, *, key: str = "symbol_id") -> DataFrame:
     """``(key, documentation, place)``: every function or method with a body that has documentation, once.
 
-    place: above, or head for the head of the body. Needs path, name, kind, signature, doc_comment,
-    body_text, start_line, end_line; other columns are ignored. Empty and NULL bodies, NULL names and
-    trivial documentation give nothing; repeated rows count once. Only rows that may be functions are
-    shuffled, without their bodies, by file and window of lines, so a long file is many groups; each
-    partition is read sorted and matched as a stream.
+    place: above or head for its own comment or the head of its body, near for a comment stored with another
+    symbol. Needs path, name, kind, signature, doc_comment, body_text, start_line, end_line; other columns are
+    ignored. Empty and NULL bodies and trivial documentation give nothing; symbols without lines, or with lines
+    below 1, are linked with their own comments only; repeated rows count once. Bodies are not shuffled. Rows
+    are grouped by file and window of lines, so a long file is many groups, each read sorted as a stream;
+    windows share the lines around their border, and a comment that two windows gave away stays with the
+    heavier link.
     """
     kind_of = dict(df.dtypes)[key]
-    some = df.where(F.col(key).isNotNull() & (F.col("kind").isNull() | F.col("kind").isin("unknown", *FUNCTION_KINDS)) & F.col("body_text").rlike(r"\S"))
-    some = some.select(F.col(key).alias("k"), "name", "kind", "path", "signature", "doc_comment", "body_text", F.col("start_line").cast("long").alias("a"), F.col("end_line").cast("long").alias("b"))
+    may = F.col("kind").isNull() | F.col("kind").isin("unknown", *FUNCTION_KINDS)
+    some = df.where(F.col(key).isNotNull() & (F.col("doc_comment").rlike(r"\S") | (may & F.col("body_text").rlike(r"\S"))))
+    body = F.when(may & F.col("body_text").rlike(r"\S"), F.col("body_text"))
+    some = some.select(F.col(key).alias("k"), "name", "kind", "path", "signature", "doc_comment", body.alias("body"), F.col("start_line").cast("long").alias("a"), F.col("end_line").cast("long").alias("b"))
 
     def narrow(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
             for k, name, kind, path, signature, above, body, a, b in p.itertuples(index=False, name=None):
-                if not is_function(kind, path, signature, body):
-                    continue
-                head = head_documentation(path, body)
-                if above and above.strip() or head and head.strip():
-                    sign = signature or body.split("{", 1)[0].split("\n", 1)[0][:400]
-                    if signature and len(signature) >= 80:
-                        sign = f"{signature} {body[:400].split('{', 1)[0].split(chr(10), 1)[0]}"
-                    rows.append((k, name, kind, path, sign, above, head, a, b))
-            out = pd.DataFrame(rows, columns=["k", "name", "kind", "path", "signature", "above", "head", "a", "b"])
+                yes = body is not None and is_function(kind, path, signature, body)
+                head = head_documentation(path, body) if yes else None
+                if yes or above and above.strip():
+                    rows.append((k, name, path, whole_signature(signature, body) if yes else signature, above, head, a if a > 0 else None, b if b > 0 else None, yes))
+            out = pd.DataFrame(rows, columns=["k", "name", "path", "signature", "above", "head", "a", "b", "yes"])
             out[["a", "b"]] = out[["a", "b"]].astype("Int64")
             yield out
 
-    near = some.mapInPandas(narrow, f"k {kind_of}, name string, kind string, path string, signature string, above string, head string, a long, b long")
-    near = near.dropDuplicates(["k"]).withColumn("w", F.floor(F.coalesce("a", F.lit(0)) / WINDOW))
+    near = some.mapInPandas(narrow, f"k {kind_of}, name string, path string, signature string, above string, head string, a long, b long, yes boolean")
+    home = F.floor(F.coalesce("a", F.lit(0)) / WINDOW)
+    reach = NEAR + 2
+    near = near.withColumn("home", home).withColumn("w", F.explode(F.array_distinct(F.array("home", F.floor(F.greatest(F.coalesce("a", F.lit(0)) - reach, F.lit(0)) / WINDOW), F.floor((F.coalesce("a", F.lit(0)) + reach) / WINDOW)))))
+
+    columns = ["k", "documentation", "place", "owner", "at", "weight"]
 
     def match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, group = None, []
+        held, group, mine, last = None, [], set(), None
+
+        def done():
+            for k, text, place, owner, where, line, weight in match_window(group):
+                if k in mine:
+                    border = line is not None and min(line % WINDOW, -line % WINDOW) <= reach
+                    yield (k, text, place, owner if border else k, where if border else "", weight)
+
         for p in parts:
             got = []
-            for path, w, k, name, kind, signature, above, head, a, b in p[["path", "w", "k", "name", "kind", "signature", "above", "head", "a", "b"]].itertuples(index=False, name=None):
+            for path, w, home, k, name, signature, above, head, a, b, yes in p[["path", "w", "home", "k", "name", "signature", "above", "head", "a", "b", "yes"]].itertuples(index=False, name=None):
                 if (path, w) != held:
-                    got += match_window(group)
-                    held, group = (path, w), []
-                group.append((k, name, kind, path, signature, above, head, 0 if a != a else a, 0 if b != b else b, True))
-            yield pd.DataFrame(got, columns=["k", "documentation", "place"])
-        yield pd.DataFrame(match_window(group), columns=["k", "documentation", "place"])
+                    got += done()
+                    held, group, mine, last = (path, w), [], set(), None
+                if k == last:
+                    continue  # repeated rows are neighbours
+                last = k
+                if home == w:
+                    mine.add(k)
+                group.append((k, name, path, signature, above, head, None if a != a else int(a), None if b != b else int(b), yes))
+            yield pd.DataFrame(got, columns=columns)
+        yield pd.DataFrame(list(done()), columns=columns)
 
     ordered = near.repartition(F.col("path"), F.col("w")).sortWithinPartitions("path", "w", "a", "k")
-    return ordered.mapInPandas(match, f"k {kind_of}, documentation string, place string").withColumnRenamed("k", key)
+    found = ordered.mapInPandas(match, f"k {kind_of}, documentation string, place string, owner {kind_of}, at string, weight double")
+    once = Window.partitionBy("owner", "at").orderBy(F.col("weight").desc(), "k")
+    best = found.withColumn("_n", F.row_number().over(once)).where("_n = 1")
+    return best.select(F.col("k").alias(key), "documentation", "place")
 
 
 def pairs_with_code(df: DataFrame, *, key: str = "symbol_id") -> DataFrame:

@@ -199,3 +199,79 @@ def test_pairs(spark):
     got = {r["symbol_id"]: r for r in docpairs.pairs_with_code(df).collect()}
     assert set(got) == {2, 4, 7, 8} and got[4]["place"] == "head" and got[2]["place"] == "above" and got[2]["body_text"].startswith("def f")
     assert docpairs.pair_documentation(df.limit(0)).count() == 0
+
+
+SYMBOLS = "symbol_id long, name string, kind string, path string, signature string, doc_comment string, body_text string, start_line long, end_line long"
+
+
+def fn(i, name, args, doc, start, path="a.ts", end=None):
+    sign = f"function {name}({args}) {{"
+    return (i, name, "function_declaration", path, sign, doc, f"{sign}\n  return {args.split(',')[0] or 0}\n}}", start, end or start + 2)
+
+
+def told(rows):
+    """Documentation of each key, and how often the Hungarian step ran."""
+    calls, step = [], docpairs._hungarian
+    docpairs._hungarian = lambda cost: calls.append(len(cost)) or step(cost)
+    try:
+        got = docpairs.match_window([(k, n, p, docpairs.whole_signature(s, b), d, docpairs.head_documentation(p, b), a, e, kind in docpairs.FUNCTION_KINDS) for k, n, kind, p, s, d, b, a, e in rows])
+    finally:
+        docpairs._hungarian = step
+    return {g[0]: (g[1], g[2]) for g in got}, len(calls)
+
+
+def test_swapped_comments_go_to_the_functions_they_describe():
+    a, b = "@param left the part that is kept\n@param bias moves the border", "@param shard where it lies\n@param token stops the scan"
+    rows = [fn(1, "rotate", "shard, token", a, 10), fn(2, "blend", "left, bias", b, 14), fn(3, "other", "x", "Empties the queue before it closes.", 30)]
+    got, _ = told(rows)
+    assert got == {1: (b, "near"), 2: (a, "near"), 3: (rows[2][5], "above")}
+
+
+def test_displaced_comment():
+    doc = "@param depth how far the walk goes\n@param seen marks what was visited"
+    rows = [(1, "LIMIT", "const_item", "a.ts", "const LIMIT", doc, "const LIMIT = 4", 9, 9), fn(2, "walk", "depth, seen", None, 11), fn(3, "peek", "depth", None, 15)]
+    got, _ = told(rows)
+    assert got == {2: (doc, "near")}  # and not the one of the two that has only one of its parameters
+    assert told([rows[0], fn(2, "walk", "depth, seen", None, 40)])[0] == {}  # too far
+    led = "walk visits every node once and reports the deepest."
+    assert told([(1, "LIMIT", "const_item", "a.go", "const LIMIT", led, "const LIMIT = 4", 9, 9), fn(2, "walk", "", None, 11)])[0] == {2: (led, "near")}
+    assert told([(1, "LIMIT", "const_item", "a.go", "const LIMIT", "Stops runaway scans.", "const LIMIT = 4", 9, 9), fn(2, "walk", "", None, 10)])[0] == {}  # by distance alone
+
+
+def test_contested_comments_are_assigned_as_a_whole():
+    """Three functions want two comments; the greatest total decides, not the first come."""
+    one, two = "@param a kept as it is\n@param b dropped when stale", "@param a first of the pair\n@param b last of the pair\n@param c their common root"
+    rows = [(9, "K", "const_item", "a.ts", "const K", one, "const K = 1", 10, 10), (8, "L", "const_item", "a.ts", "const L", two, "const L = 1", 11, 11), fn(1, "f", "a, b, c", None, 12, end=12), fn(2, "g", "a, b", None, 13, end=13), fn(3, "h", "a, b, z", None, 14, end=14)]
+    got, calls = told(rows)
+    assert got[1] == (two, "near") and got[2] == (one, "near") and 3 not in got and calls > 0
+
+
+def test_settling_keeps_an_optimum():
+    rng = random.Random(7)
+    for _ in range(300):
+        fs, cs = rng.randint(1, 5), rng.randint(1, 5)
+        w = {(f, c): rng.choice((1.0, 2.0, 3.0, rng.random() * 9)) for f in range(fs) for c in range(cs) if rng.random() < 0.6}
+
+        def best(f, used):
+            if f == fs:
+                return 0.0
+            return max([best(f + 1, used), *(w[f, c] + best(f + 1, used | {c}) for c in range(cs) if (f, c) in w and c not in used)])
+
+        got = docpairs.assign(w)
+        assert len(set(got.values())) == len(got) and abs(sum(w[x] for x in got.items()) - best(0, frozenset())) < 1e-9
+
+
+def test_windows_share_their_border(spark):
+    doc = "@param depth how far the walk goes\n@param seen marks what was visited"
+    edge = docpairs.WINDOW
+    rows = [(1, "LIMIT", "const_item", "a.ts", "const LIMIT", doc, "const LIMIT = 4", edge - 1, edge - 1), fn(2, "walk", "depth, seen", None, edge + 1), fn(3, "near", "x", "Empties the queue.", edge), fn(4, "long", "x", "Drops stale shards.", 3, end=edge * 3)]
+    rows += [fn(100 + i, f"f{i}", "x", "Empties the queue.", 20 + 3 * i, "hot.ts") for i in range(6000)]
+    got = {r["symbol_id"]: r["place"] for r in docpairs.pair_documentation(spark.createDataFrame([*rows, rows[1]], SYMBOLS)).collect()}
+    assert got[2] == "near" and got[3] == "above" and got[4] == "above" and 1 not in got and len(got) == 6003
+
+
+def test_whole_signatures():
+    whole = docpairs.whole_signature
+    assert whole("fn f(a: u8)", "fn f(a: u8) {\n x }") == "fn f(a: u8)"
+    assert whole(None, "@dec(x)\ndef f(\n    first,\n    " + "pad, " * 200 + "last,\n):\n    return 1").endswith("last, ):")
+    assert "last" in whole("def f(" + "a" * 74, "def f(\n" + "a" * 900 + ",\n last):\n  pass") and whole(None, None) == "" and whole("f", None) == "f"
