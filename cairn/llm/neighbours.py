@@ -8,8 +8,9 @@ exact cosines are computed once per pair.
 
 Only (bucket, fingerprint, sketch) is shuffled per bucket, never a vector. Exact copies of a vector share
 their fingerprint and collapse before and after the shuffle, so a group of copies, however large, is one
-entry; their links are membership in the fingerprint. A bucket's rows are read sorted and compared in blocks,
-so a hot bucket needs no more memory than a cold one.
+entry; their links are membership in the fingerprint. A vector is known by two independent 64-bit hashes; the
+first alone leads to candidates, both together to rows. A task holds at most HOT rows of a bucket; what a
+bucket has more is handed on row by row and compared in tiles of bounded size by many tasks.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from cairn.session import cut
 
 DIM, SKETCH = 64, 63
-#: Rows of one bucket that are compared at a time.
-BLOCK = 4096
+#: Rows of one bucket that a task holds.
+HOT = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -142,8 +142,10 @@ def _hash_rows(index: Index):
     return run
 
 
-def _meet(limit: int):
-    """Pairs of fingerprints that meet in a bucket, stored with stored or probing, within the sketch distance."""
+def _meet(limit: int, hot: int | None = None):
+    """``kind, a, b, c`` of sorted (bucket, fp, sketch): kind 0 are pairs (a, b) of fingerprints that meet in a
+    bucket, stored with stored or probing, within the sketch distance; kind 1 the rows of buckets with more than
+    ``hot`` rows, as they came, of which no pairs are made here."""
 
     def compare(b: np.ndarray, f: np.ndarray, s: np.ndarray):
         stored = (s & 1) == 1
@@ -152,27 +154,30 @@ def _meet(limit: int):
             return
         lo, hi = np.searchsorted(hb, b, "left"), np.searchsorted(hb, b, "right")
         count = hi - lo
-        for part in np.array_split(np.arange(len(b)), max(1, int(count.sum()) // 2_000_000)):
+        edges = np.unique(np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + 1_000_000, 1_000_000)))
+        for x, y in zip([0, *edges.tolist()], [*edges.tolist(), len(b)]):
+            part = np.arange(x, y)
             c = count[part]
             right = np.repeat(part, c)
             left = np.repeat(lo[part], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             near = np.bitwise_count((hs[left] ^ (s[right] >> 1)).astype(np.uint64)) <= limit
-            x, y = hf[left[near]], f[right[near]]
-            different = x != y
-            x, y = x[different], y[different]
-            if len(x):
-                yield np.minimum(x, y), np.maximum(x, y)
+            u, v = hf[left[near]], f[right[near]]
+            different = u != v
+            u, v = u[different], v[different]
+            if len(u):
+                yield np.minimum(u, v), np.maximum(u, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_b = np.empty(0, np.int64)
-        open_f, open_s = open_b, open_b
-        done_b = None  # stored rows of the open bucket that were compared already, when it is longer than a block
+        open_f, open_s, over = open_b, open_b, None
+
+        def emit(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(c)], names=["kind", "a", "b", "c"])
 
         def out(b, f, s):
-            pairs = list(compare(b, f, s))
-            if pairs:
-                both = np.unique(np.stack([np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            for x, y in compare(b, f, s):
+                both = np.unique(np.stack([x, y], 1), axis=0)
+                yield emit(0, both[:, 0], both[:, 1], np.zeros(len(both), np.int64))
 
         for batch in batches:
             b, f, s = (np.concatenate([o, batch.column(i).to_numpy()]) for i, o in enumerate((open_b, open_f, open_s)))
@@ -181,23 +186,42 @@ def _meet(limit: int):
             new = np.ones(len(b), bool)
             new[1:] = (b[1:] != b[:-1]) | (f[1:] != f[:-1]) | (s[1:] != s[:-1])  # copies are neighbours
             b, f, s = b[new], f[new], s[new]
+            if hot is not None:
+                starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+                sizes = np.diff(np.append(starts, len(b)))
+                large = np.repeat((sizes > hot) | (b[starts] == over) if over is not None else sizes > hot, sizes)
+                if large.any():
+                    over = b[-1] if large[-1] else over
+                    yield emit(1, b[large], f[large], s[large])
+                    b, f, s = b[~large], f[~large], s[~large]
+                    if not len(b):
+                        open_b = open_f = open_s = np.empty(0, np.int64)
+                        continue
             cut_at = int(np.searchsorted(b, b[-1], "left"))
             yield from out(b[:cut_at], f[:cut_at], s[:cut_at])
             open_b, open_f, open_s = b[cut_at:], f[cut_at:], s[cut_at:]
         yield from out(open_b, open_f, open_s)
-        del done_b
 
     return run
 
 
+def _tiles(rows: DataFrame, hot: int) -> DataFrame:
+    """``bucket, fp, sketch`` of hot buckets, as buckets of their own for each pair of blocks. A block has about
+    ``hot`` / 2 rows by the fingerprint's hash; a row goes to the tiles of its block with every other."""
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) * 2 / hot).cast("int").alias("_n"))
+    own = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("_n")).cast("int")
+    each = rows.join(sizes, "bucket").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return each.select(F.xxhash64("bucket", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("bucket"), "fp", "sketch")
+
+
 def similar_pairs(df: DataFrame, *, group: str = "symbol_id", vector: str = "embedding", min_cosine: float = 0.9, index: Index | None = None) -> DataFrame:
     """``(<group>_a, <group>_b, cosine)``, a < b: pairs of different groups that have vectors with at least
     ``min_cosine``; the highest cosine of a pair counts.
 
     Unusable vectors (see :func:`usable`) are in no pair. Repeated rows, and several vectors of a group, are
     the same fingerprints and groups again; a NULL group is in no pair; other columns are ignored. Exact
-    copies under many groups are listed as pairs here, because the result's size asks for it; use
-    :func:`links` for classes instead.
+    copies under many groups are listed as pairs here, because such a result is asked for only where groups
+    have few partners; use :func:`links` for classes instead.
     """
     pairs, members = links(df, group=group, vector=vector, min_cosine=min_cosine, index=index)
     a, b = members.select(F.col("fp").alias("a"), F.col("g").alias("ga")), members.select(F.col("fp").alias("b"), F.col("g").alias("gb"))
@@ -208,30 +232,39 @@ def similar_pairs(df: DataFrame, *, group: str = "symbol_id", vector: str = "emb
     return linked.unionByName(copies).groupBy("x", "y").agg(F.max("cosine").alias("cosine")).select(F.col("x").alias(f"{group}_a"), F.col("y").alias(f"{group}_b"), "cosine")
 
 
-def links(df: DataFrame, *, group: str = "symbol_id", vector: str = "embedding", min_cosine: float = 0.9, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(pairs, members)``: links ``(a, b, cosine)`` between fingerprints of distinct vectors, and the groups
-    ``g`` of every fingerprint ``fp``."""
+def links(df: DataFrame, *, group: str = "symbol_id", vector: str = "embedding", min_cosine: float = 0.9, index: Index | None = None, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, members)``: links ``(a, b, cosine)`` between the classes of distinct vectors, and the groups ``g``
+    of every class ``fp``. A class is a struct of two hashes of the vector."""
     rows = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(vector).alias("v"))
-    rows = usable(rows, "v", (index or Index()).dim).select("g", F.xxhash64("v").alias("fp"), "v")
+    rows = usable(rows, "v", (index or Index()).dim).select("g", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("h2"), "v")
     index = index or Index.fit(rows.count(), min_cosine)
-    hashed = rows.select("fp", "v").mapInArrow(_hash_rows(index), "bucket long, fp long, sketch long")
-    met = cut(hashed.repartition("bucket").sortWithinPartitions("bucket", "fp", "sketch").mapInArrow(_meet(index.hamming), "a long, b long").distinct())
-    wanted = met.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    members = rows.select("fp", "g").distinct()
-    vectors = rows.select("fp", "v").join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
-    both = met.join(vectors.select(F.col("fp").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("fp").alias("b"), F.col("v").alias("vb")), "b")
+    hashed = rows.select(F.col("h").alias("fp"), "v").mapInArrow(_hash_rows(index), "bucket long, fp long, sketch long")
+    shape = "kind int, a long, b long, c long"
+    in_order = lambda x: x.repartition("bucket").sortWithinPartitions("bucket", "fp", "sketch")
+    met = cut(in_order(hashed).mapInArrow(_meet(index.hamming, hot), shape).distinct())
+    over = met.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("fp"), F.col("c").alias("sketch"))
+    near = met.where("kind = 0").select("a", "b")
+    if over.take(1):
+        near = cut(near.unionByName(in_order(_tiles(over, hot)).mapInArrow(_meet(index.hamming), shape).select("a", "b")).distinct())
+    members = rows.select(F.struct("h", "h2").alias("fp"), "g").distinct()
+    wanted = near.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    vectors = rows.select("h", "h2", "v").join(wanted, "h", "left_semi").dropDuplicates(["h", "h2"])
+    side = lambda n: vectors.select(F.col("h").alias(n), F.col("h2").alias(f"{n}2"), F.col("v").alias(f"v{n}"))
+    both = near.join(side("a"), "a").join(side("b"), "b")
     dim = index.dim
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = _matrix(batch.column(2), dim), _matrix(batch.column(3), dim)
+            x, y = _matrix(batch.column(4), dim), _matrix(batch.column(5), dim)
             cosine = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-            keep = cosine >= min_cosine
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(cosine[keep])], names=["a", "b", "cosine"])
+            keep = pa.array(cosine >= min_cosine)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).filter(keep) for i in range(4)], pa.array(cosine).filter(keep)], names=["a", "a2", "b", "b2", "cosine"])
 
-    return both.select("a", "b", "va", "vb").mapInArrow(exact, "a long, b long, cosine double"), members
+    found = both.select("a", "a2", "b", "b2", "va", "vb").mapInArrow(exact, "a long, a2 long, b long, b2 long, cosine double")
+    name = lambda n: F.struct(F.col(n).alias("h"), F.col(f"{n}2").alias("h2")).alias(n)
+    return found.select(name("a"), name("b"), "cosine"), members
 
 
 def brute_force(ids: np.ndarray, vectors: np.ndarray, min_cosine: float) -> set[tuple[int, int]]:
@@ -241,4 +274,4 @@ def brute_force(ids: np.ndarray, vectors: np.ndarray, min_cosine: float) -> set[
     return {(min(a, b), max(a, b)) for a, b in zip(ids[i].tolist(), ids[j].tolist()) if a != b}
 
 
-__all__ = ["Index", "brute_force", "buckets", "links", "pd", "similar_pairs", "usable"]
+__all__ = ["Index", "brute_force", "buckets", "links", "similar_pairs", "usable"]

@@ -49,6 +49,13 @@ def p4_neighbours(spark, d):
     return got.withColumn("cosine", F.round("cosine", 6))
 
 
+def p4_recall(spark, d):
+    """Recall of p4_neighbours against an exhaustive search of the same queries."""
+    e = table(spark, d, "symbol_embeddings")
+    asked = e.where("symbol_id % 20 = 0")
+    return nearest.recall(nearest.nearest(e, asked), nearest.nearest(e, asked, index=nearest.exhaustive()))
+
+
 def p6_files(spark, d):
     return provenance.find_foreign(_contents(spark, d), table(spark, d, "files"))
 
@@ -89,7 +96,7 @@ def p10_restored(spark, d):
     return mojibake.repair_corpus(_texts(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p3_ranking, p4_found, p4_neighbours, p6_found, p6_files, p7_found, p7_flags, p7_rates, p8_ids, p9_mixture, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p3_ranking, p4_found, p4_neighbours, p4_recall, p6_found, p6_files, p7_found, p7_flags, p7_rates, p8_ids, p9_mixture, p9_shares, p10_found, p10_restored)}
 
 SQL = {
     "p2_found": "SELECT DISTINCT symbol_id, chunk_index FROM symbol_chunks WHERE length(embed_text) > 800",

@@ -249,6 +249,54 @@ def test_nearest(spark):
     assert {r["neighbour_symbol_id"] for r in few} == {1, 3}
 
 
+def test_nearest_in_small_tiles(spark, monkeypatch):
+    """Few cells, and cells cut into many tiles, give the same neighbours as one search; several tables are merged."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(1200, 64))
+    v[:400] = v[0] + 0.4 * v[:400]  # a third of all rows in one place
+    df = spark.createDataFrame([(i, i % 3, x.tolist()) for i, x in enumerate(v)], "symbol_id long, chunk_index long, embedding array<float>")
+    rows = lambda **more: {(r["symbol_id"], r["rank"]): r["neighbour_symbol_id"] for r in nearest.nearest(df, df, k=3, **more).collect()}
+    exact = rows(index=nearest.exhaustive())
+    u = v.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T - 9 * np.eye(len(u))
+    assert exact == {(i, r + 1): int(j) for i in range(1200) for r, j in enumerate(np.argsort(-s[i], kind="stable")[:3])}
+    for name, value in (("QUERY_BLOCK", 50), ("ROW_BLOCK", 64), ("MAX_CELLS", 30)):
+        monkeypatch.setattr(nearest, name, value)
+    assert rows(index=nearest.exhaustive()) == exact
+    found = rows(index=nearest.Coarse(64, 5, 2.0, 0.6, tables=3))
+    assert sum(found.get(x) == y for x, y in exact.items()) > 0.9 * len(exact)
+
+
+def test_recall(spark):
+    shape = "symbol_id long, chunk_index long, cosine double"
+    exact = spark.createDataFrame([(1, 0, 0.9), (1, 0, 0.8), (2, 0, 0.7), (2, 0, 0.6)], shape)
+    found = spark.createDataFrame([(1, 0, 0.9), (1, 0, 0.8), (1, 0, 0.8), (2, 0, 0.7)], shape)
+    assert tuple(nearest.recall(found, exact).first()) == (2, 0.75, 0.5)
+
+
+def test_hot_bucket_is_compared_in_tiles(spark):
+    """A third of all rows are distinct vectors in one place: no group holds them all, and no pair is lost."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=64)
+    v = np.concatenate([centre + 0.25 * rng.normal(size=(300, 64)), rng.normal(size=(600, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "symbol_id long, embedding array<float>")
+    index = neighbours.Index(tables=3, functions=4, width=6.0, probes=2, hamming=30)
+    pairs = lambda hot: {(r["a"], r["b"]): r["cosine"] for r in neighbours.links(df, index=index, hot=hot)[0].collect()}
+    whole = pairs(1 << 20)
+    assert len(whole) > 30_000 and pairs(64) == whole
+
+
+def test_colliding_fingerprints_stay_apart(spark):
+    """Vectors are told apart by both hashes."""
+    v = np.random.default_rng(4).normal(size=(4, 64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate([v[0], v[0], v[1], v[2]])], "symbol_id long, embedding array<float>")
+    classes = {}
+    for r in neighbours.links(df)[1].collect():
+        classes.setdefault(tuple(r["fp"]), set()).add(r["g"])
+    assert sorted(map(sorted, classes.values())) == [[0, 1], [2], [3]] and all(len(k) == 2 for k in classes)
+
+
 def test_fit_is_a_rule():
     a, b = neighbours.Index.fit(1000, 0.9), neighbours.Index.fit(1_000_000, 0.9)
     assert a == neighbours.Index.fit(1000, 0.9) and b.functions > a.functions and b.tables > a.tables
