@@ -336,3 +336,20 @@ def test_mixture(spark, data):
     assert sorted(map(tuple, mixture.mix(many, targets)[0].collect())) == sorted(map(tuple, got))  # seeded
     empty, none = mixture.mix(docs.limit(0), targets)
     assert empty.count() == 0 and mixture.mix(docs, targets.limit(0))[0].count() == 0
+
+
+def test_mixture_of_many_sources(spark, monkeypatch):
+    """No target is lost, whatever their number; shards follow the records, so many sources fit the bound."""
+    docs = spark.range(5000).selectExpr("id as doc_id", "concat('word ', id) as text", "concat('s', id % 49) as source")
+    targets = spark.range(10_001).selectExpr("concat('s', id) as source", "1.0 as target_share", "3 as max_repeats")
+    monkeypatch.setattr(mixture, "SHARD_RECORDS", 1)
+    monkeypatch.setattr(mixture, "MAX_CELLS", 400)
+    records, report = mixture.mix(docs, targets)
+    rows = report.collect()
+    assert len(rows) == 10_001 and sum(r["available_tokens"] > 0 for r in rows) == 49
+    assert all(abs(r["reached_share"] - 1 / 49) < 0.003 for r in rows if r["available_tokens"]) and records.select("source").distinct().count() == 49
+    asked, _ = mixture.mix(docs, targets.where("source in ('s1', 's2')"), size_tokens=120)
+    assert 100 <= asked.selectExpr("sum(tokens * copies) as n").first()["n"] <= 140
+    monkeypatch.setattr(mixture, "MAX_CELLS", 90)
+    with pytest.raises(ValueError):
+        mixture.mix(docs, targets)
