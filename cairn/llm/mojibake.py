@@ -46,6 +46,8 @@ def _automaton(chars: dict[str, int]) -> re.Pattern:
 
 _CHARS = {c: _bytes_of(c) for c in LEGACY}
 _AUTOMATA = {c: _automaton(m) for c, m in _CHARS.items()}
+#: Runs that can hold a span: characters that stand for a high byte in any of the encodings.
+_RUN = re.compile("[" + "".join(re.escape(c) for c in sorted(set().union(*_CHARS.values()))) + "]{2,}")
 #: What decoded text often holds: Latin-1, common Latin letters, Cyrillic, general punctuation and symbols,
 #: box drawing, kana, unified ideographs, full-width forms, emoji.
 _USED = re.compile(r"[\t\n -ÿŒœŠšŸŽžƒˆ˜Ѐ-џ‐-›€№™←-⇿∀-⋿─-➿　-ヿ一-鿿＀-￯﻿​-‍️\U0001f000-\U0001faff]+")
@@ -106,31 +108,26 @@ def _reads_as_text(text: str, a: int, b: int, decoded: str) -> bool:
 
 
 def _multibyte(text: str) -> tuple[str, set[str]]:
-    found: dict[tuple[int, int], tuple[str, str]] = {}
-    for codec in LEGACY:
-        chars = _CHARS[codec]
-        for m in _AUTOMATA[codec].finditer(text):
-            decoded = bytes(chars[c] for c in m.group()).decode("utf-8", "replace")
-            again = any(_AUTOMATA[k].search(decoded) for k in ("cp1252", "latin-1"))
-            wide = codec in _LATIN and len(m.group()) > 2 and _WIDE.fullmatch(decoded)
-            usual = _USED.fullmatch(decoded) or wide or again
-            rare = not usual and _assigned(decoded) and not _reads_as_rare(text, m.start(), m.end(), decoded)
-            if (usual or rare) and not _reads_as_text(text, m.start(), m.end(), decoded):
-                found.setdefault(m.span(), (decoded, codec))
-    out, end, used = [], len(text), set()
-    chosen, at = [], -1
-    for (a, b), (decoded, codec) in sorted(found.items(), key=lambda x: (x[0][0], -x[0][1])):  # maximal spans, left to right
-        if a >= at:
-            chosen.append((a, b, decoded))
-            used.add(codec)
-            at = b
-    if not chosen:
-        return text, used
-    at = 0
-    for a, b, decoded in chosen:
-        out += [text[at:a], decoded]
-        at = b
-    return "".join(out) + text[at:end], used
+    """The text with the spans decoded, and the encodings they were read in."""
+    out, at, used = [], 0, set()
+    for run in _RUN.finditer(text):
+        found: dict[tuple[int, int], tuple[str, str]] = {}
+        for codec in LEGACY:
+            chars = _CHARS[codec]
+            for m in _AUTOMATA[codec].finditer(text, *run.span()):
+                decoded = bytes(chars[c] for c in m.group()).decode("utf-8", "replace")
+                again = any(_AUTOMATA[k].search(decoded) for k in ("cp1252", "latin-1"))
+                wide = codec in _LATIN and len(m.group()) > 2 and _WIDE.fullmatch(decoded)
+                usual = _USED.fullmatch(decoded) or wide or again
+                rare = not usual and _assigned(decoded) and not _reads_as_rare(text, m.start(), m.end(), decoded)
+                if (usual or rare) and not _reads_as_text(text, m.start(), m.end(), decoded):
+                    found.setdefault(m.span(), (decoded, codec))
+        for (a, b), (decoded, codec) in sorted(found.items(), key=lambda x: (x[0][0], -x[0][1])):  # maximal spans, left to right
+            if a >= at:
+                out += [text[at:a], decoded]
+                used.add(codec)
+                at = b
+    return "".join(out) + text[at:], used
 
 
 # Single-byte mix-ups: span shape, the bytes' encoding as it was read, and as it was meant.
@@ -138,6 +135,7 @@ _C1 = re.compile(r"[\u0080-\u009f]+")
 _HIGH_RUN = re.compile(r"[\u0080-ÿŒœŠšŸŽžƒˆ˜‐-›€™]{6,}")
 _SJIS_LINE = re.compile(r"[\t -~\u0080-ÿŒœŠšŸŽžƒˆ˜‐-›€™]{4,}")
 _SJIS_SIGN = re.compile(r"‚[Ÿ -ñ]|ƒ[@-~€‚ƒ„…†‡ˆ‰Š‹Œ\u008dŽ\u008f\u0090‘’“”•–]|\u0081[A-Z@-~]")
+_LATIN_WORD = re.compile("[À-ÿ¨¸]{3,}")
 _KANA = re.compile(r"[ぁ-ヿ]")
 _EAST = re.compile(r"[一-鿿ぁ-ヿ　-〟！-～·—…‘’“”]+")
 _LATIN_RUN = re.compile("[À-ÿ¨¸]+(?:[ ,.:;!?-]*[À-ÿ¨¸]+)*")
@@ -261,9 +259,14 @@ def _single_byte(text: str, early: bool) -> tuple[str, set[str]]:
         return span
 
     if early:  # before the automaton can mistake parts of them
-        text = _HIGH_RUN.sub(east, _LATIN_RUN.sub(latin, _SJIS_LINE.sub(sjis, text)))
-        return _CP866_RUN.sub(dos, text), used
-    return _CYR_WORDS.sub(koi, _C1.sub(c1, text)), used
+        if len(_SJIS_SIGN.findall(text)) >= 3:
+            text = _SJIS_LINE.sub(sjis, text)
+        if _LATIN_WORD.search(text):
+            text = _LATIN_RUN.sub(latin, text)
+        text = _HIGH_RUN.sub(east, text)
+        return _CP866_RUN.sub(dos, text) if _CYRILLIC.search(text) and _CP866_SIGN.search(text) else text, used
+    text = _C1.sub(c1, text)
+    return _CYR_WORDS.sub(koi, text) if _CYRILLIC.search(text) else text, used
 
 
 def repair(text: str | None) -> tuple[bool, str | None, bool, list[str]]:
