@@ -3,10 +3,12 @@
 Characters are mapped back to the bytes of a legacy encoding, and a byte-structure automaton (the well-formed
 UTF-8 sequences, as a regular expression over the encoding's characters) finds the maximal multibyte spans;
 only those spans are decoded, and only if they decode to assigned letters, marks, numbers and symbols and the
-span itself does not read as text; for rare characters more counts as such. This repeats until nothing changes, so text garbled twice is restored as well. Single-byte
-mix-ups (a Cyrillic or a Windows text read with another single-byte encoding) have no multibyte structure;
-their spans are found by the shape of their bytes and decoded the same way. Replacement characters mark a
-passage whose bytes are lost: found, but not restorable.
+span itself does not read as text; for rare characters more counts as such. This repeats until nothing
+changes, so text garbled several times is restored as well. Double-byte encodings (Shift-JIS, EUC-JP, GB 2312)
+read as Windows text are found the same way, by their own structure. Single-byte mix-ups (a Cyrillic or a
+Windows text read with another single-byte encoding) have no multibyte structure; their spans are found by the
+shape of their bytes. Replacement characters mark a passage whose bytes are lost: found, but not restorable.
+The column ``ways`` tells these apart.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Double-byte encodings that are looked for under Windows text.
+DOUBLE_BYTE = frozenset(("cp932", "euc_jp", "gb2312"))
 #: Legacy encodings that UTF-8 is taken for; the first one of equally long spans wins.
 LEGACY = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8-r", "cp866", "cp1254", "iso8859-15")
-ROUNDS = 4
 
 
 def _bytes_of(codec: str) -> dict[str, int]:
@@ -271,23 +274,33 @@ def _single_byte(text: str, early: bool) -> tuple[str, set[str]]:
 
 def repair(text: str | None) -> tuple[bool, str | None, bool, list[str]]:
     """``(garbled, text with the spans restored, wholly restored, encodings)``; None and ASCII are left alone."""
+    garbled, text, whole, used, _ = examine(text)
+    return garbled, text, whole, used
+
+
+def examine(text: str | None) -> tuple[bool, str | None, bool, list[str], list[str]]:
+    """Like :func:`repair`, with the ways a passage was found: ``multibyte`` for well-formed spans of UTF-8 or of a
+    double-byte encoding, ``single-byte`` for the shape of single bytes, ``lost`` for replacement characters."""
     if not text or not _ANY.search(text):
-        return False, text, True, []
+        return False, text, True, [], []
     lost = "�" in text
     text, used = _single_byte(text, True)
-    for _ in range(ROUNDS):
+    ways = {"multibyte" if x.rpartition(">")[2] in DOUBLE_BYTE else "single-byte" for x in used}
+    while True:  # a span has fewer characters once it is decoded, so this ends
         new, by = _multibyte(text)
-        used |= by
         if new == text:
             break
-        text = new
+        text, used = new, used | by
+        ways.add("multibyte")
     text, by = _single_byte(text, False)
-    used |= by
-    return bool(used) or lost, text, not lost, sorted(used)
+    ways |= {"single-byte"} if by else set()
+    ways |= {"lost"} if lost else set()
+    return bool(used | by) or lost, text, not lost, sorted(used | by), sorted(ways)
 
 
 def repair_corpus(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The garbled records: key, ``restored`` text, ``whole`` (nothing was lost) and ``encodings``.
+    """The garbled records: key, ``restored`` text, ``whole`` (nothing was lost), ``encodings`` and ``ways``, how its
+    passages were found (see :func:`examine`).
 
     NULL, empty and ASCII texts are no cases and never leave the JVM. One row per garbled input row, repeated
     rows included; extra columns are ignored. No shuffle.
@@ -296,8 +309,8 @@ def repair_corpus(df: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            rows = [(k, new, whole, used) for k, t in zip(p.k, p.t) for bad, new, whole, used in [repair(t)] if bad]
-            yield pd.DataFrame(rows, columns=["k", "restored", "whole", "encodings"])
+            rows = [(k, *got) for k, t in zip(p.k, p.t) for bad, *got in [examine(t)] if bad]
+            yield pd.DataFrame(rows, columns=["k", "restored", "whole", "encodings", "ways"])
 
     some = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike("[^\\x00-\\x7F]"))
-    return some.mapInPandas(run, f"k {kind}, restored string, whole boolean, encodings array<string>").withColumnRenamed("k", key)
+    return some.mapInPandas(run, f"k {kind}, restored string, whole boolean, encodings array<string>, ways array<string>").withColumnRenamed("k", key)

@@ -113,6 +113,21 @@ def test_twice_and_single_byte():
     assert mojibake.repair("The caf\ufffd demo")[:3] == (True, "The caf\ufffd demo", False)
 
 
+@pytest.mark.parametrize("times", [1, 3, 6, 9])
+def test_garbled_many_times(times):
+    text = once = "für größere Häuser"
+    for _ in range(times):
+        once = "".join(bytes([b]).decode("cp1252", "replace") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in once.encode())
+    assert mojibake.examine(once) == (True, text, True, ["cp1252"], ["multibyte"])
+
+
+def test_ways():
+    ways = lambda t: mojibake.examine(t)[4]
+    assert ways("caf\ufffd") == ["lost"] and ways("isn\x92t") == ["single-byte"] and ways("plain") == []
+    assert ways("大きなファイルは解析されず記録だけが残ります".encode("euc_jp").decode("cp1252", "replace")) in (["multibyte"], ["lost", "multibyte"])
+    assert ways("größer".encode().decode("cp1252") + " isn\x92t") == ["multibyte", "single-byte"]
+
+
 @pytest.mark.parametrize("text", [*SENTENCES, None, "", "plain", "MANHÃ, CÂMARA e ÂNGULO", "L’ÂGE et l’ÎLE", "INFORMAÇÃO NÃO", "├── src\n│   └── a.rs\n┌──┐\n│x │\n└──┘", "ВНИМАНИЕ: файл готов. ОШИБКА", "√2 ≈ 1.414, ∂x/∂t ≥ 0", "zażółć gęślą jaźń", "Tiếng Việt: tệp đã xóa", "România: câte fișiere în țară", "a \x85\nb", "Ελληνικά ώρα", "£20 ¿¡ «x» ½²"])
 def test_clean_text_stays(text):
     assert mojibake.repair(text)[:2] == (False, text)
