@@ -120,18 +120,19 @@ def examine(path: str, content: str | None, size: int | None = None) -> tuple[st
     covered = sum(n for _, n in rules)
     if kind is None and language:
         n = len(tokens)
-        left, made, uses = re_pair(shape(tokens)) if n > 1 else (n, 0, [])
-        grammar = left + 2 * made
+        shapes = shape(tokens)
         head = [s for s in content.splitlines()[:12] if _COMMENT_LINE.match(s)]
         marked = any(_MARK.search(s) for s in head)
-        reuse = n >= 40 and max(uses, default=0) >= 4
-        blank = sum(c in " \t\r\n" for c in content) / len(content)
+        # a grammar has at least as many symbols as there are different tokens, so most files need none
+        most = min((0.2 if language == "json" else GRAMMAR_RATIO) * n, max(GRAMMAR_BASE + GRAMMAR_SHARE * n, 2 * GRAMMAR_BASE * marked))
+        left, made, uses = re_pair(shapes) if n >= 40 and len(set(shapes)) < most else (n, 0, [])
+        blank = sum(map(content.count, " \t\r\n")) / len(content)
         blob = blob_share(tokens)
         if language != "json" and (blob >= BLOB_SHARE or tabular(content)):
             kind = "data"
         elif n >= 60 and blank < SQUEEZED and language != "json" and len(content) > 250 and max(map(len, content.splitlines())) > 120:
             kind = "minified"
-        elif reuse and grammar < (0.2 if language == "json" else GRAMMAR_RATIO) * n and (grammar < GRAMMAR_BASE + GRAMMAR_SHARE * n or (marked and grammar < 2 * GRAMMAR_BASE)):
+        elif max(uses, default=0) >= 4 and left + 2 * made < most:
             kind = "generated"
         elif marked and n < 40:
             kind = "generated"

@@ -61,46 +61,49 @@ def code_tokens(text: str, language: str | None = None) -> list[str]:
 
 def shape(tokens: list[str]) -> list[str]:
     """Tokens with numbers and numbering in names unified: what a template leaves alike."""
-    return ["0" if t[0].isdigit() else '""' if t[0] in "\"'`" else _DIGITS.sub("0", t) for t in tokens]
+    unified = {t: "0" if t[0].isdigit() else '""' if t[0] in "\"'`" else _DIGITS.sub("0", t) for t in set(tokens)}
+    return [unified[t] for t in tokens]
 
 
 def re_pair(tokens: list[str], least: int = 2) -> tuple[int, int, list[int]]:
     """``(length of the final sequence, number of rules, uses of each rule)`` of the grammar that replaces the
     most frequent pairs by rules until none occurs ``least`` times. Pairs of equal count go in one round."""
-    names: dict[str, int] = {}
-    seq = np.fromiter((names.setdefault(t, len(names)) for t in tokens), np.int64, len(tokens))
+    names = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+    seq = np.array([names[t] for t in tokens], np.int64)
     top, uses = len(names), []
     while len(seq) > 1:
         pairs = (seq[:-1] << 32) | seq[1:]
-        values, where, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+        order = pairs.argsort(kind="stable")
+        ranked = pairs[order]
+        starts = np.concatenate([[0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1])
+        counts = np.diff(starts, append=len(pairs))
         most = int(counts.max())
         if most < least:
             break
-        chosen = counts == most
-        rank = np.cumsum(chosen) - 1
-        hit = chosen[where]
-        at = np.flatnonzero(hit)
-        if len(at) > 1:  # left to right, without overlaps
+        begin = starts[counts == most]
+        at = order[(begin[:, None] + np.arange(most)).ravel()]
+        which = np.repeat(np.arange(len(begin)), most)
+        by_place = at.argsort()
+        at, which = at[by_place], which[by_place]
+        if (at[1:] - at[:-1] == 1).any():  # left to right, without overlaps
             keep, last = np.ones(len(at), bool), -2
-            if (np.diff(at) == 1).any():
-                for k, p in enumerate(at.tolist()):
-                    keep[k] = p > last + 1
-                    if keep[k]:
-                        last = p
-                at = at[keep]
-        which = rank[where[at]]
-        n = np.bincount(which, minlength=int(chosen.sum()))
+            for k, p in enumerate(at.tolist()):
+                keep[k] = p > last + 1
+                if keep[k]:
+                    last = p
+            at, which = at[keep], which[keep]
+        n = np.bincount(which, minlength=len(begin))
         used = n >= least
-        at = at[used[which]]
+        chosen = used[which]
+        at, which = at[chosen], which[chosen]
         if not len(at):
             break
-        new = np.full(len(n), -1, np.int64)
-        new[used] = top + np.arange(int(used.sum()))
+        seq[at] = (top + np.cumsum(used) - 1)[which]
+        stays = np.ones(len(seq), bool)
+        stays[at + 1] = False
+        seq = seq[stays]
         top += int(used.sum())
         uses += n[used].tolist()
-        seq = seq.copy()
-        seq[at] = new[rank[where[at]]]
-        seq = np.delete(seq, at + 1)
     return len(seq), len(uses), uses
 
 
@@ -118,7 +121,8 @@ def shared_rules(tokens: list[str], least: int = 24) -> list[tuple[int, int]]:
     symbols' hashes. Equal passages therefore get equal rules, in whichever file they stand."""
     if len(tokens) < least:
         return []
-    seq = _mix(np.fromiter((zlib.crc32(t.encode()) for t in tokens), np.uint64, len(tokens)))
+    known = {t: zlib.crc32(t.encode()) for t in set(tokens)}
+    seq = _mix(np.array([known[t] for t in tokens], np.uint64))
     size = np.ones(len(seq), np.int64)
     out: dict[int, int] = {}
     for _ in range(16):
