@@ -5,7 +5,8 @@ numbering in names unified - measures rule reuse: text that a template wrote col
 constant size. A locally consistent grammar yields rules whose hashes agree between files; a file most of
 whose long rules also occur in other repositories is a copy. Literals that a Re-Pair grammar cannot shorten
 are blobs, and code without white space is squeezed. Path and header serve as further evidence: for files
-without content, and to confirm what the grammars suggest.
+without content, to confirm what the grammars suggest, and for copies in vendor folders of which no other
+repository has the original. ``evidence`` tells for each file which kind of it decided.
 """
 
 from __future__ import annotations
@@ -100,56 +101,60 @@ def tabular(text: str) -> bool:
     return usual >= 2 and sum(s.count(",") == usual and not re.search(r"[()\[\]{};]", s) for s in lines) >= 0.9 * len(lines)
 
 
-def examine(path: str, content: str | None, size: int | None = None) -> tuple[str | None, list[tuple[int, int]], int]:
-    """``(kind, long rules as (hash, tokens), their tokens)``; the kind is generated, minified, vendored (by
-    its directory), data, or None as far as the file alone tells."""
+def examine(path: str, content: str | None, size: int | None = None) -> tuple[str | None, str | None, list[tuple[int, int]], int]:
+    """``(kind, evidence, long rules as (hash, tokens), their tokens)``; the kind is generated, minified, data,
+    vendored (by its folder, where there is no content), or None as far as the file alone tells."""
     parts = path.split("/")
     folders, language = set(parts[1:-1]), detect(path)
     if content is None:
         if folders & VENDOR:
-            return "vendored", [], 0
-        if _BUNDLE.search(path) or folders & OUTPUT or (language and (size or 0) >= OVERSIZED):
-            return "minified", [], 0
-        return None, [], 0
-    kind = "vendored" if folders & VENDOR else None
+            return "vendored", "path", [], 0
+        if _BUNDLE.search(path) or folders & OUTPUT:
+            return "minified", "path", [], 0
+        if language and (size or 0) >= OVERSIZED:
+            return "minified", "size", [], 0
+        return None, None, [], 0
     if detect_doc(path) or not content.strip():
-        return kind, [], 0
+        return None, None, [], 0
     content = _CONFLICT.sub("", content)  # what a merge left behind is nobody's writing
     tokens = code_tokens(content, language)
     rules = shared_rules(tokens)
     covered = sum(n for _, n in rules)
-    if kind is None and language:
+    found: tuple[str | None, str | None] = (None, None)
+    if language:
         n = len(tokens)
         shapes = shape(tokens)
-        head = [s for s in content.splitlines()[:12] if _COMMENT_LINE.match(s)]
-        marked = any(_MARK.search(s) for s in head)
+        marked = any(_MARK.search(s) for s in content.splitlines() if _COMMENT_LINE.match(s))
         # a grammar has at least as many symbols as there are different tokens, so most files need none
         most = min((0.2 if language == "json" else GRAMMAR_RATIO) * n, max(GRAMMAR_BASE + GRAMMAR_SHARE * n, 2 * GRAMMAR_BASE * marked))
         left, made, uses = re_pair(shapes) if n >= 40 and len(set(shapes)) < most else (n, 0, [])
         blank = sum(map(content.count, " \t\r\n")) / len(content)
         blob = blob_share(tokens)
-        if language != "json" and (blob >= BLOB_SHARE or tabular(content)):
-            kind = "data"
+        if language != "json" and blob >= BLOB_SHARE:
+            found = "data", "literals"
+        elif language != "json" and tabular(content):
+            found = "data", "delimited lines"
         elif n >= 60 and blank < SQUEEZED and language != "json" and len(content) > 250 and max(map(len, content.splitlines())) > 120:
-            kind = "minified"
+            found = "minified", "white space"
         elif max(uses, default=0) >= 4 and left + 2 * made < most:
-            kind = "generated"
+            found = "generated", "rule reuse"
         elif marked and n < 40:
-            kind = "generated"
+            found = "generated", "header"
         elif language == "json" and _BUNDLE.search(path):
-            kind = "generated"
-    return kind, rules, covered
+            found = "generated", "path"
+    return *found, rules, covered
 
 
 def find_foreign(contents: DataFrame, files: DataFrame | None = None, *, key: str = "file_id", path: str = "path", content: str = "content", size: str = "size") -> DataFrame:
-    """``(key, path, kind, copied_share)`` of the files nobody wrote by hand for their repository.
-
-    kind: generated, minified, data or vendored; copied_share: share of the tokens in long rules that lie in
-    rules other repositories have too. Empty and blank files are judged by their path alone; files with NULL
-    content by path and by ``size`` in ``files``. Rows with NULL path or key are no files; repeated rows
-    count once; extra columns are ignored. Contents stay in their partition; hashes of long rules, about one
-    per 32 tokens, are grouped map-side first, and whether a rule is shared needs two strings per rule,
-    however many files have it.
+    """``(key, path, kind, evidence, copied_share)`` of the files nobody wrote by hand for their repository.
+
+    kind: generated, minified, data or vendored; evidence: rule reuse, literals, delimited lines, white space,
+    header or shared rules by the content, folder for a copy that only its vendor folder tells, and path or size
+    where there is no content; copied_share: share of the tokens in long rules that lie in rules other
+    repositories have too. Empty and blank files are judged by their path alone; files with NULL content by path
+    and by ``size`` in ``files``. Rows with NULL path or key are no files; repeated rows count once; extra columns
+    are ignored. Contents stay in their partition; hashes of long rules, about one per 32 tokens, are grouped
+    map-side first, and whether a rule is shared needs two strings per rule, however many files have it.
     """
     kind_of = dict(contents.dtypes)[key]
     c = contents.select(F.col(key).alias("k"), F.col(path).alias("p"), F.col(content).alias("c")).where("k is not null and p is not null")
@@ -164,15 +169,18 @@ def find_foreign(contents: DataFrame, files: DataFrame | None = None, *, key: st
         for p in parts:
             rows = []
             for k, q, text, s in zip(p.k, p.p, p.c, p.s):
-                kind, rules, covered = examine(q, text, None if s is None or s != s else int(s))
-                rows.append((k, q, q.partition("/")[0], kind, [h for h, _ in rules], [n for _, n in rules], covered))
-            yield pd.DataFrame(rows, columns=["k", "p", "repo", "kind", "hashes", "sizes", "covered"])
+                kind, evidence, rules, covered = examine(q, text, None if s is None or s != s else int(s))
+                folder = bool(VENDOR & set(q.split("/")[1:-1]))
+                rows.append((k, q, q.partition("/")[0], kind, evidence, folder, [h for h, _ in rules], [n for _, n in rules], covered))
+            yield pd.DataFrame(rows, columns=["k", "p", "repo", "kind", "evidence", "folder", "hashes", "sizes", "covered"])
 
-    seen = cut(here.unionByName(gone).mapInPandas(run, f"k {kind_of}, p string, repo string, kind string, hashes array<long>, sizes array<long>, covered long"))
+    seen = cut(here.unionByName(gone).mapInPandas(run, f"k {kind_of}, p string, repo string, kind string, evidence string, folder boolean, hashes array<long>, sizes array<long>, covered long"))
     seen = seen.dropDuplicates(["k"])
     rules = seen.where("kind is null").select("k", "repo", F.explode(F.arrays_zip("hashes", "sizes")).alias("r")).select("k", "repo", F.col("r.hashes").alias("h"), F.col("r.sizes").alias("n"))
     everywhere = seen.select("repo", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).where("a <> b").select("h")
     shared = rules.join(everywhere, "h", "left_semi").groupBy("k").agg(F.sum("n").alias("shared"))
-    judged = seen.select("k", "p", "kind", "covered").join(shared, "k", "left").withColumn("share", F.when(F.col("covered") > 0, F.coalesce("shared", F.lit(0)) / F.col("covered")).otherwise(0.0))
-    kind = F.coalesce("kind", F.when((F.col("share") >= COPIED_SHARE) & (F.col("shared") >= COPIED_TOKENS), "vendored"))
-    return judged.withColumn("kind", kind).where("kind is not null").select(F.col("k").alias(key), F.col("p").alias(path), "kind", F.round("share", 6).alias("copied_share"))
+    judged = seen.select("k", "p", "kind", "evidence", "folder", "covered").join(shared, "k", "left").withColumn("share", F.when(F.col("covered") > 0, F.coalesce("shared", F.lit(0)) / F.col("covered")).otherwise(0.0))
+    copied = (F.col("share") >= COPIED_SHARE) & (F.col("shared") >= COPIED_TOKENS)
+    evidence = F.when(F.col("kind").isNotNull(), F.col("evidence")).when(copied, "shared rules").when(F.col("folder"), "folder")
+    kind = F.coalesce("kind", F.when(copied | F.col("folder"), "vendored"))
+    return judged.withColumn("evidence", evidence).withColumn("kind", kind).where("kind is not null").select(F.col("k").alias(key), F.col("p").alias(path), "kind", "evidence", F.round("share", 6).alias("copied_share"))

@@ -132,9 +132,16 @@ def test_kinds(spark):
     sizes = spark.createDataFrame([(10, 5_000_000)], "file_id long, size long")
     got = {r["file_id"]: r["kind"] for r in provenance.find_foreign(df, sizes).collect()}
     assert got == {2: "generated", 3: "data", 4: "data", 5: "minified", 6: "vendored", 7: "vendored", 8: "vendored", 9: "minified", 10: "minified", 13: "data"}
+    by = {r["file_id"]: r["evidence"] for r in provenance.find_foreign(df, sizes).collect()}
+    assert by == {2: "rule reuse", 3: "literals", 4: "literals", 5: "white space", 6: "shared rules", 7: "shared rules", 8: "folder", 9: "path", 10: "size", 13: "literals"}
     assert provenance.find_foreign(df.limit(0)).count() == 0
 
 
+def test_header_counts_wherever_it_stands():
+    short = "package x\n" * 0 + "".join(f"import {w}\n" for w in ("one", "two", "six")) + "\n" * 20 + "# Code generated by x. DO NOT EDIT.\nV = 1\n"
+    assert provenance.examine("one/src/a.py", short)[:2] == ("generated", "header")
+
+
 def noise(n, seed=6):
     rng = random.Random(seed)
     return "".join(rng.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789+/") for _ in range(n))
