@@ -12,6 +12,7 @@ repository has the original. ``evidence`` tells for each file which kind of it d
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.language import detect, detect_doc
-from cairn.llm.repair import code_tokens, re_pair, shape, shared_rules
+from cairn.llm.repair import code_tokens, re_pair, shared_rules, unify
 from cairn.session import cut
 
 #: Directories that package managers and custom reserve for copies of other projects.
@@ -34,7 +35,7 @@ _WRAP = re.compile(r"\\?\r?\n[ \t]*")
 _JOINERS = frozenset([*"+.\\()", *"rRuUbBfF", "rb", "br", "Rb", "bR", "rB", "Br", "RB", "BR"])
 _LISTED = frozenset(",[]{}")
 _CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?:[ \t].*)?\r?\n?", re.M)
-_DATED = re.compile(r"\d{4}-\d\d-\d\d[ T]\d\d:\d\d")
+_DATED = re.compile(r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d", re.M)
 #: A template's grammar has this many symbols, plus this share of the tokens; JSON, whose configuration repeats
 #: its keys' shape, must also shrink to a fifth.
 GRAMMAR_BASE, GRAMMAR_SHARE, GRAMMAR_RATIO = 55, 0.03, 0.4
@@ -81,12 +82,21 @@ def dense(s: str) -> int:
     return found
 
 
-def blob_share(tokens: list[str]) -> float:
-    """Share of the token characters in numbers and in literals that a grammar can't shorten."""
-    total = sum(len(_WRAP.sub("", t)) if "\n" in t else len(t) for t in tokens) or 1
-    numbers = sum(len(t) for t in tokens if t[0].isdigit())
+def blob_share(tokens: list[str], counts: Counter[str]) -> float:
+    """Share of the token characters in numbers and in literals that a grammar can't shorten; 0 where all numbers
+    and literals together are below BLOB_SHARE."""
+    total = numbers = quoted = 0
+    for t, n in counts.items():
+        size = len(_WRAP.sub("", t)) if "\n" in t else len(t)
+        total += n * size
+        if t[0].isdigit():
+            numbers += n * size
+        elif t[0] in "\"'`":
+            quoted += n * size
+    if numbers + quoted < BLOB_SHARE * total:
+        return 0.0
     strings = sum(dense(s) for s in literals(tokens) if len(s) >= LITERAL)
-    return (numbers + strings) / total
+    return (numbers + strings) / (total or 1)
 
 
 def tabular(text: str) -> bool:
@@ -94,8 +104,10 @@ def tabular(text: str) -> bool:
     lines = [s for s in text.splitlines() if s.strip()]
     if len(lines) < 10:
         return False
-    if sum(bool(_DATED.match(s)) for s in lines) >= 0.9 * len(lines):
+    if len(_DATED.findall(text.replace("\r", "\n"))) >= 0.9 * len(lines):
         return True
+    if text.count(",") < 1.8 * len(lines):
+        return False
     commas = sorted(s.count(",") for s in lines)
     usual = commas[len(commas) // 2]
     return usual >= 2 and sum(s.count(",") == usual and not re.search(r"[()\[\]{};]", s) for s in lines) >= 0.9 * len(lines)
@@ -123,13 +135,14 @@ def examine(path: str, content: str | None, size: int | None = None) -> tuple[st
     found: tuple[str | None, str | None] = (None, None)
     if language:
         n = len(tokens)
-        shapes = shape(tokens)
+        counts = Counter(tokens)
+        shapes = {t: unify(t) for t in counts}
         marked = any(_MARK.search(s) for s in content.splitlines() if _COMMENT_LINE.match(s))
         # a grammar has at least as many symbols as there are different tokens, so most files need none
         most = min((0.2 if language == "json" else GRAMMAR_RATIO) * n, max(GRAMMAR_BASE + GRAMMAR_SHARE * n, 2 * GRAMMAR_BASE * marked))
-        left, made, uses = re_pair(shapes) if n >= 40 and len(set(shapes)) < most else (n, 0, [])
+        left, made, uses = re_pair([shapes[t] for t in tokens]) if n >= 40 and len(set(shapes.values())) < most else (n, 0, [])
         blank = sum(map(content.count, " \t\r\n")) / len(content)
-        blob = blob_share(tokens)
+        blob = blob_share(tokens, counts)
         if language != "json" and blob >= BLOB_SHARE:
             found = "data", "literals"
         elif language != "json" and tabular(content):

@@ -59,10 +59,9 @@ def code_tokens(text: str, language: str | None = None) -> list[str]:
     return _TOKEN[ticks].findall("".join(kept) + text[at:])
 
 
-def shape(tokens: list[str]) -> list[str]:
-    """Tokens with numbers and numbering in names unified: what a template leaves alike."""
-    unified = {t: "0" if t[0].isdigit() else '""' if t[0] in "\"'`" else _DIGITS.sub("0", t) for t in set(tokens)}
-    return [unified[t] for t in tokens]
+def unify(token: str) -> str:
+    """The token with numbers and numbering in names unified: what a template leaves alike."""
+    return "0" if token[0].isdigit() else '""' if token[0] in "\"'`" else _DIGITS.sub("0", token)
 
 
 def re_pair(tokens: list[str], least: int = 2) -> tuple[int, int, list[int]]:
