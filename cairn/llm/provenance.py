@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.language import detect, detect_doc
-from cairn.llm.repair import code_tokens, re_pair, shared_rules, unify
+from cairn.llm.repair import code_tokens, re_pair, shared_rules_of, unify
 from cairn.session import cut
 
 #: Directories that package managers and custom reserve for copies of other projects.
@@ -76,7 +76,7 @@ def dense(s: str) -> int:
     for a, b in zip(ends, ends[1:]):
         block = s[a:b]
         if sum(c.isspace() for c in block) * 50 < len(block):
-            left, rules, _ = re_pair(list(block))
+            left, rules, _ = re_pair(list(block), 3)
             if left + 2 * rules > 0.6 * len(block):
                 found += len(block)
     return found
@@ -113,26 +113,28 @@ def tabular(text: str) -> bool:
     return usual >= 2 and sum(s.count(",") == usual and not re.search(r"[()\[\]{};]", s) for s in lines) >= 0.9 * len(lines)
 
 
-def examine(path: str, content: str | None, size: int | None = None) -> tuple[str | None, str | None, list[tuple[int, int]], int]:
-    """``(kind, evidence, long rules as (hash, tokens), their tokens)``; the kind is generated, minified, data,
-    vendored (by its folder, where there is no content), or None as far as the file alone tells."""
+def tokens_of(path: str, content: str | None) -> list[str]:
+    """The tokens that count: none of documentation files, and what a merge left behind is nobody's writing."""
+    return [] if not content or detect_doc(path) else code_tokens(_CONFLICT.sub("", content), detect(path))
+
+
+def examine(path: str, content: str | None, size: int | None = None, tokens: list[str] | None = None) -> tuple[str | None, str | None]:
+    """``(kind, evidence)``; the kind is generated, minified, data, vendored (by its folder, where there is no
+    content), or None as far as the file alone tells. ``tokens`` are those of :func:`tokens_of`."""
     parts = path.split("/")
     folders, language = set(parts[1:-1]), detect(path)
     if content is None:
         if folders & VENDOR:
-            return "vendored", "path", [], 0
+            return "vendored", "path"
         if _BUNDLE.search(path) or folders & OUTPUT:
-            return "minified", "path", [], 0
+            return "minified", "path"
         if language and (size or 0) >= OVERSIZED:
-            return "minified", "size", [], 0
-        return None, None, [], 0
+            return "minified", "size"
+        return None, None
     if detect_doc(path) or not content.strip():
-        return None, None, [], 0
-    content = _CONFLICT.sub("", content)  # what a merge left behind is nobody's writing
-    tokens = code_tokens(content, language)
-    rules = shared_rules(tokens)
-    covered = sum(n for _, n in rules)
-    found: tuple[str | None, str | None] = (None, None)
+        return None, None
+    content = _CONFLICT.sub("", content)
+    tokens = tokens_of(path, content) if tokens is None else tokens
     if language:
         n = len(tokens)
         counts = Counter(tokens)
@@ -140,22 +142,22 @@ def examine(path: str, content: str | None, size: int | None = None) -> tuple[st
         marked = any(_MARK.search(s) for s in content.splitlines() if _COMMENT_LINE.match(s))
         # a grammar has at least as many symbols as there are different tokens, so most files need none
         most = min((0.2 if language == "json" else GRAMMAR_RATIO) * n, max(GRAMMAR_BASE + GRAMMAR_SHARE * n, 2 * GRAMMAR_BASE * marked))
-        left, made, uses = re_pair([shapes[t] for t in tokens]) if n >= 40 and len(set(shapes.values())) < most else (n, 0, [])
         blank = sum(map(content.count, " \t\r\n")) / len(content)
         blob = blob_share(tokens, counts)
         if language != "json" and blob >= BLOB_SHARE:
-            found = "data", "literals"
-        elif language != "json" and tabular(content):
-            found = "data", "delimited lines"
-        elif n >= 60 and blank < SQUEEZED and language != "json" and len(content) > 250 and max(map(len, content.splitlines())) > 120:
-            found = "minified", "white space"
-        elif max(uses, default=0) >= 4 and left + 2 * made < most:
-            found = "generated", "rule reuse"
-        elif marked and n < 40:
-            found = "generated", "header"
-        elif language == "json" and _BUNDLE.search(path):
-            found = "generated", "path"
-    return *found, rules, covered
+            return "data", "literals"
+        if language != "json" and tabular(content):
+            return "data", "delimited lines"
+        if n >= 60 and blank < SQUEEZED and language != "json" and len(content) > 250 and max(map(len, content.splitlines())) > 120:
+            return "minified", "white space"
+        left, made, uses = re_pair([shapes[t] for t in tokens], 3) if n >= 40 and len(set(shapes.values())) < most else (n, 0, [])
+        if max(uses, default=0) >= 4 and left + 2 * made < most:
+            return "generated", "rule reuse"
+        if marked and n < 40:
+            return "generated", "header"
+        if language == "json" and _BUNDLE.search(path):
+            return "generated", "path"
+    return None, None
 
 
 def find_foreign(contents: DataFrame, files: DataFrame | None = None, *, key: str = "file_id", path: str = "path", content: str = "content", size: str = "size") -> DataFrame:
@@ -180,11 +182,10 @@ def find_foreign(contents: DataFrame, files: DataFrame | None = None, *, key: st
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            rows = []
-            for k, q, text, s in zip(p.k, p.p, p.c, p.s):
-                kind, evidence, rules, covered = examine(q, text, None if s is None or s != s else int(s))
+            tokens, rows = [tokens_of(q, text) for q, text in zip(p.p, p.c)], []
+            for k, q, text, s, own, rules in zip(p.k, p.p, p.c, p.s, tokens, shared_rules_of(tokens)):
                 folder = bool(VENDOR & set(q.split("/")[1:-1]))
-                rows.append((k, q, q.partition("/")[0], kind, evidence, folder, [h for h, _ in rules], [n for _, n in rules], covered))
+                rows.append((k, q, q.partition("/")[0], *examine(q, text, None if s is None or s != s else int(s), own), folder, [h for h, _ in rules], [n for _, n in rules], sum(n for _, n in rules)))
             yield pd.DataFrame(rows, columns=["k", "p", "repo", "kind", "evidence", "folder", "hashes", "sizes", "covered"])
 
     seen = cut(here.unionByName(gone).mapInPandas(run, f"k {kind_of}, p string, repo string, kind string, evidence string, folder boolean, hashes array<long>, sizes array<long>, covered long"))
