@@ -3,13 +3,15 @@
 Languages are covered in tiers: documentation and TOML natively (``sections``), HTML with its scripts and
 styles by the standard parser, Python by its syntax tree, and the brace languages by a scanner that knows
 strings and comments, finds declarations by patterns and their extent by brackets. Further languages are
-scanned by the patterns and block ends of ``languages``. The rest yields one symbol for the whole file. Symbol kinds follow the vocabulary of the languages' grammars.
+scanned by the patterns and block ends of ``languages``, and those of ``scanners`` by line. The rest yields
+one symbol for the whole file. Symbol kinds follow the vocabulary of the languages' grammars.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -18,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.language import base_name, detect
-from cairn.operators.languages import LANGUAGES, scan
+from cairn.operators.languages import CALLING, LANGUAGES, scan
+from cairn.operators.scanners import enclosing, outline
 
 SYMBOL = "name string, kind string, parent_context string, signature string, doc_comment string, body_text string, start_line long, start_col long, end_line long, end_col long"
 SCHEMA = f"struct<language:string,symbols:array<struct<{SYMBOL.replace(' ', ':').replace(',:', ',')}>>,calls:array<struct<from_name:string,to_name:string,from_line:long>>,error:string>"
@@ -105,6 +108,7 @@ _COMPILED = {lang: [(k, re.compile(p)) for k, p in rules] for lang, rules in _BR
 CONTAINERS = {"class_declaration": "class", "class_definition": "class", "class_specifier": "class", "struct_item": "struct", "struct_specifier": "struct", "struct_declaration": "struct", "enum_item": "enum", "enum_declaration": "enum", "enum_specifier": "enum", "trait_item": "trait", "trait_declaration": "trait", "trait_definition": "trait", "impl_item": "impl", "interface_declaration": "interface", "protocol_declaration": "protocol", "mod_item": "module", "object_definition": "object", "record_declaration": "record", "namespace_declaration": "namespace_declaration", "namespace_definition": "namespace_definition"}
 _FUNCTIONS = frozenset("function_item function_declaration function_definition method_declaration method_definition constructor_declaration".split())
 _MASK = re.compile(r"//[^\n]*|/\*.*?\*/|r(#*)\".*?\"\1|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)'|`(?:[^`\\]|\\.)*`", re.S)
+_ARROW = re.compile(r"[^;]*?=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*(?::[^={]+)?=>|[\w$]+\s*=>)")
 _CALL = re.compile(r"(?<![\w.$])([A-Za-z_$][\w$]*(?:(?:\.|::)[A-Za-z_$][\w$]*)*)\s*\(")
 _NOT_CALLS = frozenset("if for while switch catch return function fn func match loop sizeof super new await do else throw in of typeof".split())
 
@@ -114,46 +118,94 @@ def _masked(content: str) -> str:
     return _MASK.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), content)
 
 
+#: Lines without an open bracket that a declaration's head may take up to its name; within brackets there is no bound.
+HEAD_LINES = 16
+
+
+def _head_ends(code: str, starts: list[int]) -> list[int]:
+    """Per line where the head of a declaration that begins on it ends at the latest: behind HEAD_LINES lines on
+    its own level of round and square brackets. One pass from the last line up."""
+    n, depth, level = len(starts), 0, []
+    for a, b in zip(starts, [*starts[1:], len(code) + 1]):
+        level.append(depth)
+        line = code[a:b]
+        depth += line.count("(") + line.count("[") - line.count(")") - line.count("]")
+    out, open_lines = [len(code)] * n, []  # per level the lines behind, nearest last
+    for i in range(n - 1, -1, -1):
+        while open_lines and open_lines[-1][0] > level[i]:
+            open_lines.pop()
+        if not open_lines or open_lines[-1][0] < level[i]:
+            open_lines.append((level[i], []))
+        behind = open_lines[-1][1]
+        if len(behind) >= HEAD_LINES:
+            out[i] = starts[behind[-HEAD_LINES]]
+        behind.append(i)
+    return out
+
+
+class _Open:
+    """Declarations by their lines, asked for in rising order of lines: those that are open where one begins."""
+
+    def __init__(self, kinds):
+        self.kinds, self.some = kinds, []
+
+    def at(self, line: int) -> list[tuple[int, int, dict]]:
+        self.some = [x for x in self.some if x[1] >= line]
+        return self.some
+
+    def add(self, declaration: tuple[int, int, dict]) -> None:
+        if declaration[2]["kind"] in self.kinds:
+            self.some.append(declaration)
+
+
+def calls_in(masked: list[str], found: list[tuple[int, int, dict]]) -> list[dict]:
+    """Calls by the innermost function they stand in; calls outside functions and of the function itself are none."""
+    calls, owners, k = [], _Open(_FUNCTIONS), 0
+    for n, text in enumerate(masked, 1):
+        while k < len(found) and found[k][0] <= n:
+            owners.add(found[k])
+            k += 1
+        if "(" not in text:
+            continue
+        owner = owners.at(n)
+        for m in _CALL.finditer(text) if owner else ():
+            if m.group(1) not in _NOT_CALLS and owner[-1][2]["name"] != m.group(1):
+                calls.append({"from_name": owner[-1][2]["name"], "to_name": m.group(1), "from_line": n})
+    return calls
+
+
 def parse_braces(language: str, content: str) -> tuple[list[dict], list[dict], str | None]:
     code = _masked(content)
     starts = [0, *[m.end() for m in re.finditer("\n", code)]]
     lines, masked = content.split("\n"), code.split("\n")
     found: list[tuple[int, int, dict]] = []
-    line = 1
+    line, head_ends = 1, _head_ends(code, starts)
     while line <= len(masked):
         text = masked[line - 1]
         indent = len(text) - len(text.lstrip())
-        head = code[starts[line - 1] + indent : starts[line - 1] + indent + 600]
-        got = next(((k, m) for k, p in _COMPILED[language] if (m := p.match(head))), None) if head.strip() else None
+        at, until = starts[line - 1] + indent, head_ends[line - 1]
+        got = next(((k, m) for k, p in _COMPILED[language] if (m := p.match(code, at, until))), None) if text.strip() else None
         if not got:
             line += 1
             continue
         kind, m = got
-        at = starts[line - 1] + indent
         end = _extent(code, at + len(m.group().rstrip("{;")), kind)
-        last = content.count("\n", 0, end) + 1
+        last = bisect_right(starts, end)
         name = m.group(1).strip("\"'")
         limit = IMPORT_SIGNATURE if kind == "import" else SIGNATURE
         found.append((line, last, symbol(name, kind, line, last, lines, signature=clip(lines[line - 1].strip(), limit), doc=None if kind == "import" else comment_above(lines, line), cols=(len(lines[line - 1][:indent].encode()) + 1, end - starts[last - 1] + 1))))
-        arrow = kind == "lexical_declaration" and re.match(r"[^;]*?=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*(?::[^={]+)?=>|[\w$]+\s*=>)", head)
-        if arrow:
+        if kind == "lexical_declaration" and _ARROW.match(code, at, until):
             found.append((line, last, found[-1][2] | {"kind": "function_declaration"}))
-        line = last + 1 if kind == "import" else line + 1
-    out, calls = [], []
-    for i, (a, b, s) in enumerate(found):
-        parents = [f"{CONTAINERS[p['kind']]}:{p['name']}" for x, y, p in found[:i] if x < a and y >= b and p["kind"] in CONTAINERS]
-        s["parent_context"] = " > ".join(parents) or None
-        inner = any(x < a and y >= b and p["kind"] in _FUNCTIONS for x, y, p in found[:i])
+        line = last + 1 if kind == "import" else bisect_right(starts, m.start(1)) + 1
+    out, containers, functions = [], _Open(CONTAINERS), _Open(_FUNCTIONS)
+    for a, b, s in found:
+        s["parent_context"] = " > ".join(f"{CONTAINERS[p['kind']]}:{p['name']}" for x, y, p in containers.at(a) if x < a and y >= b) or None
+        inner = any(x < a and y >= b for x, y, _ in functions.at(a))
         if not (inner and s["kind"] in ("lexical_declaration", "var_declaration", "const_declaration", "method_definition")):
             out.append(s)
-    for n, text in enumerate(masked, 1):
-        for m in _CALL.finditer(text):
-            if m.group(1) in _NOT_CALLS:
-                continue
-            owner = [p for x, y, p in found if x <= n <= y and p["kind"] in _FUNCTIONS]
-            if owner and owner[-1]["name"] != m.group(1) and not (owner[-1]["start_line"] == n and m.group(1) == owner[-1]["name"]):
-                calls.append({"from_name": owner[-1]["name"], "to_name": m.group(1), "from_line": n})
-    return out, calls, None
+        containers.add((a, b, s))
+        functions.add((a, b, s))
+    return out, calls_in(masked, found), None
 
 
 def _extent(code: str, at: int, kind: str) -> int:
@@ -174,149 +226,32 @@ def _extent(code: str, at: int, kind: str) -> int:
     return len(code)
 
 
-# ---------------------------------------------------------------- line scanners
-
-# Declaration words of the scanned languages, longest forms first within a word.
-KEYWORDS = {
-    "kotlin": [f"{m}{w} " for w, ms in (("fun", ("private suspend ", "suspend ", "private ", "public ", "internal ", "protected ", "")), ("class", ("private data ", "data ", "private sealed ", "sealed ", "private abstract ", "abstract ", "private ", "public ", "internal ", "", "private open ", "open ")), ("object", ("private ", "public ", "internal ", "", "private companion ", "companion ")), ("interface", ("private ", "public ", "internal ", "")), ("enum", ("private ", "public ", "internal ", "")), ("typealias", ("",)), ("val", ("private ", "")), ("var", ("private ", ""))) for m in ms],
-    "gleam": ["pub fn ", "fn ", "pub type ", "type ", "pub const ", "const ", "import "],
-    "dot": ["digraph ", "graph ", "subgraph ", "strict digraph ", "strict graph "],
-    "scss": ["@mixin ", "@function "],
-}
-KEYWORDS["less"] = KEYWORDS["scss"]
-
-
-def brace_end(lines: list[str], start: int, depth: int) -> int:
-    for i in range(start + 1, len(lines)):
-        depth = max(0, depth + lines[i].count("{") - lines[i].count("}"))
-        if not depth:
-            return i
-    return len(lines) - 1
-
-
-def indent_end(lines: list[str], start: int) -> int:
-    width = lambda s: len(s) - len(s.lstrip())
-    end = start
-    for i in range(start + 1, len(lines)):
-        if lines[i].strip():
-            if width(lines[i]) <= width(lines[start]) and not lines[i].strip().startswith("."):
-                break
-            end = i
-    return end
-
-
-def declared(line: str, words: list[str], whole_words: bool) -> tuple[str, str] | None:
-    """Name and word of a declaration. A word is passed over where a letter or digit follows it, so that only
-    nameless declarations are found, unless ``whole_words`` asks for named ones."""
-    for w in words:
-        if line.startswith(w):
-            rest = line[len(w) :]
-            if not whole_words and rest[:1].isalnum():
-                continue
-            return re.split(r"[ ({:<=\t]", rest, maxsplit=1)[0], w
-    return None
-
-
-def scan_words(lines: list[str], words: list[str], whole_words: bool) -> list[tuple[str, str, int, int]]:
-    out, i = [], 0
-    while i < len(lines):
-        t = lines[i].strip()
-        got = declared(t, words, whole_words)
-        if got:
-            if "{" in t:
-                depth = max(0, t.count("{") - t.count("}"))
-                end = brace_end(lines, i, depth) if depth else i
-            elif i + 1 < len(lines) and lines[i + 1].strip() == "{":
-                end = brace_end(lines, i + 1, 1)
-            elif i + 1 < len(lines) and lines[i + 1].startswith(" "):
-                end = indent_end(lines, i)
-            else:
-                end = i
-            out.append((got[0], got[1].split()[0], i + 1, end + 1))
-            i = end
-        i += 1
-    return out
-
-
-def scan_rules(lines: list[str]) -> list[tuple[str, str, int, int]]:
-    """Style rules that begin with ``. # @ %``."""
-    out, i = [], 0
-    while i < len(lines):
-        t = lines[i].strip()
-        if t[:1] in (".", "#", "@", "%") and "{" in t:
-            depth = max(0, t.count("{") - t.count("}"))
-            end = brace_end(lines, i, depth) if depth else i
-            name = t.split("{", 1)[0].strip()
-            out.append((name.split()[0] if name.startswith("@") else name, "css-rule", i + 1, end + 1))
-            i = end
-        i += 1
-    return out
-
-
-def scan_fish(lines: list[str]) -> list[tuple[str, str, int, int]]:
-    out, i = [], 0
-    while i < len(lines):
-        t = lines[i].strip()
-        if t.startswith("function "):
-            depth, end = 0, len(lines) - 1
-            for j in range(i + 1, len(lines)):
-                s = lines[j].strip()
-                if s.startswith("function"):
-                    depth += 1
-                elif s.startswith("end"):
-                    if not depth:
-                        end = j
-                        break
-                    depth -= 1
-            out.append((t.split()[1] if len(t.split()) > 1 else "", "function", i + 1, end + 1))
-            i = end
-        i += 1
-    return out
-
-
-def scan_org(lines: list[str]) -> list[tuple[str, str, int, int]]:
-    """Headings by stars; one reaches to the next of its level or above, and those inside it are passed over."""
-    heads = [(i, len(m.group(1)), m.group(2).strip()) for i, s in enumerate(lines) if (m := re.match(r"(\*+)\s+(.+)$", s))]
-    out, free = [], 0
-    for k, (i, level, name) in enumerate(heads):
-        if i < free:
-            continue
-        end = next((j - 1 for j, other, _ in heads[k + 1 :] if other <= level), len(lines) - 1)
-        out.append((name, f"h{level}", i + 1, end + 1))
-        free = end + 1
-    return out
-
-
-def scan_toml(lines: list[str]) -> list[tuple[str, str, int, int]]:
-    heads = [(i, n) for i, s in enumerate(lines) if (t := s.strip()).startswith("[") and t.endswith("]") and (n := t.strip("[]").strip()) and all(c.isalnum() or c in "._-\"' " for c in n)]
-    return [(n, "table", i + 1, max(i + 1, heads[k + 1][0] if k + 1 < len(heads) else len(lines))) for k, (i, n) in enumerate(heads)]
+# ---------------------------------------------------------------- outlines without a grammar
 
 
 def parse_fallback(language: str, path: str, content: str, whole_words: bool = False) -> list[dict]:
+    """The spans of ``scanners``; where there are none, one symbol for the whole file."""
     lines = content.split("\n")[:-1] if content.endswith("\n") else content.split("\n")
-    if language in ("kotlin", "gleam", "dot"):
-        got = scan_words(lines, KEYWORDS[language], whole_words)
-    elif language in ("scss", "less"):
-        got = sorted([*scan_words(lines, KEYWORDS[language], whole_words), *scan_rules(lines)], key=lambda c: c[2])
-    else:
-        got = {"fish": scan_fish, "org": scan_org, "toml": scan_toml}.get(language, lambda _: [])(lines)
-    if not got:
-        got = [(base_name(path), "file", 1, max(1, len(lines)))]
+    found = enclosing(outline(language, lines, whole_words)) or [((base_name(path), "file", 0, max(0, len(lines) - 1)), None)]
     out = []
-    for k, (name, kind, a, b) in enumerate(got):
-        first, last = (lines[a - 1] if a <= len(lines) else ""), (lines[b - 1] if b <= len(lines) else "")
-        parent = next((f"{q}:{n}" for n, q, x, y in got[:k] if x < a and y >= b), None)
-        out.append(symbol(name, kind, a, b, lines, parent=parent, signature=first.strip() or None, cols=(len(first.encode()) - len(first.lstrip().encode()) + 1, len(last.encode()) + 1), body=b > a))
+    for (name, kind, a, b), parent in found:
+        first, last = (lines[a] if a < len(lines) else ""), (lines[b] if b < len(lines) else "")
+        context = f"{parent[1]}:{parent[0]}" if parent else None
+        out.append(symbol(name, kind, a + 1, b + 1, lines, parent=context, signature=first.strip() or None, cols=(len(first.encode()) - len(first.lstrip().encode()) + 1, len(last.encode()) + 1), body=b > a))
     return out
 
 
-def parse_scanned(language: str, content: str) -> list[dict]:
-    """Symbols of the languages in ``languages``, with the enclosing ones as context."""
-    lines, got, out = content.split("\n"), scan(language, content), []
-    for k, (name, kind, a, b, col) in enumerate(got):
-        parents = [f"{CONTAINERS.get(q, q)}:{n}" for n, q, x, y, _ in got[:k] if x < a and y >= b]
-        out.append(symbol(name, kind, a, b, lines, parent=" > ".join(parents) or None, signature=clip(lines[a - 1].strip(), SIGNATURE), doc=comment_above(lines, a), cols=(col, len(lines[b - 1].encode()) + 1)))
-    return out
+def parse_scanned(language: str, content: str) -> tuple[list[dict], list[dict]]:
+    """Symbols of the languages in ``languages``, with the enclosing ones as context, and calls where the
+    language's grammar has call expressions."""
+    lines, found, around = content.split("\n"), [], []
+    got, masked = scan(language, content)
+    for name, kind, a, b, col in got:
+        around = [x for x in around if x[1] >= a]
+        parents = [f"{CONTAINERS.get(q, q)}:{n}" for x, y, q, n in around if x < a and y >= b]
+        found.append((a, b, symbol(name, kind, a, b, lines, parent=" > ".join(parents) or None, signature=clip(lines[a - 1].strip(), SIGNATURE), doc=comment_above(lines, a), cols=(col, len(lines[b - 1].encode()) + 1))))
+        around.append((a, b, kind, name))
+    return [s for _, _, s in found], calls_in(masked, found) if language in CALLING else []
 
 
 # ---------------------------------------------------------------- HTML
@@ -327,7 +262,7 @@ class _Html(HTMLParser):
 
     def __init__(self, content: str):
         super().__init__(convert_charrefs=False)
-        self.lines, self.out, self.open, self.raw = content.split("\n"), [], [], None
+        self.lines, self.out, self.calls, self.open, self.raw = content.split("\n"), [], [], [], None
 
     def _add(self, name, kind, start, cols=(1, 1), **more):
         self.out.append(symbol(name, kind, start, start, self.lines, cols=cols, **more))
@@ -383,7 +318,9 @@ class _Html(HTMLParser):
             self.out.append(s)
 
     def _script(self, data, offset):
-        self._shift(parse_braces("typescript", data)[0], offset, "script")
+        symbols, calls, _ = parse_braces("typescript", data)
+        self._shift(symbols, offset, "script")
+        self.calls += [c | {"from_line": c["from_line"] + offset} for c in calls]
         for m in re.finditer(r"//([^\n]*)|/\*(.*?)\*/", data, re.S):
             text = (m.group(1) or m.group(2) or "").strip(" *\n\t")
             if text.strip("-= \t"):
@@ -400,11 +337,12 @@ class _Html(HTMLParser):
             s |= {"end_line": b, "body_text": "\n".join(self.lines[a - 1 : b])}
 
 
-def parse_html(content: str) -> list[dict]:
+def parse_html(content: str) -> tuple[list[dict], list[dict]]:
+    """Elements, comments, scripts and styles, and the calls of the scripts."""
     p = _Html(content)
     p.feed(content)
     p.close()
-    return sorted(p.out, key=lambda s: (s["start_line"], s["start_col"]))
+    return sorted(p.out, key=lambda s: (s["start_line"], s["start_col"])), p.calls
 
 
 # ---------------------------------------------------------------- dispatch
@@ -422,11 +360,11 @@ def parse_file(path: str | None, content: str | None, whole_words: bool = False)
     if language == "python":
         symbols, calls, error = parse_python(text)
     elif language == "html":
-        symbols, calls, error = parse_html(text), [], None
+        (symbols, calls), error = parse_html(text), None
     elif language in _COMPILED:
         symbols, calls, error = parse_braces(language, text)
     elif language in LANGUAGES:
-        symbols, calls, error = parse_scanned(language, text), [], None
+        (symbols, calls), error = parse_scanned(language, text), None
     else:
         symbols, calls, error = parse_fallback(language, path, text, whole_words), [], None
     return {"language": language, "symbols": symbols, "calls": calls, "error": error}

@@ -81,6 +81,8 @@ _RULES["systemverilog"], _RULES["racket"] = _RULES["verilog"], _RULES["scheme"]
 _RULES["objc"] = ("brace", "//", [("class_declaration", rf"@(?:interface|implementation|protocol)\s+{_W}"), ("method_definition", rf"[-+]\s*\([^)]*\)\s*{_W}"), ("function_definition", rf"(?:\w[\w\s*]*?\s)\*?{_W}\s*\([^;{{}}]*\)\s*\{{")])
 _COMPILED = {k: (mode, sign, [(kind, re.compile(p)) for kind, p in rules]) for k, (mode, sign, rules) in _RULES.items()}
 LANGUAGES = frozenset(_COMPILED)
+#: Languages whose grammars know call expressions under that name.
+CALLING = frozenset(("zig", "odin", "d", "solidity", "julia", "objc"))
 #: Modes and kinds whose declarations stand at the left margin only.
 _MARGIN = frozenset(("haskell", "elm", "agda", "ocaml", "erlang", "prolog", "make", "yaml", "asm", "ini", "properties"))
 
@@ -145,8 +147,9 @@ def _end(language: str, mode: str, lines: list[str], i: int, brackets) -> int:
     return last
 
 
-def scan(language: str, content: str) -> list[tuple[str, str, int, int, int]]:
-    """``(name, kind, first line, last line, column)``, lines and columns from 1, in order."""
+def scan(language: str, content: str) -> tuple[list[tuple[str, str, int, int, int]], list[str]]:
+    """``(name, kind, first line, last line, column)``, lines and columns from 1, in order, and the lines without
+    comments and strings."""
     mode, sign, rules = _COMPILED[language]
     lines, out, seen = _blank(language, sign, content).split("\n"), [], set()
     original = content.split("\n")
@@ -164,4 +167,4 @@ def scan(language: str, content: str) -> list[tuple[str, str, int, int, int]]:
         seen.add(name)
         last = _end(language, mode, lines, i, "()" if mode == "paren" else "{}")
         out.append((name, got[0], i + 1, last + 1, indent + 1))
-    return out
+    return out, lines

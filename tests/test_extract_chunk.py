@@ -42,6 +42,68 @@ def test_fallbacks():
     assert extract.parse_file("x.unknown", "a")["error"] and extract.parse_file("x.py", "def (")["error"]
 
 
+def spans(path, text, whole_words=False):
+    return [(s["name"], s["kind"], s["start_line"], s["end_line"]) for s in extract.parse_file(path, text, whole_words)["symbols"]]
+
+
+def test_outlines():
+    scss = ".a:hover .b {\n  x: y;\n  .inner { z: 1; }\n}\n.c\n{\n  x: y;\n}\n#id[x] { a: b; }\n@media print {\n.q { }\n}\np { }\n. { }\n%ph\n"
+    assert spans("a.scss", scss) == [(".a", "css-rule", 1, 4), (".c", "css-rule", 5, 8), ("#id", "css-rule", 9, 9), ("@media", "css-rule", 10, 12), ("%ph", "css-rule", 15, 15)]
+    assert spans("a.org", "  * One\ntext\n  ** Inner\n*\nnone\n* Two\n") == [("One", "h1", 1, 3), ("Two", "h1", 6, 6)]
+    gleam = "pub opaque type Box {\n  Box\n}\nopaque type A\npub enum B\nenum C\npub fn f() -> Int {\n  1\n}\n"
+    assert [s[0] for s in spans("a.gleam", gleam, True)] == ["Box", "A", "B", "C", "f"] and [s[1] for s in spans("a.gleam", gleam, True)] == ["pub", "opaque", "pub", "enum", "pub"]
+    kt = "class A {\n  fun inner() {\n  }\n}\nprivate open class B\n{\n}\nval x =\n  1\n\n    .map { it }\nfun z() = 2\nfun open() {\n"
+    assert spans("a.kt", kt, True) == [("A", "class", 1, 4), ("B", "private", 5, 7), ("x", "val", 8, 11), ("z", "fun", 12, 12), ("open", "fun", 13, 13)]
+    assert spans("a.dot", "digraph {\n node [x]\n}\n") == [("", "digraph", 1, 3), ("[x]", "node", 2, 2)]
+    assert [s["parent_context"] for s in extract.parse_file("a.dot", "digraph {\n node [x]\n}\n")["symbols"]] == [None, "digraph:"]
+    assert spans("a.fish", "function a\n  function b\n  end\n  echo\nend\nfunction c\n") == [("a", "function", 1, 5), ("c", "function", 6, 6)]
+    assert spans("b.kt", "") == [("b.kt", "file", 1, 1)]
+
+
+def test_extents_equal_a_scan():
+    """The one-pass extents against a plain scan from each line."""
+    from cairn.operators.scanners import Lines
+
+    rng = random.Random(11)
+    for _ in range(200):
+        text = [" " * rng.randint(0, 4) + rng.choice(("a {", "}", "b", "", "} else {", ".m()", "{ }", "x {{", "}}")) for _ in range(rng.randint(1, 25))]
+        f = Lines(text)
+        for i, s in enumerate(text):
+            depth = s.count("{") - s.count("}")
+            want = i
+            if depth > 0:
+                for want in range(i + 1, len(text)):
+                    depth = max(0, depth + text[want].count("{") - text[want].count("}"))
+                    if not depth:
+                        break
+                want = want if not depth else len(text) - 1
+            assert f.brace[i] == want, (text, i)
+            if s.strip():
+                end = i
+                for j in range(i + 1, len(text)):
+                    if text[j].strip():
+                        if f.width[j] <= f.width[i] and not text[j].strip().startswith("."):
+                            break
+                        end = j
+                assert f.indent[i] == end, (text, i)
+
+
+def test_long_heads_and_many_declarations():
+    args = ",\n    ".join(f"java.util.Map<String, Integer> parameter{i}" for i in range(200))
+    assert spans("A.java", f"class A {{\n  public void run(\n    {args}\n  ) {{\n    go();\n  }}\n}}\n") == [("A", "class_declaration", 1, 206), ("run", "method_declaration", 2, 205)]
+    many = extract.parse_file("a.rs", "".join(f"mod m{i} {{\n    fn f{i}() {{\n        g{i}(1);\n    }}\n}}\n" for i in range(4000)))
+    assert len(many["symbols"]) == 8000 and many["symbols"][-1]["parent_context"] == "module:m3999" and len(many["calls"]) == 4000
+    annotated = extract.parse_file("A.java", "class A {\n  @Override\n  public int size() {\n    return n();\n  }\n}\n")
+    assert [s["name"] for s in annotated["symbols"]] == ["A", "size"]
+
+
+def test_calls_of_further_languages():
+    zig = extract.parse_file("a.zig", "pub fn main() void {\n    helper(1); // not(this)\n    main();\n}\n")
+    assert zig["calls"] == [{"from_name": "main", "to_name": "helper", "from_line": 2}]
+    page = extract.parse_file("a.html", "<html>\n<script>\nfunction f() {\n  draw();\n}\n</script>\n</html>\n")
+    assert page["calls"] == [{"from_name": "f", "to_name": "draw", "from_line": 4}]
+
+
 def test_html():
     page = """<html>
 <!-- the page -->
