@@ -65,11 +65,9 @@ class Engine:
         self._require()
         q = self._queries(text, limit)
         symbols, chunks, p = self.store.read("symbols"), self.store.read("chunks"), self.params
-        terms = lexical.query_terms(q)
-        dl = self.store.read("lengths").drop("path")
-        scored = lexical.bm25(lexical.term_hits(self.store.read("postings").drop("path"), terms, "chunk_key"), terms, dl, lexical.statistics(dl), "chunk_key", self.bm25)
-        leg = lexical.lexical_leg(scored, chunks, p.k_candidates)
-        leg = leg.join(chunks.select("chunk_key", "start_line", "end_line", F.concat_ws(" ", "fts_name", "fts_path", "fts_body").alias("fts_text")), "chunk_key")
+        scored = lexical.search_index(self.store.read("postings"), lexical.statistics(self.store.read("lengths")), q, "chunk_key", self.bm25)
+        some = chunks.select("chunk_key", "symbol_id", "start_line", "end_line", F.concat_ws(" ", "fts_name", "fts_path", "fts_body").alias("fts_text"))
+        leg = lexical.lexical_leg(scored, some, p.k_candidates, few=True)
         semantic = None
         if vec is not None:
             semantic = vectors.vector_leg(self.store.read("embeddings"), self.spark.createDataFrame([(0, vec)], "query_id long, vec array<double>"), min_cosine=p.min_cosine, k=p.k_candidates)

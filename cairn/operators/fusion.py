@@ -11,6 +11,11 @@ from cairn.functions.text import has_evidence, is_test_file, is_test_symbol, lex
 LEG = "query_id long, symbol_id long, start_line long, end_line long, rank int"
 
 
+def setting(queries: DataFrame, name: str, default: float) -> Column:
+    """A parameter of each query: its own column where there is one and it is not NULL, else the default."""
+    return F.coalesce(F.col(name), F.lit(default)) if name in queries.columns else F.lit(default)
+
+
 def dense(df: DataFrame, order: list[Column], query: str = "query_id") -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order)))
 
@@ -28,15 +33,20 @@ def evidence_gate(lexical: DataFrame, semantic: DataFrame, queries: DataFrame, s
     return dense(kept.drop("_tokens", "_seen", "name", "path"), [F.col("rank").asc()])
 
 
-def rrf(semantic: DataFrame, lexical: DataFrame, p: HybridParams = HybridParams()) -> DataFrame:
+def rrf(semantic: DataFrame, lexical: DataFrame, p: HybridParams = HybridParams(), queries: DataFrame | None = None) -> DataFrame:
     """``query_id, symbol_id, rrf, r_vector, r_bm25, start_line, end_line``: weighted reciprocal ranks over the
-    best reachable sum (0 where no leg weighs). A symbol in both legs keeps the lines of its vector hit."""
+    best reachable sum (0 where no leg weighs). A symbol in both legs keeps the lines of its vector hit. Weights
+    and rrf_k are those of ``queries`` where it has them."""
     v = semantic.select("query_id", "symbol_id", F.col("rank").alias("r_vector"), F.col("start_line").alias("_vs"), F.col("end_line").alias("_ve"))
     b = lexical.select("query_id", "symbol_id", F.col("rank").alias("r_bm25"), F.col("start_line").alias("_bs"), F.col("end_line").alias("_be"))
     both = v.join(b, ["query_id", "symbol_id"], "full_outer")
-    part = lambda r, w: F.coalesce(F.lit(float(w)) / (F.lit(p.rrf_k) + F.col(r)), F.lit(0.0))
-    most = (p.w_vector + p.w_bm25) / (p.rrf_k + 1)
-    score = (part("r_vector", p.w_vector) + part("r_bm25", p.w_bm25)) / most if most > 0 else F.lit(0.0)
+    wv, wb, k = F.lit(float(p.w_vector)), F.lit(float(p.w_bm25)), F.lit(float(p.rrf_k))
+    if queries is not None:
+        own = queries.select("query_id", setting(queries, "w_vector", p.w_vector).alias("_wv"), setting(queries, "w_bm25", p.w_bm25).alias("_wb"), setting(queries, "rrf_k", p.rrf_k).alias("_k"))
+        both, wv, wb, k = both.join(own, "query_id"), F.col("_wv").cast("double"), F.col("_wb").cast("double"), F.col("_k").cast("double")
+    part = lambda r, w: F.coalesce(w / (k + F.col(r)), F.lit(0.0))
+    most = (wv + wb) / (k + 1)
+    score = F.when(most > 0, (part("r_vector", wv) + part("r_bm25", wb)) / most).otherwise(0.0)
     has_v = F.col("r_vector").isNotNull()
     return both.select("query_id", "symbol_id", score.alias("rrf"), "r_vector", "r_bm25", F.when(has_v, F.col("_vs")).otherwise(F.col("_bs")).alias("start_line"), F.when(has_v, F.col("_ve")).otherwise(F.col("_be")).alias("end_line"))
 
@@ -61,16 +71,21 @@ def cap_per_file(results: DataFrame, per_file: int = 3) -> DataFrame:
     return results.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_file).drop("_n")
 
 
-def limit_results(results: DataFrame, limit: int | Column = 15) -> DataFrame:
-    """The first ``limit`` results of each query (at least one), with their position."""
+def limit_results(results: DataFrame, limit: int = 15, queries: DataFrame | None = None) -> DataFrame:
+    """The first ``limit`` results of each query (at least one), with their position; of ``queries`` that have
+    ``max_hits`` as many as each asks for."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "symbol_id")
-    n = F.greatest(F.lit(limit) if isinstance(limit, int) else limit, F.lit(1))
-    return results.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
+    ranked = results.withColumn("position", F.row_number().over(w))
+    if queries is None or "max_hits" not in queries.columns:
+        return ranked.where(F.col("position") <= max(1, limit))
+    own = queries.select("query_id", F.greatest(setting(queries, "max_hits", limit), F.lit(1)).alias("_most"))
+    return ranked.join(own, "query_id").where(F.col("position") <= F.col("_most")).drop("_most")
 
 
-def fuse(semantic: DataFrame | None, lexical: DataFrame | None, queries: DataFrame, symbols: DataFrame, *, limit: int | Column = 15, p: HybridParams = HybridParams()) -> DataFrame:
-    """The whole pipeline behind the legs; a missing leg is empty, and the other one still answers."""
+def fuse(semantic: DataFrame | None, lexical: DataFrame | None, queries: DataFrame, symbols: DataFrame, *, limit: int = 15, p: HybridParams = HybridParams()) -> DataFrame:
+    """The whole pipeline behind the legs; a missing leg is empty, and the other one still answers. Columns
+    w_vector, w_bm25, rrf_k and max_hits of ``queries`` go before ``p`` and ``limit``."""
     spark = queries.sparkSession
     semantic = spark.createDataFrame([], LEG) if semantic is None else semantic
     lexical = spark.createDataFrame([], LEG + ", fts_text string") if lexical is None else evidence_gate(lexical, semantic, queries, symbols, p)
-    return limit_results(cap_per_file(adjust(rrf(semantic, lexical, p), queries, symbols, p), p.per_file), limit)
+    return limit_results(cap_per_file(adjust(rrf(semantic, lexical, p, queries), queries, symbols, p), p.per_file), limit, queries)

@@ -4,19 +4,59 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.vector import clamp, dot
 
-#: Query vectors that one pass over the vectors may carry.
+#: Query vectors that every task holds; more are cut into blocks of about so many.
 MAX_QUERIES = 10_000
+#: Vectors that are multiplied at a time.
+BLOCK = 4096
 #: Decimals of a cosine; further ones depend on how a batch was multiplied, and equal vectors must tie.
 DIGITS = 9
+LINES = ["symbol_id", "chunk_index", "start_line", "end_line"]
+
+
+def _best(batch: pa.RecordBatch, at: int, sides: dict[int, tuple[np.ndarray, np.ndarray]], min_cosine: float, k: int, query: str) -> Iterator[pa.RecordBatch]:
+    """The k best symbols of a batch for each query, by their best chunk; column ``at`` holds the vectors, the
+    columns before it the lines."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column(at)), -1).to_numpy()
+    for dim, (ids, q) in sides.items():
+        places = np.flatnonzero(sizes == dim)
+        for lo in range(0, len(places), BLOCK):
+            some = batch.take(pa.array(places[lo : lo + BLOCK]))
+            v = some.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+            cosine = np.round(np.clip(v @ q.T, 0.0, 1.0), DIGITS)
+            i, j = np.nonzero(cosine >= min_cosine)  # NaN is never above
+            if not len(i):
+                continue
+            symbol, part, start, _ = (pc.fill_null(some.column(n), -1).to_numpy()[i] for n in range(at - 4, at))
+            c = cosine[i, j]
+            order = np.lexsort((part, start, -c, symbol, j))  # best chunk of each symbol
+            order = order[np.concatenate([[True], (j[order][1:] != j[order][:-1]) | (symbol[order][1:] != symbol[order][:-1])])]
+            order = order[np.lexsort((symbol[order], -c[order], j[order]))]
+            begin = np.concatenate([[True], j[order][1:] != j[order][:-1]])
+            place = np.arange(len(order)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
+            order = order[place < k]
+            lines = some.select(LINES).take(pa.array(i[order]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[j[order]]), *lines.columns, pa.array(c[order])], names=[query, *LINES, "cosine"])
+
+
+def _sides(rows: Iterable[tuple]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrices of query vectors, by their length."""
+    by_dim: dict[int, tuple[list, list]] = {}
+    for q, vec in rows:
+        ids, vecs = by_dim.setdefault(len(vec), ([], []))
+        ids.append(q)
+        vecs.append(vec)
+    return {d: (np.array(ids), np.array(vecs, dtype=np.float64)) for d, (ids, vecs) in by_dim.items()}
 
 
 def vector_leg(vectors: DataFrame, queries: DataFrame, *, min_cosine: float = 0.40, k: int = 50, query: str = "query_id") -> DataFrame:
@@ -24,38 +64,54 @@ def vector_leg(vectors: DataFrame, queries: DataFrame, *, min_cosine: float = 0.
 
     Dot products are clamped to [0, 1]; vectors of another length, NULL or with NaN are skipped; the gate is
     inclusive. Of a symbol's chunks the best counts, on ties the one that starts first. ``queries`` holds
-    ``query`` and ``vec``; their number is checked, because they go to every task as one matrix. Each Arrow
-    batch keeps at most k rows per query and symbol run, so what is shuffled does not grow with the gate.
+    ``query`` and ``vec``. Up to MAX_QUERIES of them go to every task as one matrix; more are cut into blocks,
+    and each block meets all vectors. Each Arrow batch keeps at most k rows per query, so what is shuffled does
+    not grow with the gate.
     """
-    rows = queries.select(query, "vec").where("vec is not null").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors; run them in slices")
-    by_dim: dict[int, tuple[list, list]] = {}
-    for r in rows:
-        ids, vecs = by_dim.setdefault(len(r["vec"]), ([], []))
-        ids.append(r[query])
-        vecs.append(r["vec"])
-    sides = {d: (np.array(ids), np.array(vecs, dtype=np.float64)) for d, (ids, vecs) in by_dim.items()}
+    asked = queries.select(query, "vec").where("vec is not null")
     kind = dict(queries.dtypes)[query]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            sizes = p.embedding.map(lambda v: -1 if v is None else len(v)).to_numpy()
-            for dim, (ids, q) in sides.items():
-                part = p[sizes == dim]
-                for lo in range(0, len(part), 4096):
-                    some = part.iloc[lo : lo + 4096]
-                    cosine = np.round(np.clip(np.stack(some.embedding.to_numpy()).astype(np.float64) @ q.T, 0.0, 1.0), DIGITS)
-                    i, j = np.nonzero(cosine >= min_cosine)  # NaN is never above
-                    out = some.iloc[i][["symbol_id", "chunk_index", "start_line", "end_line"]].assign(**{query: ids[j], "cosine": cosine[i, j]})
-                    out = out.sort_values(["cosine", "start_line", "chunk_index"], ascending=[False, True, True]).drop_duplicates([query, "symbol_id"])
-                    yield out.sort_values(["cosine", "symbol_id"], ascending=[False, True]).groupby(query, sort=False).head(k)[[query, "symbol_id", "chunk_index", "start_line", "end_line", "cosine"]]
-
-    scored = vectors.select("symbol_id", "chunk_index", "start_line", "end_line", "embedding").mapInPandas(run, f"{query} {kind}, symbol_id long, chunk_index long, start_line long, end_line long, cosine double")
+    shape = f"{query} {kind}, symbol_id long, chunk_index long, start_line long, end_line long, cosine double"
+    stored = vectors.select(*LINES, "embedding")
+    rows = asked.limit(MAX_QUERIES + 1).collect()
+    if len(rows) <= MAX_QUERIES:
+        sides = vectors.sparkSession.sparkContext.broadcast(_sides((r[query], r["vec"]) for r in rows))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _best(batch, 4, sides.value, min_cosine, k, query)
+
+        scored = stored.mapInArrow(run, shape)
+    else:
+        blocks = -(-asked.count() // MAX_QUERIES)
+        splits = max(1, vectors.sparkSession.sparkContext.defaultParallelism // blocks)
+        tile = lambda block, split: (F.pmod(block, F.lit(blocks)) * splits + F.pmod(split, F.lit(splits))).alias("_tile")
+        all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        none = [F.lit(None).cast("long").alias(c) for c in LINES]
+        left = asked.withColumn("_s", all_of(splits)).select(tile(F.xxhash64(query), F.col("_s")), F.lit(0).alias("_kind"), query, F.col("vec").cast("array<double>").alias("vec"), *none, F.lit(None).cast("array<float>").alias("embedding"))
+        right = stored.withColumn("_b", all_of(blocks)).select(tile(F.col("_b"), F.xxhash64("symbol_id", "chunk_index")), F.lit(1).alias("_kind"), F.lit(None).cast(kind).alias(query), F.lit(None).cast("array<double>").alias("vec"), *LINES, F.col("embedding").cast("array<float>").alias("embedding"))
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, got, sides = None, [], None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                t, what = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                edges = [0, *(1 + np.flatnonzero((t[1:] != t[:-1]) | (what[1:] != what[:-1]))).tolist(), len(t)]
+                for lo, hi in zip(edges, edges[1:]):
+                    if t[lo] != held:
+                        held, got, sides = t[lo], [], None
+                    part = batch.slice(lo, hi - lo)
+                    if what[lo] == 0:
+                        got += zip(part.column(2).to_pylist(), part.column(3).to_pylist())
+                    elif got:
+                        sides = _sides(got) if sides is None else sides
+                        yield from _best(part, 8, sides, min_cosine, k, query)
+
+        scored = left.unionByName(right).repartition("_tile").sortWithinPartitions("_tile", "_kind").mapInArrow(meet, shape)
     one = Window.partitionBy(query, "symbol_id").orderBy(F.col("cosine").desc(), "start_line", "chunk_index")
     best = scored.withColumn("_n", F.row_number().over(one)).where("_n = 1")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("cosine").desc(), "symbol_id"))).where(F.col("rank") <= k)
-    return ranked.select(query, "symbol_id", "chunk_index", "start_line", "end_line", "cosine", "rank")
+    return ranked.select(query, *LINES, "cosine", "rank")
 
 
 def similarity(vectors: DataFrame, vec: list[float]) -> DataFrame:

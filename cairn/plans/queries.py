@@ -9,7 +9,7 @@ from cairn.functions import text
 from cairn.functions.language import doc_language_column, language_column
 from cairn.functions.params import Bm25Params, HybridParams
 from cairn.operators import chunk, extract, fusion, graph, lexical, sections, vectors
-from cairn.session import dedupe, table
+from cairn.session import BROADCAST_ROWS, dedupe, table
 from cairn.sources.workspace import is_minified
 from cairn.streaming.watch import coalesce_events
 
@@ -125,10 +125,19 @@ def _scored(spark, d):
     return c, lexical.search(c, _queries(spark, d), "chunk_key", FIELDS)
 
 
+def _leg_of(spark, d, c, scored):
+    """The lexical leg with each query's own number of candidates, and what fusion needs of the chunks."""
+    q = _queries(spark, d).select("query_id", fusion.setting(_queries(spark, d), "k_candidates", PARAMS.k_candidates).cast("int").alias("k"))
+    most, n = q.agg(F.coalesce(F.max("k"), F.lit(0)), F.count(F.lit(1))).first()
+    some = c.select("chunk_key", "symbol_id", "start_line", "end_line", F.concat_ws(" ", *FIELDS).alias("fts_text"))
+    return lexical.lexical_leg(scored, some, most, per_query=q, few=2 * most * n <= BROADCAST_ROWS), most, q
+
+
 def bm25_chunks_topk(spark, d):
     """Best 50 symbols of each query by its best chunk."""
     c, scored = _scored(spark, d)
-    return lexical.lexical_leg(scored.withColumn("bm25", F.round("bm25", 6)), c, 50).select("query_id", "symbol_id", "chunk_key", "bm25", F.col("rank").cast("long").alias("rank"))
+    few = 100 * _queries(spark, d).count() <= BROADCAST_ROWS
+    return lexical.lexical_leg(scored.withColumn("bm25", F.round("bm25", 6)), c.select("chunk_key", "symbol_id"), 50, few=few).select("query_id", "symbol_id", "chunk_key", "bm25", F.col("rank").cast("long").alias("rank"))
 
 
 def code_search(spark, d):
@@ -155,20 +164,19 @@ def _query_vectors(spark, d):
 
 
 def hybrid_search(spark, d):
-    """The whole pipeline for all queries: both legs, evidence gate, fusion, boosts, caps and limits."""
+    """The whole pipeline for all queries, each with its own weights, rrf_k, candidates and number of hits: both
+    legs, evidence gate, fusion, boosts, caps and limits."""
     c, scored = _scored(spark, d)
-    q, s = _queries(spark, d), _symbols(spark, d)
+    leg, most, k = _leg_of(spark, d, c, scored)
     e = dedupe(table(spark, d, "symbol_embeddings"), "symbol_id", "chunk_index")
-    semantic = vectors.vector_leg(e, _query_vectors(spark, d), min_cosine=PARAMS.min_cosine, k=PARAMS.k_candidates)
-    leg = lexical.lexical_leg(scored, c, PARAMS.k_candidates).join(c.select("chunk_key", "start_line", "end_line", F.concat_ws(" ", *FIELDS).alias("fts_text")), "chunk_key")
-    got = fusion.fuse(semantic, leg, q, s, limit=F.lit(15), p=PARAMS)
+    semantic = vectors.vector_leg(e, _query_vectors(spark, d), min_cosine=PARAMS.min_cosine, k=most).join(k, "query_id").where("rank <= k").drop("k")
+    got = fusion.fuse(semantic, leg, _queries(spark, d), _symbols(spark, d), p=PARAMS)
     return got.select("query_id", F.col("position").cast("long").alias("position"), "symbol_id", "match_type", F.round("score", 5).alias("score"), "file_path", "start_line", "end_line")
 
 
 def hybrid_lexical_only(spark, d):
     c, scored = _scored(spark, d)
-    leg = lexical.lexical_leg(scored, c, PARAMS.k_candidates).join(c.select("chunk_key", "start_line", "end_line", F.concat_ws(" ", *FIELDS).alias("fts_text")), "chunk_key")
-    got = fusion.fuse(None, leg, _queries(spark, d), _symbols(spark, d), limit=F.lit(15), p=PARAMS)
+    got = fusion.fuse(None, _leg_of(spark, d, c, scored)[0], _queries(spark, d), _symbols(spark, d), p=PARAMS)
     return got.select("query_id", F.col("position").cast("long").alias("position"), "symbol_id", "match_type", F.round("score", 5).alias("score"))
 
 
@@ -185,7 +193,7 @@ def _legs(spark, d):
 def rrf_fusion(spark, d):
     """Reciprocal rank fusion of the two rankings behind the stored hits."""
     v, b = _legs(spark, d)
-    got = fusion.rrf(v, b)
+    got = fusion.rrf(v, b, queries=_queries(spark, d))
     return got.select("query_id", "symbol_id", F.round("rrf", 6).alias("rrf"), F.col("r_vector").cast("long").alias("r_vector"), F.col("r_bm25").cast("long").alias("r_bm25"), "start_line", "end_line")
 
 

@@ -91,12 +91,13 @@ scored AS (SELECT query_id, {key}, round(sum(greatest(ln((st.n - df + 0.5) / (df
            FROM tf JOIN df USING (query_id, term) JOIN dl USING ({key}), st GROUP BY ALL)"""
 
 
-def _leg(round6: bool) -> str:
-    b = "round(bm25, 6)" if round6 else "bm25"
+def _leg(own: bool) -> str:
+    """The lexical leg with 50 candidates and scores of six decimals, or with each query's own number."""
+    b, k = ("bm25", "k_candidates") if own else ("round(bm25, 6)", "50")
     return f"""
-c1 AS (SELECT query_id, chunk_key, {b} AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY {b} DESC, chunk_key) AS r FROM scored QUALIFY r <= 100),
-c2 AS (SELECT query_id, chunk_key, bm25, symbol_id FROM c1 JOIN ch USING (chunk_key) QUALIFY row_number() OVER (PARTITION BY query_id, symbol_id ORDER BY r) = 1),
-lex AS (SELECT query_id, symbol_id, chunk_key, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_key) AS rank FROM c2 QUALIFY rank <= 50)"""
+c1 AS (SELECT query_id, chunk_key, {b} AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY {b} DESC, chunk_key) AS r FROM scored),
+c2 AS (SELECT query_id, chunk_key, bm25, symbol_id, {k} AS k FROM c1 JOIN q USING (query_id) JOIN ch USING (chunk_key) WHERE r <= 2 * {k} QUALIFY row_number() OVER (PARTITION BY query_id, symbol_id ORDER BY r) = 1),
+lex AS (SELECT query_id, symbol_id, chunk_key, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_key) AS rank FROM c2 QUALIFY rank <= k)"""
 
 
 _CHUNK_FIELDS = [("fts_name", 3.0), ("fts_path", 2.0), ("fts_body", 1.0)]
@@ -106,7 +107,11 @@ qv AS (SELECT query_id, arg_min(embedding, hit_id)::DOUBLE[] AS vec FROM hits JO
 v0 AS (SELECT query_id, symbol_id, chunk_index, e.start_line, e.end_line, round(greatest(0.0, least(1.0, list_dot_product(embedding::DOUBLE[], vec))), 9) AS cosine
        FROM (SELECT * FROM e WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: isnan(x)))) e, (SELECT * FROM qv WHERE NOT list_bool_or(list_transform(vec, lambda x: isnan(x)))) qv),
 v1 AS (SELECT * FROM v0 WHERE cosine >= 0.4 QUALIFY row_number() OVER (PARTITION BY query_id, symbol_id ORDER BY cosine DESC, start_line, chunk_index) = 1),
-sem AS (SELECT query_id, symbol_id, start_line, end_line, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, symbol_id) AS rank FROM v1 QUALIFY rank <= 50)"""
+sem AS (SELECT query_id, symbol_id, v1.start_line, v1.end_line, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, symbol_id) AS rank FROM v1 JOIN q USING (query_id) QUALIFY rank <= k_candidates)"""
+
+
+def _rrf(b: str) -> str:
+    return f"CASE WHEN w_vector + w_bm25 > 0 THEN (coalesce(w_vector / (rrf_k + sem.rank), 0) + coalesce(w_bm25 / (rrf_k + {b}.rank), 0)) / ((w_vector + w_bm25) / (rrf_k + 1)) ELSE 0 END"
 
 
 def _fuse(semantic: bool) -> str:
@@ -117,19 +122,19 @@ b0 AS (SELECT lex.query_id, lex.symbol_id, lex.rank, ch.start_line, ch.end_line,
 b1 AS (SELECT b0.* FROM b0 JOIN qt USING (query_id) JOIN sym USING (symbol_id) LEFT JOIN sem ON sem.query_id = b0.query_id AND sem.symbol_id = b0.symbol_id
        WHERE sem.symbol_id IS NOT NULL OR {_evidence("toks", "sym.name", "sym.path", "txt")}),
 b2 AS (SELECT query_id, symbol_id, start_line, end_line, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM b1),
-f0 AS (SELECT query_id, symbol_id, (coalesce(1.0::DOUBLE / (60 + sem.rank), 0) + coalesce(1.0::DOUBLE / (60 + b2.rank), 0)) / (2.0::DOUBLE / 61) AS rrf,
+f0 AS (SELECT query_id, symbol_id, {_rrf("b2")} AS rrf,
               sem.rank AS rv, b2.rank AS rb, CASE WHEN sem.rank IS NULL THEN b2.start_line ELSE sem.start_line END AS cs, CASE WHEN sem.rank IS NULL THEN b2.end_line ELSE sem.end_line END AS ce
-       FROM sem FULL JOIN b2 USING (query_id, symbol_id)),
+       FROM sem FULL JOIN b2 USING (query_id, symbol_id) JOIN q USING (query_id)),
 f1 AS (SELECT query_id, symbol_id, path AS file_path, CASE WHEN rv IS NOT NULL AND rb IS NOT NULL THEN 'hybrid' WHEN rv IS NOT NULL THEN 'semantic' ELSE 'lexical' END AS match_type,
               CASE WHEN cs > 0 THEN cs ELSE start_line END AS start_line, CASE WHEN cs > 0 THEN ce ELSE end_line END AS end_line,
               greatest(0.0, least(1.0, rrf + {_boost("toks", "name", "path")} - CASE WHEN kind = 'doc_section' THEN 0.12 ELSE 0 END::DOUBLE
                 - CASE WHEN {_test_file("path")} OR {_test_symbol("name")} THEN 0.10 ELSE 0 END::DOUBLE)) AS score
        FROM f0 JOIN qt USING (query_id) JOIN sym USING (symbol_id)),
 f2 AS (SELECT * FROM f1 WHERE score >= 0.35 QUALIFY row_number() OVER (PARTITION BY query_id, file_path ORDER BY score DESC, symbol_id) <= 3),
-fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, symbol_id) AS position FROM f2 QUALIFY position <= 15)"""
+fin AS (SELECT f2.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, symbol_id) AS position FROM f2 JOIN q USING (query_id) QUALIFY position <= greatest(max_hits, 1))"""
 
 
-_HYBRID = f"WITH {Q}, {SYM}, {HITS}, {CH}, {_bm25('ch', 'chunk_key', _CHUNK_FIELDS)}, {_leg(False)}, {_fuse(True)}"
+_HYBRID = f"WITH {Q}, {SYM}, {HITS}, {CH}, {_bm25('ch', 'chunk_key', _CHUNK_FIELDS)}, {_leg(True)}, {_fuse(True)}"
 _LEGS = f"""WITH {Q}, {SYM}, {HITS}, {CH},
 v AS (SELECT * FROM hits WHERE cosine >= 0.4 AND NOT isnan(cosine) QUALIFY row_number() OVER (PARTITION BY query_id, symbol_id ORDER BY cosine DESC, hit_id) = 1),
 sem AS (SELECT query_id, symbol_id, start_line, end_line, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, symbol_id) AS rank FROM v QUALIFY rank <= 50),
@@ -206,15 +211,15 @@ SELECT path, ordinal, trim(regexp_extract(ls[i], '^#{{1,6}}\s+(.+)$', 1)) AS nam
        {_nonblank("left(" + _nonblank("array_to_string(ls[i + 1:nxt - 1], chr(10))") + ", 800)")} AS body_text, i::BIGINT AS start_line, (nxt - 1)::BIGINT AS end_line FROM n
 UNION ALL
 SELECT path, 0, {STEM.format(BASE.format("path"))}, 'doc_section', path, {_nonblank("left(c, 800)")}, 1, greatest(len(ls), 1) FROM l WHERE path NOT IN (SELECT path FROM h)""",
-    "bm25_chunks_topk": f"WITH {Q}, {CH}, {_bm25('ch', 'chunk_key', _CHUNK_FIELDS)}, {_leg(True)} SELECT query_id, symbol_id, chunk_key, bm25, rank FROM lex",
+    "bm25_chunks_topk": f"WITH {Q}, {CH}, {_bm25('ch', 'chunk_key', _CHUNK_FIELDS)}, {_leg(False)} SELECT query_id, symbol_id, chunk_key, bm25, rank FROM lex",
     "code_search": f"WITH {Q}, {SYM}, {_bm25('sym', 'symbol_id', [('name', 1.0), ('signature', 1.0)])} SELECT query_id, symbol_id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, symbol_id) AS rank FROM scored QUALIFY rank <= 20",
     "vector_topk": """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS symbol_id, round(greatest(0.0, least(1.0, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 9) AS cosine
   FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
 SELECT query_id, symbol_id, round(cosine, 5) AS cosine FROM s WHERE cosine >= 0.15 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, symbol_id) <= 10""",
     "hybrid_search": f"{_HYBRID} SELECT query_id, position, symbol_id, match_type, round(score, 5) AS score, file_path, start_line, end_line FROM fin",
-    "hybrid_lexical_only": f"WITH {Q}, {SYM}, {CH}, {_bm25('ch', 'chunk_key', _CHUNK_FIELDS)}, {_leg(False)}, {_fuse(False)} SELECT query_id, position, symbol_id, match_type, round(score, 5) AS score FROM fin",
-    "rrf_fusion": f"""{_LEGS} SELECT query_id, symbol_id, round((coalesce(1.0::DOUBLE / (60 + sem.rank), 0) + coalesce(1.0::DOUBLE / (60 + lex.rank), 0)) / (2.0::DOUBLE / 61), 6) AS rrf, sem.rank AS r_vector, lex.rank AS r_bm25,
-  CASE WHEN sem.rank IS NULL THEN lex.start_line ELSE sem.start_line END AS start_line, CASE WHEN sem.rank IS NULL THEN lex.end_line ELSE sem.end_line END AS end_line FROM sem FULL JOIN lex USING (query_id, symbol_id)""",
+    "hybrid_lexical_only": f"WITH {Q}, {SYM}, {CH}, {_bm25('ch', 'chunk_key', _CHUNK_FIELDS)}, {_leg(True)}, {_fuse(False)} SELECT query_id, position, symbol_id, match_type, round(score, 5) AS score FROM fin",
+    "rrf_fusion": f"""{_LEGS} SELECT query_id, symbol_id, round({_rrf("lex")}, 6) AS rrf, sem.rank AS r_vector, lex.rank AS r_bm25,
+  CASE WHEN sem.rank IS NULL THEN lex.start_line ELSE sem.start_line END AS start_line, CASE WHEN sem.rank IS NULL THEN lex.end_line ELSE sem.end_line END AS end_line FROM sem FULL JOIN lex USING (query_id, symbol_id) JOIN q USING (query_id)""",
     "evidence_gate": f"""{_LEGS}, qt AS (SELECT query_id, {_tokens("query_text")} AS toks FROM q),
 x AS (SELECT lex.query_id, lex.symbol_id, lex.rank, toks, sym.name, sym.path, coalesce(concat_ws(' ', ch.fts_name, ch.fts_path, ch.fts_body), '') AS txt, sem.symbol_id AS seen FROM lex JOIN qt USING (query_id) JOIN sym ON sym.symbol_id = lex.symbol_id
   LEFT JOIN ch ON ch.symbol_id = lex.symbol_id AND ch.chunk_index = 0 LEFT JOIN sem ON sem.query_id = lex.query_id AND sem.symbol_id = lex.symbol_id)

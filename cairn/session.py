@@ -30,7 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a local session, as in tests) a folder of our own is used.
+    Only where that setting is absent in a local session, as in tests, a folder of our own is used; a cluster
+    without the setting is refused, because a machine's own folder is not shared.
     """
     sc = spark.sparkContext
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,6 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     if not set_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         set_dir = os.path.join(tempfile.gettempdir(), "cairn-checkpoints")
     sc.setCheckpointDir(set_dir)
     return set_dir

@@ -20,7 +20,7 @@ def search(spark, symbols, bodies, vecs, query, vec, limit=15, p=HybridParams())
     scored = lexical.search(c, q, "chunk_key", ["fts_name", "fts_path", "fts_body"])
     from pyspark.sql import functions as F
 
-    leg = lexical.lexical_leg(scored, c).join(c.select("chunk_key", "start_line", "end_line", F.concat_ws(" ", "fts_name", "fts_path", "fts_body").alias("fts_text")), "chunk_key")
+    leg = lexical.lexical_leg(scored, c.select("chunk_key", "symbol_id", "start_line", "end_line", F.concat_ws(" ", "fts_name", "fts_path", "fts_body").alias("fts_text")))
     sem = None
     if vec is not None:
         e = spark.createDataFrame([(i, 0, 3, 4, v) for i, v in vecs.items()], "symbol_id long, chunk_index long, start_line long, end_line long, embedding array<float>")
@@ -98,3 +98,30 @@ def test_directory(spark):
     assert sorted(x["path"] for x in graph.pending(f).collect()) == ["a", "c"]
     up = {x["path"]: x for x in graph.upsert_files(f, f.where("path = 'b'").drop("embed_hash").selectExpr("path", "language", "'new' as hash", "last_modified", "size")).collect()}
     assert up["b"]["hash"] == "new" and up["b"]["embed_hash"] == "h" and up["a"]["hash"] == "h"
+
+
+def test_more_queries_than_a_task_holds(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(300, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    e = spark.createDataFrame([(i // 2, i % 2, i, i + 1, x.tolist()) for i, x in enumerate(v)] + [(900, 0, 1, 1, None), (901, 0, 1, 1, [1.0])], "symbol_id long, chunk_index long, start_line long, end_line long, embedding array<float>")
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[::3])] + [(999, None)], "query_id long, vec array<double>")
+    whole = sorted(map(tuple, vectors.vector_leg(e, q, min_cosine=0.2, k=5).collect()))
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 9)
+    assert sorted(map(tuple, vectors.vector_leg(e, q, min_cosine=0.2, k=5).collect())) == whole and len(whole) > 300
+
+
+def test_parameters_of_each_query(spark):
+    """Weights, rrf_k and limits are those of the query's row; a weight of 0 takes a leg's ranks out of the score."""
+    from cairn.operators.fusion import LEG
+
+    v = spark.createDataFrame([(q, s, 1, 2, r) for q in (1, 2, 3) for r, s in enumerate((7, 8, 9), 1)], LEG)
+    b = spark.createDataFrame([(q, s, 1, 2, r) for q in (1, 2, 3) for r, s in enumerate((9, 8), 1)], LEG)
+    q = spark.createDataFrame([(1, 1.0, 0.0, 60.0, 2), (2, 0.0, 2.0, 10.0, 0), (3, 0.0, 0.0, 60.0, 5)], "query_id long, w_vector double, w_bm25 double, rrf_k double, max_hits int")
+    got = {(r["query_id"], r["symbol_id"]): r["rrf"] for r in fusion.rrf(v, b, queries=q).collect()}
+    assert abs(got[1, 7] - 1) < 1e-12 and abs(got[1, 9] - 61 / 63) < 1e-12 and got[2, 7] == 0 and abs(got[2, 9] - 1) < 1e-12 and abs(got[2, 8] - 11 / 12) < 1e-12 and got[3, 9] == 0
+    ranked = spark.createDataFrame([(k, s, 1.0 / s) for k in (1, 2, 3) for s in range(1, 9)], "query_id long, symbol_id long, score double")
+    counts = {r["query_id"]: r["count"] for r in fusion.limit_results(ranked, 15, q).groupBy("query_id").count().collect()}
+    assert counts == {1: 2, 2: 1, 3: 5}
