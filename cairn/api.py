@@ -5,15 +5,16 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.params import Bm25Params, HybridParams
-from cairn.functions.text import lines
+from cairn.functions.text import cut_bytes, lines
 from cairn.operators import chunk, fusion, graph, lexical, vectors
-from cairn.session import reach_workers
-from cairn.sources.workspace import as_text, index_location, read_workspace, root_of_uri
+from cairn.session import cut, reach_workers
+from cairn.sources.workspace import as_text, index_location, read_paths, read_workspace, root_of_uri
 from cairn.store import Store, scan_records
 
 SNIPPETS, SNIPPET_LINES, SNIPPET_BYTES = 5, 40, 2400
@@ -23,6 +24,12 @@ class NotReady(RuntimeError):
     """The index has no symbols yet."""
 
 
+def locale_copy(spark: SparkSession, root: str) -> DataFrame:
+    """``key, value`` of the workspace's locale files; no other file is read."""
+    files = read_workspace(spark, root, only=chunk.LOCALE)
+    return cut(chunk.locale_dictionary(files.withColumn("content", as_text(F.col("content")))))
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, index: str, encoder: vectors.Encoder | None = None, params: HybridParams = HybridParams(), bm25: Bm25Params = Bm25Params()):
         reach_workers(spark)
@@ -41,8 +48,7 @@ class Engine:
     def index(self) -> dict:
         """Scans the workspace: only changed files are parsed, files that went are pruned."""
         scan = read_workspace(self.spark, self.root)
-        copy = {r["key"]: r["value"] for r in chunk.locale_dictionary(read_workspace(self.spark, self.root, everything=True).withColumn("content", as_text(F.col("content")))).collect()}  # one workspace's dictionary
-        self.store.apply(scan_records(scan), keep=scan.select("path"), i18n=copy or None)
+        self.store.apply(scan_records(scan), keep=scan.select("path"), i18n=locale_copy(self.spark, self.root))
         if self.encoder is not None:
             self.store.embed_pending(self.encoder)
         return self.status()
@@ -83,23 +89,22 @@ class Engine:
         return {"mode": "hybrid" if vec is not None else "lexical-only", "note": note, "results": [r.asDict() for r in got]}
 
     def attach_snippets(self, results: DataFrame) -> DataFrame:
-        """Lines of the first five results, at most 40 lines and 2400 bytes, cut between characters."""
-        files = read_workspace(self.spark, self.root).select(F.col("path").alias("file_path"), as_text(F.col("content")).alias("_text"))
+        """Lines of the first five results, at most 40 lines and 2400 bytes, cut between characters. Only the
+        files of these results are read."""
+        first = results.where(F.col("position") <= SNIPPETS)
+        paths = sorted({r["file_path"] for r in first.select("file_path").distinct().collect()})  # at most SNIPPETS
+        files = read_paths(self.spark, self.root, paths).select(F.col("path").alias("file_path"), as_text(F.col("content")).alias("_text"))
         wanted = F.greatest(F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(SNIPPET_LINES)), F.lit(0)).cast("int")
         text = F.array_join(F.slice(lines(F.col("_text")), F.greatest(F.col("start_line"), F.lit(1)).cast("int"), wanted), "\n")
-        size = lambda n: F.octet_length(F.substring(text, 1, n)) <= SNIPPET_BYTES
-        keep = F.lit(SNIPPET_BYTES // 4)
-        for n in range(SNIPPET_BYTES // 4 + 100, SNIPPET_BYTES + 1, 100):
-            keep = F.when(size(n), F.lit(n)).otherwise(keep)
-        cut = F.when(F.octet_length(text) <= SNIPPET_BYTES, text).otherwise(F.concat(F.substring(text, F.lit(1), keep), F.lit("\n... (truncated)")))
-        return results.join(F.broadcast(results.where(F.col("position") <= SNIPPETS).select("file_path").distinct()).join(files, "file_path"), "file_path", "left").withColumn("snippet", F.when(F.col("position") <= SNIPPETS, cut)).drop("_text")
+        with_text = results.join(F.broadcast(files), "file_path", "left").withColumn("snippet", F.when(F.col("position") <= SNIPPETS, cut_bytes(text, SNIPPET_BYTES)))
+        return with_text.drop("_text")
 
     def code_search(self, text: str, limit: int = 20) -> DataFrame:
         """Full text over names and signatures, equal weights."""
         self._require()
-        s = self.store.read("symbols")
-        scored = lexical.search(s, self._queries(text, limit), "symbol_id", ["name", "signature"], Bm25Params(weights=(1.0, 1.0)))
-        return scored.join(s, "symbol_id").orderBy(F.col("bm25").desc(), "symbol_id").limit(limit).select("symbol_id", "name", "kind", F.col("path").alias("file_path"), "start_line", "signature")
+        stats = lexical.statistics(self.store.read("symbol_lengths"))
+        scored = lexical.search_index(self.store.read("symbol_postings"), stats, self._queries(text, limit), "symbol_id", Bm25Params(weights=(1.0, 1.0)))
+        return scored.join(self.store.read("symbols"), "symbol_id").orderBy(F.col("bm25").desc(), "symbol_id").limit(limit).select("symbol_id", "name", "kind", F.col("path").alias("file_path"), "start_line", "signature")
 
     def symbol_lookup(self, name: str) -> DataFrame:
         self._require()
@@ -108,7 +113,7 @@ class Engine:
     def file_outline(self, path: str) -> DataFrame:
         self._require()
         rel = path[len(self.root.rstrip("/")) + 1 :] if path.startswith(self.root.rstrip("/") + "/") else path
-        return graph.file_outline(self.store.read("symbols"), rel)
+        return graph.file_outline(self.store.read("symbols", [rel]), rel)
 
     def find_callers(self, name: str, path: str | None = None) -> DataFrame:
         self._require()
@@ -116,19 +121,26 @@ class Engine:
 
 
 class Workspaces:
-    """Open workspaces; a query goes to the one named, else to the one that holds the file, else to the first."""
+    """Open workspaces; a query goes to the one named, which is opened if need be, else to the one that holds the
+    file, else to the first. ``opening`` turns a root into an engine."""
 
-    def __init__(self):
+    def __init__(self, opening: Callable[[str], Engine] | None = None):
         self.engines: dict[str, Engine] = {}
+        self.opening = opening
 
     def add(self, engine: Engine) -> None:
         self.engines[engine.root.rstrip("/")] = engine
 
     def pick(self, workspace: str | None = None, file: str | None = None) -> Engine:
+        if workspace is not None:
+            root = (root_of_uri(workspace) or workspace).rstrip("/")
+            if root not in self.engines:
+                if self.opening is None:
+                    raise NotReady(f"{workspace} is not open")
+                self.add(self.opening(root))
+            return self.engines[root]
         if not self.engines:
             raise NotReady("no workspace is open")
-        if workspace is not None:
-            return self.engines[workspace.rstrip("/")]
         holding = [r for r in self.engines if file and file.startswith(r + "/")]
         return self.engines[max(holding, key=len) if holding else next(iter(self.engines))]
 

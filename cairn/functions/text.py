@@ -154,6 +154,16 @@ def index_tokens(text: Column) -> Column:
     return F.coalesce(runs(fold(text)), F.array().cast("array<string>"))
 
 
+def cut_bytes(text: Column, most: int) -> Column:
+    """Text of at most ``most`` bytes, as it is, or its longest beginning of so many bytes, cut between characters,
+    with a note behind it."""
+    # continuation bytes, 0x80 to 0xBF, do not begin a character: cut before the character that the bound splits
+    raw = F.encode(text, "UTF-8")
+    begins = lambda n: F.conv(F.hex(F.substring(raw, most + 1 - n, 1)), 16, 10).cast("int").bitwiseAND(F.lit(0xC0)) != 0x80
+    keep = F.when(begins(0), most).when(begins(1), most - 1).when(begins(2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.decode(F.substring(raw, F.lit(1), keep), "UTF-8"), F.lit("\n... (truncated)")))
+
+
 def nonblank(c: Column) -> Column:
     """Trimmed text, NULL where nothing is left."""
     return F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))

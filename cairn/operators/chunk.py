@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import body_split_words, identifier_word_string, identifier_words, lines, nonblank, stem_of
+from cairn.session import broadcast_checked
 
 BODY_CHARS, OVERLAP_LINES, I18N_BYTES, KEY_BYTES = 800, 2, 400, 128
 # Kinds without retrievable content, and names that tell nothing in short texts.
@@ -68,14 +69,15 @@ def slices(body: Column, limit: int = BODY_CHARS, overlap: int = OVERLAP_LINES)
     return F.aggregate(rows, start, add, done)
 
 
-def chunk_symbols(symbols: DataFrame, i18n: dict[str, str] | None = None, *, limit: int = BODY_CHARS, overlap: int = OVERLAP_LINES) -> DataFrame:
+def chunk_symbols(symbols: DataFrame, i18n: dict[str, str] | DataFrame | None = None, *, limit: int = BODY_CHARS, overlap: int = OVERLAP_LINES, key: str = "symbol_id") -> DataFrame:
     """The chunks of every symbol: its columns, chunk_index, start_line, end_line, embed_text, fts_name,
     fts_path, fts_body.
 
     The header repeats in every chunk. Lines are anchored at the symbol's end. Blank slices are dropped; a
-    symbol without body is one chunk of its header over all its lines. ``i18n`` maps locale keys to copy; it
-    goes to every task and should be the dictionary of one workspace. Needs kind, name, path,
-    parent_context, doc_comment, body_text, start_line, end_line.
+    symbol without body is one chunk of its header over all its lines. ``i18n`` maps locale keys to copy: a
+    table of ``key, value`` of any size, which is joined by ``key`` of the symbols and chunk, or a dictionary,
+    which goes to every task. Needs kind, name, path, parent_context, doc_comment, body_text, start_line,
+    end_line.
     """
     s = symbols.withColumn("_words", identifier_word_string(F.col("name"))).withColumn("_doc", nonblank(F.col("doc_comment")))
     stem = F.nullif(stem_of(F.substring_index("path", "/", -1)), F.lit(""))
@@ -88,10 +90,13 @@ def chunk_symbols(symbols: DataFrame, i18n: dict[str, str] | None = None, *, lim
     text = lambda r: F.array_join(F.slice("_lines", r["first"] + 1, r["last"] - r["first"] + 1), "\n")
     parts = F.filter(F.transform("_ranges", lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.when(r["last"] >= 0, F.coalesce(nonblank(text(r)), F.lit(""))).otherwise("").alias("slice"))), lambda p: (p["last"] < 0) | nonblank(p["slice"]).isNotNull())
     each = s.withColumn("_first", anchor).select("*", F.posexplode(parts).alias("chunk_index", "_p"))
-    copy = locale_copy(F.col("_p.slice"), i18n) if i18n else F.lit("")
     whole = F.col("_p.last") < 0
     split = body_split_words(F.col("_p.slice"))
-    each = each.withColumn("_copy", copy)
+    if isinstance(i18n, DataFrame):
+        copy = joined_copy(each.select(key, "chunk_index", F.col("_p.slice").alias("_text")), i18n, [key, "chunk_index"], "_text")
+        each = each.join(copy.withColumnRenamed("copy", "_copy"), [key, "chunk_index"], "left").withColumn("_copy", F.coalesce("_copy", F.lit("")))
+    else:
+        each = each.withColumn("_copy", locale_copy(F.col("_p.slice"), i18n) if i18n else F.lit(""))
     out = each.select(
         *symbols.drop("start_line", "end_line").columns,
         F.col("chunk_index").cast("long").alias("chunk_index"),
@@ -107,24 +112,52 @@ def chunk_symbols(symbols: DataFrame, i18n: dict[str, str] | None = None, *, lim
 
 # ---------------------------------------------------------------- locale copy
 
+_KEY = re.compile(r"[A-Za-z0-9._-]+")
+
+
+def quoted_keys(text: str) -> list[str]:
+    """The quoted literals of a text that may be keys, in order; a quote that is not closed begins nothing."""
+    got, i = [], 0
+    while (i := min((x for x in (text.find("\"", i), text.find("'", i)) if x >= 0), default=-1)) >= 0:
+        end = text.find(text[i], i + 1)
+        if end >= 0:
+            if 0 < end - i - 1 <= KEY_BYTES and _KEY.fullmatch(text, i + 1, end):
+                got.append(text[i + 1 : end])
+            i = end
+        i += 1
+    return got
+
 
 def resolve_keys(text: str, copy: dict[str, str]) -> str:
     """Values of the quoted keys in a text, distinct, in order; stops once they have 400 bytes."""
-    got, total, i = [], 0, 0
-    while i < len(text) and total < I18N_BYTES:
-        if text[i] in "\"'":
-            end = text.find(text[i], i + 1)
-            if end >= 0:
-                key = text[i + 1 : end]
-                value = copy.get(key) if 0 < len(key) <= KEY_BYTES and re.fullmatch(r"[A-Za-z0-9._-]+", key) else None
-                if value is not None and value not in got:
-                    total += len(value.encode()) + 1
-                    got.append(value)
-                i = end
-        i += 1
+    got: dict[str, None] = {}
+    total = 0
+    for key in quoted_keys(text):
+        if total >= I18N_BYTES:
+            break
+        value = copy.get(key)
+        if value is not None and value not in got:
+            total += len(value.encode()) + 1
+            got[value] = None
     return " ".join(got)
 
 
+def joined_copy(texts: DataFrame, copy: DataFrame, key: list[str], text: str) -> DataFrame:
+    """``<key>, copy``: the same from a table of ``key, value``, by a join; rows without a known key are left out."""
+
+    @F.pandas_udf("array<string>")
+    def keys(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda t: quoted_keys(t) if t else [])
+
+    asked = texts.where(F.col(text).rlike("[\"']")).select(*key, F.posexplode(keys(F.col(text))).alias("_pos", "_key"))
+    found = asked.join(broadcast_checked(copy.select(F.col("key").alias("_key"), "value")), "_key").where("value is not null")
+    values = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "value"))), lambda x: x["value"]))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"))
+    add = lambda acc, v: F.struct(F.when(acc["n"] < I18N_BYTES, F.array_append(acc["out"], v)).otherwise(acc["out"]).alias("out"), (acc["n"] + F.octet_length(v) + 1).alias("n"))
+    return found.groupBy(*key).agg(values.alias("_v")).select(*key, F.array_join(F.aggregate("_v", start, add, lambda acc: acc["out"]), " ").alias("copy"))
+
+
 def locale_copy(text: Column, copy: dict[str, str]) -> Column:
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -167,11 +200,12 @@ def locale_entries(path: str, content: str | None) -> dict[str, str]:
     return {k: v for k, v in _PAIR.findall(content) if v.strip()}
 
 
+#: Lower-case paths of locale resources: by folder and suffix, ARB and .strings files, Android values.
+LOCALE = r"(?:^|/)(?:locales|locale|i18n|l10n|translations|lang)/.*\.(?:ts|tsx|js|json)$|\.(?:arb|strings)$|(?:^|/)values.*strings\.xml$"
+
+
 def is_locale_file(path: Column) -> Column:
-    """Resources by folder and suffix, ARB and .strings files, Android values."""
-    p = F.lower(path)
-    folder = p.rlike("/(?:locales|locale|i18n|l10n|translations|lang)/")
-    return (folder & p.rlike(r"\.(?:ts|tsx|js|json)$")) | p.rlike(r"\.(?:arb|strings)$") | (p.rlike(r"strings\.xml$") & F.contains(p, F.lit("/values")))
+    return F.lower(path).rlike(LOCALE)
 
 
 def is_english(path: Column) -> Column:

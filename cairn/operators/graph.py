@@ -40,7 +40,7 @@ def symbol_lookup(symbols: DataFrame, name: str | Column, limit: int | None = 20
 
 
 def file_outline(symbols: DataFrame, path: str) -> DataFrame:
-    """All symbols of a file by line; the filter prunes by the path's bucket where the store has buckets."""
+    """All symbols of a file by line; the store is asked for the file's bucket alone."""
     return symbols.where(F.col("path") == path).orderBy("start_line", "ordinal")
 
 
@@ -60,6 +60,11 @@ def prune(rows: DataFrame, keep: DataFrame, key: str = "path") -> DataFrame:
     return rows.join(keep.select(key).distinct(), key, "left_semi")
 
 
+def prune_out(rows: DataFrame, gone: DataFrame, key: str = "path") -> DataFrame:
+    """Rows whose key is not among those that went."""
+    return rows.join(gone.select(key).distinct(), key, "left_anti")
+
+
 def upsert_files(old: DataFrame, new: DataFrame) -> DataFrame:
     """New records replace old ones by path; embed_hash stays with the path."""
     o = old.select("path", *[F.col(c).alias(f"_o_{c}") for c in ("language", "hash", "last_modified", "size", "embed_hash")])

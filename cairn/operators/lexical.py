@@ -1,9 +1,9 @@
 """Inverted index and field-weighted BM25.
 
-The index is postings ``(doc, its length, field, token, tf, positions)``, kept by slots of the token's hash, and
-the global statistics ``(n_docs, avg_len)``. A query reads only the slots of its own tokens: terms are at most
-twelve per query, and joined by broadcast as long as their number is small. Without a kept index the same
-occurrences are taken from the texts.
+The index is postings ``(doc, its length, field, token, tf, positions)``, sorted by slots of the token's hash, and
+the global statistics ``(n_docs, avg_len)``. A query reads only parts that hold slots of its own tokens: terms are
+at most twelve per query, and joined by broadcast as long as their number is small. Without a kept index the
+same occurrences are taken from the texts.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.params import Bm25Params
-from cairn.functions.text import index_tokens, match_terms
+from cairn.functions.text import any_of, index_tokens, match_terms
 from cairn.session import BROADCAST_ROWS, cut
 
-#: Partitions of kept postings by token.
-SLOTS = 256
+#: Ranges of the tokens' hashes by which kept postings are sorted.
+SLOTS = 4096
 #: Decimals of a score; further ones depend on the order of summation.
 DIGITS = 9
 
@@ -36,9 +36,9 @@ def postings(docs: DataFrame, key: str, fields: list[str], keep: tuple[str, ...]
     return rows.groupBy(key, *keep, "dl", "field", "token").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def lengths(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """``key, dl``: tokens over all fields."""
-    return docs.select(key, sum((F.size(index_tokens(F.col(f))) for f in fields), F.lit(0)).alias("dl"))
+def lengths(docs: DataFrame, key: str, fields: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key, <keep>, dl``: tokens over all fields."""
+    return docs.select(key, *keep, sum((F.size(index_tokens(F.col(f))) for f in fields), F.lit(0)).alias("dl"))
 
 
 def statistics(dl: DataFrame) -> DataFrame:
@@ -113,13 +113,14 @@ def search(docs: DataFrame, queries: DataFrame, key: str, fields: list[str], p:
 
 
 def search_index(post: DataFrame, stats: DataFrame, queries: DataFrame, key: str, p: Bm25Params = Bm25Params(), query: str = "query_id", text: str = "query_text") -> DataFrame:
-    """``query, key, bm25`` from kept postings, which may be partitioned by token: ``slot`` is
-    :func:`token_slot`, and slots without asked tokens are not read."""
+    """``query, key, bm25`` from kept postings that have ``slot`` (:func:`token_slot`) and are sorted by it: parts
+    of files whose slots hold no asked token are not read."""
     terms, parts, bounded = asked(queries, query, text)
-    if "slot" in post.columns:
-        wanted = parts.select(token_slot(F.col("token")).alias("slot")).distinct().collect()  # at most SLOTS rows
-        post = post.where(F.col("slot").isin([r["slot"] for r in wanted])).drop("slot")
-    return bm25(occurrences_in(post, parts), terms, stats, key, p, query, bounded)
+    if bounded:
+        wanted = [r["slot"] for r in parts.select(token_slot(F.col("token")).alias("slot")).distinct().limit(SLOTS // 8 + 1).collect()]
+        if len(wanted) <= SLOTS // 8:  # else nearly every part has one
+            post = post.where(any_of([F.col("slot") == x for x in wanted]))  # as equalities, which reach the scan in any number
+    return bm25(occurrences_in(post.drop("slot"), parts), terms, stats, key, p, query, bounded)
 
 
 def token_slot(token: Column) -> Column:

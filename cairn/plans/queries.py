@@ -11,7 +11,7 @@ from cairn.functions.params import Bm25Params, HybridParams
 from cairn.operators import chunk, extract, fusion, graph, lexical, sections, vectors
 from cairn.session import BROADCAST_ROWS, dedupe, table
 from cairn.sources.workspace import is_minified
-from cairn.streaming.watch import coalesce_events
+from cairn.streaming.watch import debounce
 
 FIELDS = ["fts_name", "fts_path", "fts_body"]
 PARAMS = HybridParams(min_bm25_term_matches=2)
@@ -272,10 +272,10 @@ def upsert_files(spark, d):
     return graph.upsert_files(dedupe(table(spark, d, "files"), "file_id"), new)
 
 
-def change_feed_coalesce(spark, d):
-    """Events debounced per user: the last of each hour's."""
-    e = table(spark, d, "events")
-    return coalesce_events(e.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type"), ["user_id"], "ts", 3600).select("user_id", F.col("window").cast("long").alias("window"), F.col("events").cast("long").alias("events"), "event_id", "event_type")
+def change_feed_debounce(spark, d):
+    """Events debounced per user: a batch begins with the first event and takes those of the next hour."""
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    return debounce(e, ["user_id"], "ts", 3600).select("user_id", F.unix_micros("batch").alias("batch"), F.col("events").cast("long").alias("events"), "event_id", "event_type")
 
 
 QUERIES = {
@@ -283,6 +283,6 @@ QUERIES = {
     for f in (
         identifier_split, body_split_words, query_terms, language_detect, test_flags, lexical_boost_layers, minified_detect, embed_gate, path_terms, doc_sections, extract_symbols, extract_calls, chunk_symbols, call_resolution,
         callers_by_name, bm25_chunks_topk, code_search, vector_topk, hybrid_search, hybrid_lexical_only, rrf_fusion, evidence_gate, per_file_cap, known_item_eval, symbol_lookup_nocase, file_outline, index_stats, embedding_pending,
-        unchanged_skip, prune_anti_join, upsert_files, change_feed_coalesce,
+        unchanged_skip, prune_anti_join, upsert_files, change_feed_debounce,
     )
 }

@@ -240,6 +240,8 @@ SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM sym) AS symbols,
     "upsert_files": f"""WITH {_LAST}, f AS (SELECT DISTINCT ON (path) * FROM files)
 SELECT path, CASE WHEN last.hash IS NOT NULL THEN {_CODE} ELSE f.language END AS language, CASE WHEN last.hash IS NOT NULL THEN last.hash ELSE f.hash END AS hash,
   CASE WHEN last.hash IS NOT NULL THEN last.x.m ELSE f.last_modified END AS last_modified, CASE WHEN last.hash IS NOT NULL THEN last.x.s ELSE f.size END AS size, f.embed_hash FROM f FULL JOIN last USING (path)""",
-    "change_feed_coalesce": """WITH w AS (SELECT *, epoch_us(ts) // 3600000000 AS win FROM events)
-SELECT user_id, win AS "window", count(*) AS events, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS event_type FROM w GROUP BY user_id, win""",
+    "change_feed_debounce": """WITH RECURSIVE b AS (SELECT user_id, min(ts) AS s FROM events WHERE ts IS NOT NULL GROUP BY user_id
+  UNION ALL SELECT e.user_id, min(e.ts) FROM b JOIN events e ON e.user_id = b.user_id AND e.ts >= b.s + INTERVAL 1 HOUR GROUP BY e.user_id, b.s),
+w AS (SELECT e.*, b.s FROM events e JOIN b ON b.user_id = e.user_id AND e.ts >= b.s AND e.ts < b.s + INTERVAL 1 HOUR)
+SELECT user_id, epoch_us(s) AS batch, count(*) AS events, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS event_type FROM w GROUP BY user_id, s""",
 }

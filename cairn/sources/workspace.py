@@ -132,11 +132,11 @@ def read_files(root: str, paths: list[str]) -> Iterator[tuple]:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, size: int, every: bool):
-        self.root, self.size, self.every = root, size, every
+    def __init__(self, root: str, size: int, every: bool, only: str):
+        self.root, self.size, self.every, self.only = root, size, every, re.compile(only) if only else None
 
     def partitions(self):
-        paths = [p for p in walk(self.root) if self.every or is_indexable(p)]
+        paths = [p for p in walk(self.root) if (self.only.search(p.lower()) if self.only else self.every or is_indexable(p))]
         return [Batch(self.root, paths[i : i + self.size]) for i in range(0, len(paths), self.size)] or [Batch(self.root, [])]
 
     def read(self, partition):
@@ -188,7 +188,8 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class WorkspaceSource(DataSource):
-    """Options: path (the root), batch (files per task), all (also files without a known language)."""
+    """Options: path (the root), batch (files per task), all (also files without a known language), only (a regular
+    expression for lower-case paths; others are not read)."""
 
     @classmethod
     def name(cls):
@@ -202,15 +203,20 @@ class WorkspaceSource(DataSource):
 
     def reader(self, schema):
         root, size = self._options()
-        return _Reader(root, size, self.options.get("all", "false").lower() == "true")
+        return _Reader(root, size, self.options.get("all", "false").lower() == "true", self.options.get("only", ""))
 
     def streamReader(self, schema):
         return _StreamReader(*self._options())
 
 
-def read_workspace(spark: SparkSession, root: str, *, everything: bool = False, batch: int = 256) -> DataFrame:
+def read_workspace(spark: SparkSession, root: str, *, everything: bool = False, only: str = "", batch: int = 256) -> DataFrame:
     spark.dataSource.register(WorkspaceSource)
-    return spark.read.format("cairn_workspace").option("path", root).option("batch", str(batch)).option("all", str(everything).lower()).load()
+    return spark.read.format("cairn_workspace").option("path", root).option("batch", str(batch)).option("all", str(everything).lower()).option("only", only).load()
+
+
+def read_paths(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """These files of the workspace, without a walk."""
+    return spark.createDataFrame(list(read_files(root, paths)), SCHEMA)
 
 
 def as_text(content):

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from cairn.session import cut
 from cairn.sources.workspace import WorkspaceSource
 from cairn.store import Store, scan_records
 
@@ -12,39 +18,58 @@ DEBOUNCE = "1500 milliseconds"
 EVENTS = "path string, status string, batch long"
 
 
-def coalesce_events(events: DataFrame, key: list[str], at: str, seconds: float = 1.5) -> DataFrame:
-    """Events as a debounce sees them: a batch begins with the first event after the last batch ended and takes
+def debounce(events: DataFrame, key: list[str], at: str, seconds: float = 1.5, *, watch: list[str] | None = None) -> DataFrame:
+    """Events as a debounce hands them on: a batch begins with the first event after the last batch ended and takes
     all events of the next ``seconds``; of each key in a batch the last event stays.
 
-    Fixed windows of that length, aligned to the epoch, which distribute; a burst across a border becomes two
-    batches, and applying the second is a no-op if nothing changed.
+    ``key, batch`` (the time of its first event), ``events`` (how many there were) and the last event's columns.
+    Batches are those of each value of ``watch`` (default: of each key); one of them is read as a sorted stream
+    in which only the current batch's beginning is kept, so it may be of any length. Events without a time are
+    left out.
     """
-    window = F.floor(F.unix_micros(F.col(at)) / F.lit(int(seconds * 1_000_000)))
+    groups = key if watch is None else watch
+    step = round(seconds * 1_000_000)
+
+    def begin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, start = None, 0
+        for p in parts:
+            t, owners, out = p["_t"].to_numpy(), p["_g"].to_numpy(), np.empty(len(p), np.int64)
+            lo = 0
+            while lo < len(t):
+                if owners[lo] != held or t[lo] >= start + step:
+                    held, start = owners[lo], t[lo]
+                same = len(t) if owners[-1] == held else int(np.argmax(owners[lo:] != held)) + lo
+                hi = lo + int(np.searchsorted(t[lo:same], start + step))
+                out[lo:hi], lo = start, hi
+            yield p.assign(_b=out)[["_k", "_b", "_e"]]
+
     rest = [c for c in events.columns if c not in key]
-    best = F.max(F.struct(F.col(at), *[F.col(c) for c in rest if c != at])).alias("_e")
-    return events.withColumn("window", window).groupBy(*key, "window").agg(best, F.count(F.lit(1)).alias("events")).select(*key, "window", "events", "_e.*")
+    some = events.where(F.col(at).isNotNull()).select(F.struct(*groups).alias("_w"), F.struct(*key).alias("_k"), F.unix_micros(F.col(at)).alias("_t"), F.struct(F.col(at), *[F.col(c) for c in rest if c != at]).alias("_e"))
+    ordered = some.withColumn("_g", F.to_json("_w")).repartition("_g").sortWithinPartitions("_g", "_t").select("_g", "_t", "_k", "_e")
+    fields = ordered.schema
+    begun = ordered.mapInPandas(begin, StructType([fields["_k"], StructField("_b", LongType()), fields["_e"]]))
+    last = begun.groupBy("_k", "_b").agg(F.max("_e").alias("_e"), F.count(F.lit(1)).alias("events"))
+    return last.select("_k.*", F.timestamp_micros("_b").alias("batch"), "events", "_e.*")
 
 
-def apply_batch(store: Store, i18n: dict[str, str] | None = None, log: list | None = None):
+def apply_batch(store: Store, i18n: Callable[[], DataFrame] | None = None, log: list | None = None):
     """The writer of a stream: deleted and unreadable paths go, others are indexed unless unchanged. A batch
-    that is delivered again changes nothing."""
+    that is delivered again changes nothing. ``i18n`` is asked for the locale copy of the moment where a batch
+    has anything to index."""
 
     def run(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("path").agg(F.max_by(F.struct("length", "mtime", "content"), "mtime").alias("f")).select("path", "f.*").persist()
-        try:
-            gone = last.where("length < 0").select("path")
-            done = store.apply(scan_records(last.where("length >= 0")), gone=gone, i18n=i18n)
-            if log is not None:
-                log.append({"batch": number, **done, "deleted": gone.count()})
-        finally:
-            last.unpersist()
+        last = cut(batch.groupBy("path").agg(F.max_by(F.struct("length", "mtime", "content"), "mtime").alias("f")).select("path", "f.*"))
+        live, gone = last.where("length >= 0"), last.where("length < 0").select("path")
+        done = store.apply(scan_records(live), gone=gone, i18n=i18n() if i18n is not None and live.take(1) else None)
+        if log is not None:
+            log.append({"batch": number, **done, "deleted": gone.count()})
 
     return run
 
 
-def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, *, once: bool = False, i18n: dict[str, str] | None = None, log: list | None = None):
-    """Starts the query that keeps ``store`` at the state of ``root``. One query per store: it is the only
-    writer, and micro-batches that arrive during a long one are coalesced into the next."""
+def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, *, once: bool = False, i18n: Callable[[], DataFrame] | None = None, log: list | None = None):
+    """Starts the query that keeps ``store`` at the state of ``root``. The store lets in one writer at a time;
+    micro-batches that arrive during a long one are coalesced into the next."""
     spark.dataSource.register(WorkspaceSource)
     stream = spark.readStream.format("cairn_workspace").option("path", root).load()
     writer = stream.writeStream.foreachBatch(apply_batch(store, i18n, log)).option("checkpointLocation", checkpoint)

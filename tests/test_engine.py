@@ -6,7 +6,7 @@ import pytest
 from cairn.api import Engine, NotReady, Workspaces, to_json
 from cairn.operators.vectors import Encoder, pool
 from cairn.sources import workspace
-from cairn.streaming.watch import coalesce_events, watch
+from cairn.streaming.watch import debounce, watch
 
 
 def make_loader():
@@ -149,7 +149,23 @@ def test_model_checksums(tmp_path):
             verify_model(str(tmp_path), bad)
 
 
-def test_coalesce(spark):
-    rows = [("a", "2025-01-01 00:00:00.100", 1), ("a", "2025-01-01 00:00:01.200", 2), ("a", "2025-01-01 00:00:09", 3), ("b", "2025-01-01 00:00:00.200", 4)]
+def test_debounce(spark):
+    import random
+
+    rows = [("a", "2025-01-01 00:00:00.100", 1), ("a", "2025-01-01 00:00:01.200", 2), ("a", "2025-01-01 00:00:09", 3), ("b", "2025-01-01 00:00:01.700", 4), ("b", None, 5)]
     df = spark.createDataFrame(rows, "path string, s string, n int").selectExpr("path", "to_timestamp(s) as at", "n")
-    assert sorted((r["path"], r["events"], r["n"]) for r in coalesce_events(df, ["path"], "at").collect()) == [("a", 1, 3), ("a", 2, 2), ("b", 1, 4)]
+    assert sorted((r["path"], r["events"], r["n"]) for r in debounce(df, ["path"], "at").collect()) == [("a", 1, 3), ("a", 2, 2), ("b", 1, 4)]
+    whole = df.selectExpr("*", "'root' as root")
+    got = sorted((r["path"], str(r["batch"])[17:], r["n"]) for r in debounce(whole, ["path"], "at", watch=["root"]).collect())
+    assert got == [("a", "00.100000", 2), ("a", "09", 3), ("b", "01.700000", 4)]  # b came after the first batch of the root
+
+    rng = random.Random(3)
+    events = [(rng.choice("xyz"), rng.randint(0, 60_000_000), i) for i in range(3000)]
+    df = spark.createDataFrame(events, "k string, us long, n int").selectExpr("k", "timestamp_micros(us) as at", "n").repartition(3)
+    want, start = {}, {}
+    for k, t, n in sorted(events, key=lambda e: (e[0], e[1], e[2])):
+        if k not in start or t >= start[k] + 1_500_000:
+            start[k] = t
+        want[k, start[k]] = (n, want.get((k, start[k]), (0, 0))[1] + 1)
+    got = {(r["k"], r["us"]): (r["n"], r["events"]) for r in debounce(df, ["k"], "at").selectExpr("*", "unix_micros(batch) as us").collect()}
+    assert got == want and debounce(df.limit(0), ["k"], "at").count() == 0
