@@ -118,10 +118,14 @@ def has_evidence(tokens: Column, name: Column, path: Column, text: Column, least
     return exact | (found >= required_matches(F.size(tokens), least))
 
 
+def fold_ascii(c: Column) -> Column:
+    """Lower case of ASCII letters only."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def same_name(a: Column, b: Column | str) -> Column:
     """Equal but for the case of ASCII letters."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.translate(a, upper, lower) == F.translate(F.lit(b) if isinstance(b, str) else b, upper, lower)
+    return fold_ascii(a) == fold_ascii(F.lit(b) if isinstance(b, str) else b)
 
 
 def content_hash(text: Column) -> Column:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.text import same_name
-
-RESULT = ("symbol_id", "name", "kind", "file_path", "start_line", "signature")
+from cairn.functions.text import fold_ascii
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, kind: str = "calls") -> DataFrame:
@@ -22,26 +20,46 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, kind: str = "calls") ->
     return calls.join(a, ["path", "from_name"]).join(b, ["path", "to_name"]).select("from_id", "to_id", F.lit(kind).alias("kind"))
 
 
-def find_callers(relations: DataFrame, symbols: DataFrame, name: str | Column, exclude_path: str | None = None, limit: int | None = 50) -> DataFrame:
-    """Symbols that call one named ``name`` (by case), outside ``exclude_path``; duplicates stay."""
-    target = F.lit(name) if isinstance(name, str) else name
-    to = symbols.where(F.col("name") == target).select(F.col("symbol_id").alias("to_id"))
-    who = relations.where("kind = 'calls'").drop("kind").join(to, "to_id").join(symbols, F.col("from_id") == F.col("symbol_id"))
-    if exclude_path is not None:
-        who = who.where(F.col("path") != exclude_path)
-    got = who.select("symbol_id", "name", "kind", F.col("path").alias("file_path"), "start_line", "end_line", "signature").orderBy("file_path", "start_line", "symbol_id")
-    return got if limit is None else got.limit(limit)
+def callers(relations: DataFrame, symbols: DataFrame, asked: DataFrame, limit: int = 50) -> DataFrame:
+    """For every row of ``asked`` (query_id, name, exclude_path or NULL) the first ``limit`` symbols that call one
+    of that name (by case) outside that path, with their position by path and line; duplicates stay."""
+    to = symbols.select(F.col("symbol_id").alias("to_id"), "name").join(asked.select("query_id", "name", "exclude_path"), "name").drop("name")
+    who = relations.where("kind = 'calls'").select("from_id", "to_id").join(to, "to_id").join(symbols, F.col("from_id") == F.col("symbol_id"))
+    who = who.where("exclude_path is null or path != exclude_path")
+    w = Window.partitionBy("query_id").orderBy("path", "start_line", "symbol_id")
+    got = who.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
+    return got.select("query_id", "position", "symbol_id", "name", "kind", F.col("path").alias("file_path"), "start_line", "end_line", "signature")
+
+
+def find_callers(relations: DataFrame, symbols: DataFrame, name: str, exclude_path: str | None = None, limit: int = 50) -> DataFrame:
+    """:func:`callers` of one name."""
+    asked = symbols.sparkSession.createDataFrame([(0, name, exclude_path)], "query_id long, name string, exclude_path string")
+    return callers(relations, symbols, F.broadcast(asked), limit).orderBy("position").drop("query_id", "position")
+
+
+def lookup(symbols: DataFrame, asked: DataFrame, limit: int = 20) -> DataFrame:
+    """For every row of ``asked`` (query_id, name) the first ``limit`` symbols of that name, whatever the case of
+    ASCII letters, with their position by path and line."""
+    names = asked.select("query_id", fold_ascii(F.col("name")).alias("_name"))
+    got = symbols.withColumn("_name", fold_ascii(F.col("name"))).join(names, "_name")
+    w = Window.partitionBy("query_id").orderBy("path", "start_line", "symbol_id")
+    return got.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit).select("query_id", "position", "symbol_id", "name", "kind", F.col("path").alias("file_path"), "start_line", "signature")
+
+
+def symbol_lookup(symbols: DataFrame, name: str, limit: int = 20) -> DataFrame:
+    """:func:`lookup` of one name."""
+    asked = symbols.sparkSession.createDataFrame([(0, name)], "query_id long, name string")
+    return lookup(symbols, F.broadcast(asked), limit).orderBy("position").drop("query_id", "position")
 
 
-def symbol_lookup(symbols: DataFrame, name: str | Column, limit: int | None = 20) -> DataFrame:
-    """Symbols of that name, whatever the case of ASCII letters, by path and line."""
-    got = symbols.where(same_name(F.col("name"), name)).select("symbol_id", "name", "kind", F.col("path").alias("file_path"), "start_line", "signature").orderBy("file_path", "start_line", "symbol_id")
-    return got if limit is None else got.limit(limit)
+def outlines(symbols: DataFrame) -> DataFrame:
+    """Every file's symbols with their ``position`` by line."""
+    return symbols.withColumn("position", F.row_number().over(Window.partitionBy("path").orderBy("start_line", "ordinal")))
 
 
 def file_outline(symbols: DataFrame, path: str) -> DataFrame:
     """All symbols of a file by line; the store is asked for the file's bucket alone."""
-    return symbols.where(F.col("path") == path).orderBy("start_line", "ordinal")
+    return outlines(symbols.where(F.col("path") == path)).orderBy("position").drop("position")
 
 
 def pending(files: DataFrame) -> DataFrame:

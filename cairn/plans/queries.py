@@ -103,18 +103,27 @@ def chunk_symbols(spark, d):
     return got.select("symbol_id", "chunk_index", "start_line", "end_line", "embed_text", "fts_name", "fts_path", "fts_body")
 
 
+def _body_calls(spark, d):
+    """Calls as the bodies of symbols show them, and symbols, both by repository: names are resolved within it."""
+    s = _symbols(spark, d)
+    names = F.regexp_extract_all(F.col("body_text"), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1))
+    calls = s.where("body_text is not null").select(F.col("repo").alias("path"), F.col("name").alias("from_name"), F.explode(names).alias("to_name"))
+    return calls.where("from_name != to_name"), s.select(F.col("repo").alias("path"), F.col("symbol_id").alias("ordinal"), "name", "symbol_id")
+
+
 def call_resolution(spark, d):
-    """Calls of the current contents, resolved against the symbol table's first symbol of each name and file."""
-    return graph.resolve_calls(extract_calls(spark, d), _symbols(spark, d))
+    """Calls resolved to the first symbol of each name in their repository; repeated calls are kept and numbered."""
+    r = graph.resolve_calls(*_body_calls(spark, d))
+    return r.groupBy("from_id", "to_id", "kind").agg(F.count(F.lit(1)).alias("times"))
 
 
 def callers_by_name(spark, d):
-    """Callers of every called name, across files."""
+    """Callers of every called name outside the first path that has a symbol of that name."""
     s = _symbols(spark, d)
-    r = call_resolution(spark, d)
-    to = s.select(F.col("symbol_id").alias("to_id"), F.col("name").alias("called"))
-    who = r.drop("kind").join(to, "to_id").join(s.select(F.col("symbol_id").alias("from_id"), "name", "kind", "path", "start_line"), "from_id")
-    return who.select("called", F.col("from_id").alias("symbol_id"), "name", "kind", F.col("path").alias("file_path"), "start_line")
+    r = graph.resolve_calls(*_body_calls(spark, d))
+    asked = s.groupBy("name").agg(F.min("path").alias("exclude_path"), F.min("symbol_id").alias("query_id"))
+    got = graph.callers(r, s, asked)
+    return got.select("query_id", F.col("position").cast("long").alias("position"), "symbol_id", "name", "file_path", "start_line")
 
 
 # ---------------------------------------------------------------- retrieval
@@ -229,17 +238,15 @@ def known_item_eval(spark, d):
 
 
 def symbol_lookup_nocase(spark, d):
-    """For every query text that is a symbol's name, whatever the case: its first 20 symbols."""
-    q, s = _queries(spark, d).select("query_id", F.lower("query_text").alias("n")), _symbols(spark, d)
-    got = s.withColumn("n", F.lower("name")).join(q, "n")
-    w = Window.partitionBy("query_id").orderBy("path", "start_line", "symbol_id")
-    return got.withColumn("position", F.row_number().over(w)).where("position <= 20").select("query_id", F.col("position").cast("long").alias("position"), "symbol_id", "name", "kind", F.col("path").alias("file_path"), "start_line", "signature")
+    """For every query text, and every name in capitals, its first 20 symbols."""
+    s = _symbols(spark, d)
+    asked = _queries(spark, d).select("query_id", F.col("query_text").alias("name")).unionByName(s.groupBy("name").agg((-F.min("symbol_id")).alias("query_id")).select("query_id", text.fold_ascii(F.col("name")).alias("name")))
+    return graph.lookup(s, asked).withColumn("position", F.col("position").cast("long"))
 
 
 def file_outline(spark, d):
     """Every file's symbols in order."""
-    w = Window.partitionBy("path").orderBy("start_line", "ordinal")
-    return _symbols(spark, d).select("path", F.row_number().over(w).cast("long").alias("position"), "symbol_id", "name", "kind", "start_line", "end_line")
+    return graph.outlines(_symbols(spark, d)).select("path", F.col("position").cast("long").alias("position"), "symbol_id", "name", "kind", "start_line", "end_line")
 
 
 def index_stats(spark, d):
@@ -258,10 +265,26 @@ def unchanged_skip(spark, d):
     return graph.changed_files(last, dedupe(table(spark, d, "files"), "file_id")).select("path", "hash")
 
 
+def _readable(spark, d):
+    """Paths whose latest sighting could be read: code and documentation paths, each by its own walk."""
+    s = dedupe(table(spark, d, "file_scans"), "scan_id")
+    last = s.groupBy("path").agg(F.max_by(F.struct("hash"), "ingested_at").alias("x")).where("x.hash is not null").select("path")
+    code = last.where(language_column(F.col("path")).isNotNull())
+    return code.unionByName(last.where(doc_language_column(F.col("path")).isNotNull()))
+
+
 def prune_anti_join(spark, d):
-    """Symbols whose file has no contents any more."""
-    here = table(spark, d, "file_contents").where("content is not null").select("path")
-    return _symbols(spark, d).join(here.distinct(), "path", "left_anti").select("symbol_id", "path")
+    """Symbols of the files that are still there."""
+    return graph.prune(_symbols(spark, d), _readable(spark, d)).select("symbol_id", "path")
+
+
+def cascade_delete(spark, d):
+    """What remains of symbols, chunks and vectors after the unreadable files were deleted."""
+    f = dedupe(table(spark, d, "files"), "file_id").select("path")
+    gone = f.join(_readable(spark, d), "path", "left_anti")
+    left = lambda t, *key: graph.prune_out(dedupe(table(spark, d, t), *key), gone).select(F.lit(t).alias("tab"), "symbol_id")
+    every = left("symbols", "symbol_id").unionByName(left("symbol_chunks", "symbol_id", "chunk_index")).unionByName(left("symbol_embeddings", "symbol_id", "chunk_index"))
+    return every.groupBy("tab", "symbol_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def upsert_files(spark, d):
@@ -283,6 +306,6 @@ QUERIES = {
     for f in (
         identifier_split, body_split_words, query_terms, language_detect, test_flags, lexical_boost_layers, minified_detect, embed_gate, path_terms, doc_sections, extract_symbols, extract_calls, chunk_symbols, call_resolution,
         callers_by_name, bm25_chunks_topk, code_search, vector_topk, hybrid_search, hybrid_lexical_only, rrf_fusion, evidence_gate, per_file_cap, known_item_eval, symbol_lookup_nocase, file_outline, index_stats, embedding_pending,
-        unchanged_skip, prune_anti_join, upsert_files, change_feed_debounce,
+        unchanged_skip, prune_anti_join, cascade_delete, upsert_files, change_feed_debounce,
     )
 }

@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from cairn.functions.language import BY_EXTENSION, BY_NAME, DOC_EXTENSIONS
-from cairn.functions.text import TERM_STOPWORDS, TOKEN_STOPWORDS, _diacritics
-from cairn.operators.chunk import GENERIC, NON_RETRIEVABLE
 
-FROM, TO = _diacritics()
+# Fixed values, stated here once more so that a wrong list in the engine shows.
+TOKEN_STOPWORDS = "the and for with".split()
+TERM_STOPWORDS = "the and for with this that does how what where when which code file".split()
+NON_RETRIEVABLE = "import property_signature field_declaration property_declaration".split()
+GENERIC = "props children id key value classname class_name name type data item items index i x y _".split()
+#: Latin letters with marks, and the letters they are written with: what a canonical decomposition begins with.
+_MARKED = {c: unicodedata.decomposition(c) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])}
+
+
+def _letter(c: str) -> str:
+    parts = _MARKED.get(c, "").split()
+    return _letter(chr(int(parts[0], 16))) if parts and not parts[0].startswith("<") else c
+
+
+FROM = "".join(c for c in _MARKED if _letter(c) != c)
+TO = "".join(_letter(c).lower() for c in FROM)
 NW = r"[^\p{L}\p{N}]+"
 
 
@@ -180,6 +195,12 @@ SELECT symbol_id, chunk_index, (greatest(end_line - len(ls) + 1, start_line) + i
   header || ' | ' || slice AS embed_text, fts_name, fts_path, concat_ws(chr(10), doc, slice, split) AS fts_body FROM h LEFT JOIN b USING (symbol_id, chunk_index)
 UNION ALL SELECT symbol_id, 0, start_line, end_line, header, fts_name, fts_path, coalesce(doc, '') FROM n3 WHERE len(ls) = 0"""
 
+_CALLS = r"""c AS (SELECT repo, name AS f, unnest(regexp_extract_all(body_text, '([A-Za-z_][A-Za-z0-9_]*)\(', 1)) AS t FROM sym WHERE body_text IS NOT NULL),
+first AS (SELECT repo, name, min(symbol_id) AS id FROM sym GROUP BY repo, name),
+rel AS (SELECT a.id AS from_id, b.id AS to_id FROM c JOIN first a ON a.repo = c.repo AND a.name = f JOIN first b ON b.repo = c.repo AND b.name = t WHERE f <> t)"""
+_HERE = f"""l0 AS (SELECT path, arg_max({{'h': hash}}, ingested_at) AS x FROM file_scans GROUP BY path),
+here AS (SELECT path FROM l0 WHERE x.h IS NOT NULL AND ({_CODE} IS NOT NULL OR {_DOC} IS NOT NULL))"""
+
 SQL = {
     "chunk_symbols": _CHUNK_SQL,
     "identifier_split": f"""WITH n AS (SELECT DISTINCT name FROM symbols), w AS (SELECT name, {_camel("name")} AS l FROM n), d AS (SELECT name, {_distinct("l")} AS l FROM w)
@@ -229,14 +250,22 @@ SELECT query_id, symbol_id, file_path, score FROM o QUALIFY row_number() OVER (P
     "known_item_eval": f"""{_HYBRID}, g AS (SELECT DISTINCT query_id, symbol_id FROM judgments WHERE grade = 3), b AS (SELECT query_id, min(position) AS best FROM fin JOIN g USING (query_id, symbol_id) GROUP BY 1),
 w AS (SELECT query_id, best FROM (SELECT DISTINCT query_id FROM g) LEFT JOIN b USING (query_id))
 SELECT count(*) AS queries, round(avg(CASE WHEN best <= 1 THEN 1.0 ELSE 0.0 END), 4) AS top_1, round(avg(CASE WHEN best <= 3 THEN 1.0 ELSE 0.0 END), 4) AS top_3, round(avg(CASE WHEN best <= 15 THEN 1.0 ELSE 0.0 END), 4) AS top_15 FROM w""",
-    "symbol_lookup_nocase": f"""WITH {Q}, {SYM} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY path, start_line, symbol_id) AS position, symbol_id, name, kind, path AS file_path, start_line, signature
-FROM sym JOIN q ON lower(name) = lower(query_text) QUALIFY position <= 20""",
+    "symbol_lookup_nocase": f"""WITH {Q}, {SYM}, n AS (SELECT query_id, query_text AS t FROM q UNION ALL SELECT -min(symbol_id), translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM sym GROUP BY name)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY path, start_line, symbol_id) AS position, symbol_id, name, kind, path AS file_path, start_line, signature
+FROM sym JOIN n ON translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') QUALIFY position <= 20""",
     "file_outline": f"WITH {SYM} SELECT path, row_number() OVER (PARTITION BY path ORDER BY start_line, ordinal) AS position, symbol_id, name, kind, start_line, end_line FROM sym",
+    "call_resolution": f"WITH {SYM}, {_CALLS} SELECT from_id, to_id, 'calls' AS kind, count(*) AS times FROM rel GROUP BY ALL",
+    "callers_by_name": f"""WITH {SYM}, {_CALLS}, asked AS (SELECT name, min(path) AS exclude_path, min(symbol_id) AS query_id FROM sym GROUP BY name)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY w.path, w.start_line, w.symbol_id) AS position, w.symbol_id, w.name, w.path AS file_path, w.start_line
+FROM rel JOIN sym t ON t.symbol_id = rel.to_id JOIN asked ON asked.name = t.name JOIN sym w ON w.symbol_id = rel.from_id WHERE w.path <> exclude_path QUALIFY position <= 50""",
     "index_stats": f"""WITH {SYM}, f AS (SELECT DISTINCT ON (file_id) * FROM files), e AS (SELECT DISTINCT ON (symbol_id, chunk_index) * FROM symbol_embeddings)
 SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM sym) AS symbols, (SELECT count(*) FROM e WHERE embedding IS NOT NULL) AS embeddings, (SELECT count(*) FROM f WHERE embed_hash IS NULL OR embed_hash <> hash) AS pending""",
     "embedding_pending": "SELECT DISTINCT file_id, path, hash, embed_hash FROM files WHERE embed_hash IS NULL OR embed_hash <> hash",
     "unchanged_skip": f"WITH {_LAST} SELECT path, hash FROM last WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.path = last.path AND f.hash = last.hash)",
-    "prune_anti_join": f"WITH {SYM} SELECT symbol_id, path FROM sym WHERE path NOT IN (SELECT path FROM file_contents WHERE content IS NOT NULL)",
+    "prune_anti_join": f"WITH {SYM}, {_HERE} SELECT symbol_id, path FROM sym WHERE path IN (SELECT path FROM here)",
+    "cascade_delete": f"""WITH {_HERE}, gone AS (SELECT path FROM files WHERE path NOT IN (SELECT path FROM here)),
+e AS (SELECT 'symbols' AS tab, symbol_id, 0 AS chunk_index, path FROM symbols UNION SELECT 'symbol_chunks', symbol_id, chunk_index, path FROM symbol_chunks UNION SELECT 'symbol_embeddings', symbol_id, chunk_index, path FROM symbol_embeddings)
+SELECT tab, symbol_id, count(*) AS n FROM e WHERE path NOT IN (SELECT path FROM gone) GROUP BY ALL""",
     "upsert_files": f"""WITH {_LAST}, f AS (SELECT DISTINCT ON (path) * FROM files)
 SELECT path, CASE WHEN last.hash IS NOT NULL THEN {_CODE} ELSE f.language END AS language, CASE WHEN last.hash IS NOT NULL THEN last.hash ELSE f.hash END AS hash,
   CASE WHEN last.hash IS NOT NULL THEN last.x.m ELSE f.last_modified END AS last_modified, CASE WHEN last.hash IS NOT NULL THEN last.x.s ELSE f.size END AS size, f.embed_hash FROM f FULL JOIN last USING (path)""",
