@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,14 +22,20 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize(a: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return let(F.struct(F.transform(a, lambda x: x.cast("double")).alias("a"), norm(a).alias("n")), lambda s: F.when(s["n"] > 0, F.transform(s["a"], lambda x: x / s["n"])).otherwise(s["a"]))
 
 
 def mean_pool(tokens: Column, mask: Column) -> Column:
     """Average of the token vectors whose mask is positive, at unit length; NULL if none is."""
+    start = F.struct(F.lit(None).cast("array<double>").alias("sum"), F.lit(0).alias("n"))
+    add = lambda acc, t: F.struct(F.when(acc["sum"].isNull(), F.transform(t, lambda x: x.cast("double"))).otherwise(F.zip_with(acc["sum"], t, lambda x, y: x + y.cast("double"))).alias("sum"), (acc["n"] + 1).alias("n"))
     kept = F.filter(F.zip_with(tokens, mask, lambda t, m: F.when(m > 0, t)), lambda t: t.isNotNull())
-    total = F.aggregate(F.slice(kept, 2, 1_000_000), F.transform(F.get(kept, F.lit(0)), lambda x: x.cast("double")), lambda s, t: F.zip_with(s, t, lambda x, y: x + y.cast("double")))
-    return F.when(F.size(kept) > 0, normalize(F.transform(total, lambda x: x / F.size(kept))))
+    mean = F.aggregate(kept, start, add, lambda acc: F.transform(acc["sum"], lambda x: x / acc["n"]))
+    return let(mean, normalize)

@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from cairn.plans import incremental_queries, queries, sql
+from cairn.plans import incremental_queries, index_queries, queries, sql
 
-ALL = queries.QUERIES | incremental_queries.QUERIES
-SQL = sql.SQL | incremental_queries.SQL
+ALL = queries.QUERIES | index_queries.QUERIES | incremental_queries.QUERIES
+SQL = sql.SQL | index_queries.SQL | incremental_queries.SQL
 
 
 @pytest.fixture(scope="module")
