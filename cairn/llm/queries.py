@@ -27,6 +27,12 @@ def p2_pieces(spark, d):
     return split.renumber(split.split_items(table(spark, d, "symbol_chunks")))
 
 
+def p2_shifted(spark, d):
+    """New indexes of the chunks that stay whole beside pieces."""
+    chunks = table(spark, d, "symbol_chunks")
+    return split.shift_unsplit(split.split_items(chunks), chunks)
+
+
 def p2_found(spark, d):
     parts = split.split_items(table(spark, d, "symbol_chunks"))
     return parts.where("piece = 1").select("symbol_id", F.col("parent_index").alias("chunk_index"))
@@ -96,7 +102,7 @@ def p10_restored(spark, d):
     return mojibake.repair_corpus(_texts(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p3_ranking, p4_found, p4_neighbours, p4_recall, p6_found, p6_files, p7_found, p7_flags, p7_rates, p8_ids, p9_mixture, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p2_shifted, p3_ranking, p4_found, p4_neighbours, p4_recall, p6_found, p6_files, p7_found, p7_flags, p7_rates, p8_ids, p9_mixture, p9_shares, p10_found, p10_restored)}
 
 SQL = {
     "p2_found": "SELECT DISTINCT symbol_id, chunk_index FROM symbol_chunks WHERE length(embed_text) > 800",

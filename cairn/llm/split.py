@@ -1,10 +1,11 @@
 """Splitting oversized items at natural boundaries.
 
 Separators form a hierarchy: section, paragraph, line, sentence, word, character. An item is cut into units
-that fit, coarsest separator first, recursing only where a unit is still too long. Units are packed greedily
-up to the limit; within a full piece the cut falls on the strongest boundary of its second half. Neighbours
-share the last ``overlap`` lines of the earlier piece as far as that leaves room for new text; inside a line
-that alone is too long they share its trailing words instead.
+that fit, coarsest separator first, recursing only where a unit is still too long, so a line within the limit
+is never broken. Units are packed greedily up to the limit; within a full piece the cut falls on the strongest
+boundary of its second half, or on an earlier end of a line rather than inside one. Neighbours share the last
+``overlap`` lines of the earlier piece as far as that leaves room for new text; inside a line that alone is too
+long they share its trailing words instead.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
         return []
     if len(text) <= limit:
         return [(text, 0, max(0, sum(1 for m in _LINE.findall(text) if m) - 1), 0)]
-    us, out, start, i = units(text, max(1, limit // 2)), [], 0, 0
+    us, out, start, i = units(text, limit), [], 0, 0
     while True:  # us[start:i] is the shared head, us[i:] is new
         size, j = sum(len(u[0]) for u in us[start:i]), i
         head = size
@@ -85,6 +86,8 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
                 run += len(us[k][0])
                 if (run >= limit // 2 or k == j - 1) and us[k][2] >= best:
                     best, at = us[k][2], k + 1
+            if best < LINE:
+                at = next((k + 1 for k in range(j - 1, i - 1, -1) if us[k][2] >= LINE), at)
             j = at
         out.append(("".join(u[0] for u in us[start:j]), us[start][1], us[j - 1][1], head))
         if j >= len(us):
@@ -160,10 +163,23 @@ def split_items(df: DataFrame, *, keys: tuple[str, str] = ("symbol_id", "chunk_i
 
 
 def renumber(split: DataFrame, group: str = "symbol_id", out: str = "chunk_index") -> DataFrame:
-    """New consecutive indexes: each piece moves up by the pieces its group gained before it.
+    """New consecutive indexes: each piece moves up by the pieces its group gained before it. Items that were not
+    split move with them, see :func:`shift_unsplit`.
 
     Only rows of split items take part; the window streams over a group in order, whatever its size.
     """
     w = Window.partitionBy(group).orderBy("parent_index", "piece")
     gained = F.row_number().over(w) - F.dense_rank().over(Window.partitionBy(group).orderBy("parent_index"))
     return split.withColumn(out, (F.col("parent_index") + gained).cast("long"))
+
+
+def shift_unsplit(split: DataFrame, df: DataFrame, keys: tuple[str, str] = ("symbol_id", "chunk_index")) -> DataFrame:
+    """``<group>, old_index, <index>``: the items of groups with pieces that were not split themselves, and their new
+    index, which is past the pieces gained before them; with the pieces of :func:`renumber` no two are alike.
+    Repeated rows count once; NULL indexes are left out."""
+    group, index = keys
+    gained = split.groupBy(group, F.col("parent_index").alias("old_index")).agg((F.count(F.lit(1)) - 1).alias("_more"))
+    whole = df.select(group, F.col(index).alias("old_index")).where("old_index is not null").distinct().join(gained.select(group).distinct(), group, "left_semi")
+    w = Window.partitionBy(group).orderBy("old_index").rowsBetween(Window.unboundedPreceding, -1)
+    moved = whole.join(gained, [group, "old_index"], "left").withColumn(index, (F.col("old_index") + F.coalesce(F.sum("_more").over(w), F.lit(0))).cast("long"))
+    return moved.where("_more is null").select(group, "old_index", index)

@@ -65,6 +65,26 @@ def test_lines_are_shared():
     assert len(split.pieces("y" * 1_000_000)) < 2000 and split.pieces("") == [] and len(split.pieces("z" * 800)) == 1
 
 
+def test_a_line_that_fits_is_not_broken():
+    for a, b in ((300, 700), (10, 795), (500, 500), (790, 790)):
+        text = "a" * (a - 1) + "\n" + " ".join(["word"] * (b // 5)) + "\n" + "c" * 50 + "\n"
+        got = split.pieces(text)
+        assert len(got) > 1 and all(p[0][p[3] :].endswith("\n") for p in got)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=40), st.integers(20, 60))
+def test_cuts_lie_between_lines(sizes, limit):
+    """Where every line fits, every cut is the end of a line; a longer line is cut only where it begins or inside itself."""
+    text = "".join("w" * n + "\n" for n in sizes)
+    got = split.pieces(text, limit, 2)
+    at = 0
+    for p in got[:-1]:
+        at += len(p[0]) - p[3]
+        line = text[text.rfind("\n", 0, at) + 1 : text.index("\n", at) + 1] if at < len(text) else ""
+        assert text[at - 1] == "\n" or len(line) > limit
+
+
 @pytest.mark.parametrize(("s", "e", "n", "want"), [(5, 9, 5, (5, 9)), (9, 5, 5, (5, 9)), (0, 9, 5, (5, 9)), (None, 9, 20, (1, 9)), (5, 0, 5, (5, 9)), (0, None, 5, (None, None)), (-1, -1, 5, (None, None))])
 def test_line_range(s, e, n, want):
     assert split.line_range(s, e, n) == want
@@ -82,6 +102,10 @@ def test_split_table(spark):
     assert first[0]["start_line"] == 11 and first[-1]["end_line"] == 110 and all(a["end_line"] == b["start_line"] + 1 for a, b in zip(first, first[1:]))
     assert all(r["start_line"] is None for r in of(1) if r["parent_index"] == 2) and len(of(None)) == n and not of(2) and not of(3)
     assert split.split_items(df.limit(0)).count() == 0
+    more = df.unionByName(spark.createDataFrame([(1, 7, "late", 1, 1), (4, 2, "alone", 1, 1)], df.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ").split(", piece")[0]).withColumn("piece", F.lit("clash")).withColumn("g", F.lit(1)))
+    moved = {(r["symbol_id"], r["old_index"]): r["chunk_index"] for r in split.shift_unsplit(split.split_items(more), more).collect()}
+    assert moved == {(1, 1): n, (1, 7): 7 + 2 * (n - 1)}
+    assert not set(moved.values()) & {r["chunk_index"] for r in of(1)}
 
 
 # ---------------------------------------------------------------- wrong encodings
