@@ -5,49 +5,60 @@ own percentiles are sorted ascending and the arrays compared lexicographically,
 weakest score is stronger comes first, so a weak score cannot be masked by a strong one. A score an item does
 not have is no element of its array; arrays are padded with 1, the neutral element of the minimum.
 
-Ranks are spread: a group's rows are dealt to slots of value ranges, ranked inside their slot, and moved up by
-the counts of the slots below. A group that holds a third of all rows is thus sorted by many tasks.
+Ranks are spread by sorting: rows, or the distinct values of a score with their counts, are put into ranges of the
+whole order, which a sample of it lays out, and one small row per group and range carries what lies below. A
+group that holds a third of all rows, and rows that tie down to their keys, are thus ranked by many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOTS = 32
+from cairn.session import broadcast_checked, cut
 
 
-def spread_count_below(df: DataFrame, group: list[str], slot: str, order: list[Column], *, out: str) -> DataFrame:
-    """``df`` with ``out``: how many rows of the group come strictly before the row's ties, under ``order``.
+def running(df: DataFrame, group: list[str], order: list[Column], amount: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the sum of ``amount`` over the rows of the group before the row, and ``_all``, the group's
+    sum. ``df`` is sorted into ranges of (group, order), pinned by a checkpoint; ``order`` must be total."""
+    by = [F.col(g) for g in group]
+    ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_part", F.spark_partition_id()).withColumn("_upto", F.col(amount).cast("long"))
+    at = ranged.columns.index("_upto")
 
-    ``slot`` must not fall along ``order``. Per (group, slot) a window ranks, and one small row per pair
-    carries the counts of the slots below.
-    """
-    inner = df.withColumn("_rank", F.rank().over(Window.partitionBy(*group, slot).orderBy(*order)) - 1)
-    sums = df.groupBy(*group, slot).count()
-    below = F.coalesce(F.sum("count").over(Window.partitionBy(*group).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(*group, slot, below.alias("_below"))
-    return inner.join(sums, [*group, slot]).withColumn(out, F.col("_below") + F.col("_rank")).drop("_rank", "_below")
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = 0
+        for batch in batches:
+            n = batch.column(at).to_numpy()
+            total = carried + np.cumsum(n)
+            carried = int(total[-1]) if len(n) else carried
+            yield batch.set_column(at, "_upto", pa.array(total - n))
+
+    pinned = cut(ranged.mapInArrow(add_up, ranged.schema))
+    parts = pinned.groupBy(*group, "_part").agg(F.min("_upto").alias("_first"), F.sum(amount).alias("_n"))
+    w = Window.partitionBy(*group)
+    below = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*group, "_part", "_first", below.alias("_below"), F.sum("_n").over(w).alias("_all"))
+    return pinned.join(broadcast_checked(parts), [*group, "_part"]).withColumn(out, F.col("_below") + F.col("_upto") - F.col("_first")).drop("_part", "_upto", "_first", "_below")
 
 
 def percentiles(df: DataFrame, group: str, key: str, scores: dict[str, Column]) -> DataFrame:
-    """``(key, <name>...)``: per score the mid-rank percentile within the group, NULL where it is missing.
+    """``(key, _p)``: a map from each score's name to its mid-rank percentile within the group, without those that
+    are missing.
 
     Ties share the middle of their ranks; NaN and NULL are missing; a group of one, or one whose values are
-    all equal, gets 0.5.
+    all equal, gets 0.5. Ranks are those of distinct values, counted map-side, so ties are one row.
     """
-    names = list(scores)
     clean = [F.when(~F.isnan(c.cast("double")), c.cast("double")) for c in scores.values()]
     long = df.select(F.col(group).alias("g"), F.col(key).alias("k"), F.posexplode(F.array(*clean)).alias("m", "v")).where(F.col("v").isNotNull())
-    edges = {r["m"]: r["e"] for r in long.groupBy("m").agg(F.percentile_approx("v", [i / SLOTS for i in range(1, SLOTS)], 1000).alias("e")).collect()}  # one row per score
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in edges.get(i) or [0.0]]) for i in range(len(names))])
-    long = long.withColumn("s", F.size(F.filter(F.get(table, F.col("m")), lambda e: e < F.col("v"))))
-    ranked = spread_count_below(long, ["g", "m"], "s", [F.col("v")], out="less")
-    ties = F.count(F.lit(1)).over(Window.partitionBy("g", "m", "s", "v"))
-    sizes = long.groupBy("g", "m").agg(F.count(F.lit(1)).alias("n"))
-    p = F.when(F.col("n") > 1, (F.col("less") + (F.col("ties") - 1) / 2) / (F.col("n") - 1)).otherwise(F.lit(0.5))
-    scored = ranked.withColumn("ties", ties).join(sizes, ["g", "m"]).withColumn("p", p)
-    return scored.groupBy("k").agg(*[F.max(F.when(F.col("m") == i, F.col("p"))).alias(n) for i, n in enumerate(names)]).withColumnRenamed("k", key)
+    values = running(long.groupBy("g", "m", "v").agg(F.count(F.lit(1)).alias("n")), ["g", "m"], [F.col("v")], "n", "less")
+    p = F.when(F.col("_all") > 1, (F.col("less") + (F.col("n") - 1) / 2) / (F.col("_all") - 1)).otherwise(F.lit(0.5))
+    name = F.element_at(F.array(*[F.lit(n) for n in scores]), F.col("m") + 1)
+    scored = long.join(values.select("g", "m", "v", p.alias("p")), ["g", "m", "v"])
+    return scored.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct(name, "p"))).alias("_p")).withColumnRenamed("k", key)
 
 
 def leximin(df: DataFrame, group: str, key: str, scores: dict[str, Column], *, weights: dict[str, Column] | None = None, last: list[Column] | None = None, out: str = "position") -> DataFrame:
@@ -61,23 +72,14 @@ def leximin(df: DataFrame, group: str, key: str, scores: dict[str, Column], *, w
     starting with ``_`` are replaced.
     """
     df = df.drop("vector", out).where(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit("\0")))
-    parts = percentiles(df, "_g", key, scores)
-    names = list(scores)
-    df = df.join(parts.select(key, *[F.col(n).alias(f"_p_{n}") for n in names]), key, "left")
+    df = df.join(percentiles(df, "_g", key, scores), key, "left")
     weight = lambda n: (weights or {}).get(n, F.lit(1.0))
-    values = [F.when(weight(n) > 0, F.pow(F.col(f"_p_{n}"), weight(n))) for n in names]
-    df = df.withColumn("vector", F.sort_array(F.array_compact(F.array(*values)))).drop(*[f"_p_{n}" for n in names])
-    has = F.size("vector") > 0
-    padded = F.when(has, F.concat("vector", F.array_repeat(F.lit(1.0), F.lit(len(names)) - F.size("vector")))).otherwise(F.array_repeat(F.lit(-1.0), len(names)))
-    worst = lambda i: F.get(F.col("_pad"), F.lit(i))
-    df = df.withColumn("_pad", padded)
-    df = df.withColumn("_pad", padded)
-    second = worst(1) if len(names) > 1 else worst(0)
-    # slots fall with the weakest score, which comes first in the comparison
-    df = df.withColumn("_slot", F.when(has, -F.floor(worst(0) * SLOTS * 8)).otherwise(F.lit(1)))
+    values = [F.when(weight(n) > 0, F.pow(F.try_element_at("_p", F.lit(n)), weight(n))) for n in scores]
+    df = df.withColumn("vector", F.sort_array(F.array_compact(F.array(*values)))).drop("_p")
+    padded = F.concat("vector", F.array_repeat(F.lit(1.0), F.lit(len(scores)) - F.size("vector")))
+    df = df.withColumn("_pad", F.when(F.size("vector") > 0, padded).otherwise(F.array_repeat(F.lit(-1.0), len(scores)))).withColumn("_one", F.lit(1))
     order = [F.col("_pad").desc(), *[c.desc_nulls_last() for c in last or []], F.col(key).asc()]
-    ranked = spread_count_below(df, ["_g"], "_slot", order, out=out)
-    return ranked.withColumn(out, (F.col(out) + 1).cast("long")).drop("_pad", "_slot", "_g")
+    return running(df, ["_g"], order, "_one", out).withColumn(out, (F.col(out) + 1).cast("long")).drop("_pad", "_one", "_g", "_all")
 
 
 def fuse_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:

@@ -203,6 +203,21 @@ def test_leximin(spark):
     assert rank.leximin(df.limit(0), "q", "id", {"a": F.col("a")}).count() == 0
 
 
+def test_one_group_with_ties_is_ranked_by_many_tasks(spark):
+    """One query has all rows, most of them alike or without a score; positions are total and nothing is lost."""
+    df = spark.range(20_000).selectExpr("'q' as q", "id", "case when id % 3 = 0 then 0.5 when id % 3 = 1 then cast(id as double) end as a", "cast(null as double) as b")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # 20,000 rows are little
+    try:
+        got = rank.leximin(df, "q", "id", {"a": F.col("a"), "b": F.col("b")})
+        parts = [n for n in got.rdd.glom().map(len).collect() if n]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1 and max(parts) < 15_000
+    rows = sorted(((r["position"], r["id"]) for r in got.collect()))
+    scored = sorted((i for i in range(20_000) if i % 3 == 1), reverse=True)
+    want = scored + [i for i in range(20_000) if i % 3 == 0] + [i for i in range(20_000) if i % 3 == 2]
+    assert [i for _, i in rows] == want and [p for p, _ in rows] == list(range(1, 20_001))
+
 # ---------------------------------------------------------------- similar vectors
 
 
