@@ -76,6 +76,13 @@ def test_json_agrees_with_the_parser():
         assert syntax.examine("a.json", broken)[2] == bad, broken
 
 
+def test_costs_that_are_least_ones():
+    capped = lambda p, t: syntax.judge(p, t)[3::3]
+    assert capped("a.py", "x = (1,\n")[1] is True and capped("a.json", '{"a": 1,}') == (1, False) and capped("a.json", "{}") == (0, False)
+    cost, least = capped("a.py", "".join(f"x{i} = 1 2 3 4\n" for i in range(60)))
+    assert cost >= 8 and least
+
+
 def test_flags(spark):
     rows = [(1, "r/a.py", "x = 1\n"), (1, "r/a.py", "x = 1\n"), (2, "r/b.py", "def f(:\n"), (3, "s/a.json", ""), (4, "s/a.py", ""), (5, "s/a.py", None), (6, "s/a.md", "# <<<"), (7, None, "x"), (8, "s/x.rs", "fn f() {" * 3000), (9, "s/a.zig", "}")]
     df = spark.createDataFrame(rows, "file_id long, path string, content string").withColumn("language", F.lit("wrong")).withColumn("k", F.lit(0))
