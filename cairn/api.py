@@ -5,7 +5,9 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import threading
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from cairn.sources.workspace import as_text, index_location, read_paths, read_wo
 from cairn.store import Store, scan_records
 
 SNIPPETS, SNIPPET_LINES, SNIPPET_BYTES = 5, 40, 2400
+#: Seconds a search waits for its encoder.
+MODEL_WAIT = 5.0
 
 
 class NotReady(RuntimeError):
@@ -35,6 +39,8 @@ class Engine:
         reach_workers(spark)
         self.spark, self.root, self.store = spark, root, Store(spark, index)
         self.encoder, self.params, self.bm25 = encoder, params, bm25
+        self._run: dict | None = None
+        self._encoding: ThreadPoolExecutor | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, cache: str, **more) -> Engine:
@@ -46,17 +52,38 @@ class Engine:
     # -------------------------------------------------------------- building
 
     def index(self) -> dict:
-        """Scans the workspace: only changed files are parsed, files that went are pruned."""
-        scan = read_workspace(self.spark, self.root)
-        self.store.apply(scan_records(scan), keep=scan.select("path"), i18n=locale_copy(self.spark, self.root))
-        if self.encoder is not None:
-            self.store.embed_pending(self.encoder)
+        """Scans the workspace: only changed files are parsed, files that went are pruned; then vectors are made for
+        what has none. Phases: indexing, then embedding or lexical_only, then ready; failed with its error."""
+        self._run = {"phase": "indexing"}
+        try:
+            scan = read_workspace(self.spark, self.root)
+            self.store.apply(scan_records(scan), keep=scan.select("path"), i18n=locale_copy(self.spark, self.root))
+            if self.encoder is not None:
+                self._run = {"phase": "embedding"}
+                self.store.embed_pending(self.encoder)
+        except Exception as e:
+            self._run = {"phase": "failed", "error": str(e)[:500]}
+            raise
+        self._run = None
         return self.status()
 
+    def start(self) -> threading.Thread:
+        """The same in the background; lexical queries answer as soon as the scan is in, and ``status`` tells the
+        phase. An error ends it in the phase failed."""
+        def run() -> None:
+            try:
+                self.index()
+            except Exception:  # noqa: BLE001 - it is in the status
+                pass
+
+        thread = threading.Thread(target=run, daemon=True)
+        thread.start()
+        return thread
+
     def status(self) -> dict:
         row = graph.index_counts(self.store.read("files"), self.store.read("symbols"), self.store.read("embeddings")).first().asDict()
-        phase = "empty" if not row["files"] else "ready" if not row["pending"] else "lexical_only" if self.encoder is None else "embedding"
-        return {"phase": phase, **row}
+        settled = "empty" if not row["files"] else "ready" if not row["pending"] else "lexical_only"
+        return {"phase": settled, **(self._run or {}), **row}
 
     def _require(self) -> None:
         if self.store.current() is None or not self.store.read("symbols").limit(1).count():
@@ -82,12 +109,22 @@ class Engine:
     def semantic_search(self, text: str, vec: list[float] | None = None, limit: int = 15) -> dict:
         """``mode, note, results`` with snippets for the first results."""
         if vec is None and self.encoder is not None:
-            vec = self.encoder.encode_query(text)
+            vec = self._query_vector(text)
         got = self.attach_snippets(self.hybrid(text, vec, limit)).orderBy("position").collect()
         left = self.status()["pending"]
         note = f"{left} files have no vectors yet" if left else None
         return {"mode": "hybrid" if vec is not None else "lexical-only", "note": note, "results": [r.asDict() for r in got]}
 
+    def _query_vector(self, text: str) -> list[float] | None:
+        """The query's vector, None where the model is not there within MODEL_WAIT seconds or does not load; it goes
+        on loading for the next query."""
+        if self._encoding is None:
+            self._encoding = ThreadPoolExecutor(1)
+        try:
+            return self._encoding.submit(self.encoder.encode_query, text).result(timeout=MODEL_WAIT)
+        except Exception:  # noqa: BLE001 - without a vector the search is lexical
+            return None
+
     def attach_snippets(self, results: DataFrame) -> DataFrame:
         """Lines of the first five results, at most 40 lines and 2400 bytes, cut between characters. Only the
         files of these results are read."""

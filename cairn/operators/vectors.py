@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -125,6 +126,7 @@ class Encoder:
 
     def __init__(self, load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int, prefix: str = "", batch: int = 16):
         self.load, self.dim, self.prefix, self.batch = load, dim, prefix, batch
+        self._model = None
 
     def encode(self, df: DataFrame, text: str = "embed_text", out: str = "embedding") -> DataFrame:
         """NULL text has no vector; a text the model fails on gets NULL, so it stays pending."""
@@ -150,7 +152,9 @@ class Encoder:
         return df.withColumn(out, run(F.col(text)))
 
     def encode_query(self, text: str) -> list[float]:
-        v = np.asarray(self.load()([self.prefix + text]), dtype=np.float64)[0]
+        if self._model is None:
+            self._model = self.load()  # once per driver
+        v = np.asarray(self._model([self.prefix + text]), dtype=np.float64)[0]
         return (v / max(float(np.linalg.norm(v)), 1e-12)).tolist()
 
 
@@ -165,8 +169,48 @@ def verify_model(model_dir: str, expected: dict[str, tuple[str, int]]) -> None:
                 raise ValueError(f"{name} has another checksum")
 
 
-def onnx_loader(model_dir: str, max_tokens: int = 512, threads: int = 2) -> Callable[[], Callable[[list[str]], np.ndarray]]:
-    """Loads ``model.onnx`` and ``tokenizer.json`` of a directory; mean-pools token vectors under the mask."""
+@dataclass(frozen=True)
+class ModelSpec:
+    """A model's files with their SHA-256 and length, its dimension, and what goes before queries."""
+
+    dim: int
+    files: dict[str, tuple[str, int]]
+    model: str = "model_quantized.onnx"
+    query_prefix: str = ""
+
+
+# Public models and the artifacts they are pinned to.
+MODELS = {
+    "all-MiniLM-L6-v2": ModelSpec(
+        384,
+        {
+            "model_quantized.onnx": ("afdb6f1a0e45b715d0bb9b11772f032c399babd23bfc31fed1c170afc848bdb1", 22_972_370),
+            "tokenizer.json": ("da0e79933b9ed51798a3ae27893d3c5fa4a201126cef75586296df9b4d2c62a0", 711_661),
+            "config.json": ("7135149f7cffa1a573466c6e4d8423ed73b62fd2332c575bf738a0d033f70df7", 650),
+        },
+    ),
+    "bge-small-en-v1.5": ModelSpec(
+        384,
+        {
+            "model_quantized.onnx": ("6c9c6101a956d62dfb5e7190c538226c0c5bb9cb27b651234b6df063ee7dbfe4", 34_014_426),
+            "tokenizer.json": ("d241a60d5e8f04cc1b2b3e9ef7a4921b27bf526d9f6050ab90f9267a1f9e5c66", 711_396),
+            "config.json": ("fa73f90bf92c8cace1fbcb709626306f2bdbc9ea3e5b5f94b440df9b6aa56350", 683),
+        },
+        query_prefix="Represent this sentence for searching relevant passages: ",
+    ),
+}
+ACTIVE_MODEL = "all-MiniLM-L6-v2"
+
+
+def model_encoder(models: str, name: str = ACTIVE_MODEL, registry: dict[str, ModelSpec] = MODELS) -> Encoder:
+    """The encoder of a registered model whose verified files lie in ``<models>/<name>``."""
+    spec, place = registry[name], os.path.join(models, name)
+    verify_model(place, spec.files)
+    return Encoder(onnx_loader(place, model=spec.model), spec.dim, spec.query_prefix)
+
+
+def onnx_loader(model_dir: str, max_tokens: int = 512, threads: int = 2, model: str = "model.onnx") -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """Loads ``model`` and ``tokenizer.json`` of a directory; mean-pools token vectors under the mask."""
 
     def load():
         import onnxruntime as ort
@@ -177,7 +221,7 @@ def onnx_loader(model_dir: str, max_tokens: int = 512, threads: int = 2) -> Call
         tokenizer.enable_padding()
         options = ort.SessionOptions()
         options.intra_op_num_threads, options.inter_op_num_threads, options.enable_mem_pattern = threads, 1, False
-        session = ort.InferenceSession(f"{model_dir}/model.onnx", options)
+        session = ort.InferenceSession(f"{model_dir}/{model}", options)
         names = {i.name for i in session.get_inputs()}
 
         def run(texts: list[str]) -> np.ndarray:

@@ -169,3 +169,42 @@ def test_debounce(spark):
         want[k, start[k]] = (n, want.get((k, start[k]), (0, 0))[1] + 1)
     got = {(r["k"], r["us"]): (r["n"], r["events"]) for r in debounce(df, ["k"], "at").selectExpr("*", "unix_micros(batch) as us").collect()}
     assert got == want and debounce(df.limit(0), ["k"], "at").count() == 0
+
+
+def test_phases(spark, tmp_path, monkeypatch):
+    from cairn import api
+
+    (tmp_path / "ws").mkdir()
+    (tmp_path / "ws/a.md").write_text("# Uploads\nHow a failed upload is tried again later.\n")
+    e = Engine.open(spark, str(tmp_path / "ws"), str(tmp_path / "cache"))
+    assert e.status()["phase"] == "empty"
+    e.start().join(120)
+    assert e.status()["phase"] == "lexical_only" and e.semantic_search("upload")["mode"] == "lexical-only"
+
+    def slow():
+        import time
+
+        time.sleep(30)
+
+    e.encoder = Encoder(lambda: slow, 16)
+    e.encoder.load = slow
+    monkeypatch.setattr(api, "MODEL_WAIT", 0.2)
+    assert e.semantic_search("upload")["mode"] == "lexical-only"
+    monkeypatch.setattr(e.store, "apply", lambda *a, **k: 1 / 0)
+    e.start().join(60)
+    assert e.status()["phase"] == "failed" and "division" in e.status()["error"]
+
+
+def test_model_registry(tmp_path):
+    import hashlib
+
+    from cairn.operators import vectors
+
+    (tmp_path / "small").mkdir()
+    (tmp_path / "small/m.onnx").write_bytes(b"weights")
+    spec = vectors.ModelSpec(8, {"m.onnx": (hashlib.sha256(b"weights").hexdigest(), 7)}, "m.onnx", "query: ")
+    made = vectors.model_encoder(str(tmp_path), "small", {"small": spec})
+    assert made.dim == 8 and made.prefix == "query: "
+    with pytest.raises(ValueError):
+        vectors.model_encoder(str(tmp_path))
+    assert all(s.dim == 384 and s.model in s.files for s in vectors.MODELS.values()) and vectors.ACTIVE_MODEL in vectors.MODELS
