@@ -6,6 +6,8 @@ executors read contents. Unlike the built-in file listing it keeps names that be
 
 from __future__ import annotations
 
+import gzip
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -144,13 +146,15 @@ class _Reader(DataSourceReader):
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Emits a file whenever its time or size changes, and a tombstone (length -1) when it goes. The offset is
-    the state of the tree, so a restart replays exactly what was not committed."""
+    """Emits a file whenever its time or size changes, and a tombstone (length -1) when it goes. An offset is the
+    number of a state of the tree, which is kept in the ``state`` folder until a later one is committed, so
+    offsets stay small and a restart replays exactly what was not committed."""
 
-    def __init__(self, root: str, size: int):
-        self.root, self.size = root, size
+    def __init__(self, root: str, size: int, state: str):
+        self.root, self.size, self.state = root, size, state
+        os.makedirs(state, exist_ok=True)
 
-    def _state(self) -> dict:
+    def _tree(self) -> dict:
         out = {}
         for p in walk(self.root):
             if is_indexable(p) and not is_watch_ignored(p):
@@ -161,14 +165,30 @@ class _StreamReader(DataSourceStreamReader):
                     continue
         return out
 
+    def _kept(self) -> list[int]:
+        return sorted(int(f[:-8]) for f in os.listdir(self.state) if f.endswith(".json.gz"))
+
+    def _load(self, n: int) -> dict:
+        if not n:
+            return {}
+        with gzip.open(os.path.join(self.state, f"{n}.json.gz"), "rt") as f:
+            return json.load(f)
+
     def initialOffset(self):
-        return {"files": {}}
+        return {"state": 0}
 
     def latestOffset(self):
-        return {"files": self._state()}
+        now, last = self._tree(), max(self._kept(), default=0)
+        if now == self._load(last):
+            return {"state": last}
+        place = os.path.join(self.state, f"{last + 1}.json.gz")
+        with gzip.open(place + ".part", "wt") as f:
+            json.dump(now, f)
+        os.replace(place + ".part", place)
+        return {"state": last + 1}
 
     def partitions(self, start, end):
-        a, b = start["files"], end["files"]
+        a, b = self._load(start["state"]), self._load(end["state"])
         changed = sorted(p for p in b if a.get(p) != b[p])
         gone = sorted(p for p in a if p not in b)
         out = [Batch(self.root, changed[i : i + self.size]) for i in range(0, len(changed), self.size)]
@@ -184,11 +204,13 @@ class _StreamReader(DataSourceStreamReader):
             yield from read_files(partition.root, partition.paths)
 
     def commit(self, end):
-        pass
+        for n in self._kept():
+            if n < end["state"]:
+                os.remove(os.path.join(self.state, f"{n}.json.gz"))
 
 
 class WorkspaceSource(DataSource):
-    """Options: path (the root), batch (files per task), all (also files without a known language), only (a regular
+    """Options: path (the root), state (for a stream: a folder for states of the tree, beside its checkpoint), batch (files per task), all (also files without a known language), only (a regular
     expression for lower-case paths; others are not read)."""
 
     @classmethod
@@ -206,7 +228,11 @@ class WorkspaceSource(DataSource):
         return _Reader(root, size, self.options.get("all", "false").lower() == "true", self.options.get("only", ""))
 
     def streamReader(self, schema):
-        return _StreamReader(*self._options())
+        root, size = self._options()
+        state = self.options.get("state", "")
+        if not state:
+            raise ValueError("a stream needs the option state, a folder of its own")
+        return _StreamReader(root, size, state)
 
 
 def read_workspace(spark: SparkSession, root: str, *, everything: bool = False, only: str = "", batch: int = 256) -> DataFrame:

@@ -71,6 +71,6 @@ def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, *, once
     """Starts the query that keeps ``store`` at the state of ``root``. The store lets in one writer at a time;
     micro-batches that arrive during a long one are coalesced into the next."""
     spark.dataSource.register(WorkspaceSource)
-    stream = spark.readStream.format("cairn_workspace").option("path", root).load()
+    stream = spark.readStream.format("cairn_workspace").option("path", root).option("state", f"{checkpoint}/tree").load()
     writer = stream.writeStream.foreachBatch(apply_batch(store, i18n, log)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=DEBOUNCE)).start()

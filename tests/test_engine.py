@@ -208,3 +208,21 @@ def test_model_registry(tmp_path):
     with pytest.raises(ValueError):
         vectors.model_encoder(str(tmp_path))
     assert all(s.dim == 384 and s.model in s.files for s in vectors.MODELS.values()) and vectors.ACTIVE_MODEL in vectors.MODELS
+
+
+def test_offsets_are_numbers_of_kept_states(tmp_path):
+    root, state = tmp_path / "ws", str(tmp_path / "state")
+    root.mkdir()
+    for k in range(5):
+        (root / f"f{k}.py").write_text(f"x = {k}\n")
+    make = lambda: workspace._StreamReader(str(root), 2, state)
+    r = make()
+    first = r.latestOffset()
+    assert first == {"state": 1} == r.latestOffset() and [len(p.paths) for p in r.partitions(r.initialOffset(), first)] == [2, 2, 1]
+    (root / "f1.py").write_text("x = 11\n")
+    os.remove(root / "f2.py")
+    second = make().latestOffset()
+    replay = lambda: [(p.root != "", p.paths) for p in make().partitions(first, second)]
+    assert second == {"state": 2} and replay() == [(True, ["f1.py"]), (False, ["f2.py"])] == replay()
+    make().commit(second)
+    assert os.listdir(state) == ["2.json.gz"] and make().latestOffset() == second
