@@ -40,6 +40,8 @@ SCHEMAS = {
 SEGMENTED = ("postings", "symbol_postings")
 TABLES = tuple(t for t in SCHEMAS if t not in SEGMENTED)
 FIELDS, SYMBOL_FIELDS = ["fts_name", "fts_path", "fts_body"], ["name", "signature"]
+#: Files of a bucket when an index begins, and the fewest and most buckets.
+BUCKET_FILES, LEAST_BUCKETS, MOST_BUCKETS = 4096, 16, 1 << 14
 #: Segments of postings before they are merged, and the share of hidden paths from which all are.
 MAX_SEGMENTS, HIDDEN_SHARE = 8, 0.25
 #: Seconds a writer waits for another, and after which a lock is taken for left behind.
@@ -88,8 +90,9 @@ def derive(records: DataFrame, i18n: dict[str, str] | DataFrame | None = None) -
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        """``buckets`` of a new index; an existing one keeps its own number."""
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        """``buckets`` of a new index, by default one for each BUCKET_FILES files of its first update; an existing one
+        keeps its own number."""
         self.spark, self.path, self._buckets = spark, path.rstrip("/"), buckets
         jvm = spark.sparkContext._jvm
         self._jvm = jvm
@@ -112,7 +115,7 @@ class Store:
                 stream.close()
             if state.get("version") == VERSION:
                 return state
-        return {"version": VERSION, "id": None, "buckets": self._buckets, "tables": {t: {} for t in TABLES}, "segments": {t: [] for t in SEGMENTED}, "hidden": [], "seq": 0, "before": []}
+        return {"version": VERSION, "id": None, "buckets": self._buckets or LEAST_BUCKETS, "tables": {t: {} for t in TABLES}, "segments": {t: [] for t in SEGMENTED}, "hidden": [], "seq": 0, "before": []}
 
     def current(self) -> str | None:
         return self.manifest()["id"]
@@ -259,6 +262,8 @@ class Store:
                 left = left.unionByName(known.select("path").join(gone.select("path").distinct(), "path", "left_semi"))
             touched = cut(fresh.select("path", F.lit(False).alias("gone")).distinct().unionByName(left.distinct().withColumn("gone", F.lit(True))))
             changed, removed = (touched.where(c).count() for c in ("not gone", "gone"))
+            if since is None and self._buckets is None:
+                m["buckets"] = max(LEAST_BUCKETS, min(MOST_BUCKETS, -(-changed // BUCKET_FILES)))
             if not changed + removed:
                 return {"changed": 0, "removed": 0}
             buckets = sorted(r["b"] for r in touched.select(F.pmod(F.xxhash64("path"), F.lit(m["buckets"])).cast("int").alias("b")).distinct().collect())

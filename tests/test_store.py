@@ -54,6 +54,15 @@ def test_a_change_rewrites_its_bucket_alone(spark, index):
     assert [r["chunk_index"] for r in index.chunks_for_file("a.md").collect()] == [0, 0]
 
 
+def test_buckets_follow_the_first_update(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "BUCKET_FILES", 1)
+    monkeypatch.setattr(store, "LEAST_BUCKETS", 2)
+    s = Store(spark, str(tmp_path / "i"))
+    s.apply(records(spark, {f"{k}.md": f"# T{k}\nwords of section {k} that are long enough for a chunk" for k in range(5)}))
+    s.apply(records(spark, {f"x{k}.md": "# X\nmore" for k in range(9)}))
+    assert s.manifest()["buckets"] == 5 and s.read("files").count() == 14 and s.read("files", ["3.md"]).count() == 1
+
+
 def test_no_ghosts(spark, index):
     gone = spark.createDataFrame([("src/f1.py",), ("nowhere",)], "path string")
     assert index.apply(records(spark, {}), gone=gone) == {"changed": 0, "removed": 1}
