@@ -37,18 +37,32 @@ def symbol(name, kind, start, end, lines, *, parent=None, signature=None, doc=No
     return {"name": name, "kind": kind, "parent_context": parent, "signature": signature, "doc_comment": doc, "body_text": "\n".join(lines[start - 1 : end]) if body else None, "start_line": start, "start_col": cols[0], "end_line": end, "end_col": cols[1]}
 
 
+#: Documentation lines by how they begin: their signs, which may be repeated, and what is told behind them.
+_DOC_LINE = re.compile(r"(?:///)+(?://!)*(?P<line>.*)|(?://!)+(?P<inner>.*)|(?:(?:/\*\*)+|(?:/\*!)+|(?=\* ))\**(?P<block>.*)|\*{1,2}/(?P<close>)$|(?:# )+(?:#')*(?P<hash>.*)|(?:#')+(?P<quote>.*)")
+
+
 def comment_above(lines: list[str], start: int) -> str | None:
-    """Comment lines directly above line ``start``, joined by spaces in source order."""
-    got, i = [], start - 2
-    while i >= 0:
-        s = lines[i].strip()
-        m = re.match(r"(?:///|//!|#')\s?(.*)$|/\*\*+\s?(.*?)(?:\*/)?$|\*/$|\*(?:\s(.*?))?(?:\*/)?$|#\s(.*)$|//\s?(.*)$", s)
+    """Documentation directly above line ``start``, joined by spaces in source order: lines of ``///``, ``//!``,
+    ``# `` and ``#'``, and blocks of ``/**`` or ``/*!`` whose lines begin with a star. A line of a block that also
+    closes one is the last."""
+    got = []
+    for i in range(start - 2, -1, -1):
+        m = _DOC_LINE.match(lines[i].strip())
         if not m:
             break
-        got.append(next((g for g in m.groups() if g), "").strip())
-        i -= 1
-    text = " ".join(x for x in reversed(got) if x)
-    return text or None
+        if m.lastgroup != "close":
+            got.append(m.group(m.lastgroup).strip())
+        if m.lastgroup == "block" and "*/" in lines[i]:
+            break
+    return " ".join(reversed(got)) if got else None
+
+
+def import_name(statement: str, last_segment: bool = False) -> str:
+    """The word behind the first one, or the last segment of a path of ``::``."""
+    if last_segment:
+        return statement.rsplit("::", 1)[-1].rstrip(";").strip()
+    words = statement.split(None, 2)
+    return words[1] if len(words) > 1 else statement
 
 
 # ---------------------------------------------------------------- Python
@@ -73,7 +87,7 @@ def parse_python(content: str) -> tuple[list[dict], list[dict], str | None]:
                 else:
                     own = child.name
             elif isinstance(child, (ast.Import, ast.ImportFrom)):
-                out.append(symbol(child.names[0].name, "import", child.lineno, child.end_lineno, lines, signature=clip(lines[child.lineno - 1].strip(), IMPORT_SIGNATURE), cols=(child.col_offset + 1, child.end_col_offset + 1)))
+                out.append(symbol(import_name("\n".join(lines[child.lineno - 1 : child.end_lineno])), "import", child.lineno, child.end_lineno, lines, signature=clip(lines[child.lineno - 1].strip(), IMPORT_SIGNATURE), cols=(child.col_offset + 1, child.end_col_offset + 1)))
             elif isinstance(child, ast.Call) and owner:
                 name = ast.unparse(child.func) if isinstance(child.func, (ast.Name, ast.Attribute)) else None
                 if name and name != owner:
@@ -191,7 +205,7 @@ def parse_braces(language: str, content: str) -> tuple[list[dict], list[dict], s
         kind, m = got
         end = _extent(code, at + len(m.group().rstrip("{;")), kind)
         last = bisect_right(starts, end)
-        name = m.group(1).strip("\"'")
+        name = import_name(content[at:end], language == "rust") if kind == "import" else m.group(1)
         limit = IMPORT_SIGNATURE if kind == "import" else SIGNATURE
         found.append((line, last, symbol(name, kind, line, last, lines, signature=clip(lines[line - 1].strip(), limit), doc=None if kind == "import" else comment_above(lines, line), cols=(len(lines[line - 1][:indent].encode()) + 1, end - starts[last - 1] + 1))))
         if kind == "lexical_declaration" and _ARROW.match(code, at, until):

@@ -97,6 +97,19 @@ def test_long_heads_and_many_declarations():
     assert [s["name"] for s in annotated["symbols"]] == ["A", "size"]
 
 
+def test_documentation_above():
+    above = lambda text: extract.comment_above(text.split("\n"), text.count("\n") + 1)
+    assert above("/// one\n/// two\nfn f") == "one two" and above("//! inner\nx") == "inner" and above("// plain\nx") is None
+    assert above("/** first\n * second\n */\nx") == "first second" and above("/** all */\nx") == "all */" and above("/**\n *\n * after\n */\nx") == "after"
+    assert above("# one\n# two\nx") == "one two" and above("#!x\ny") is None and above("#' r\nf") == "r" and above("x = 1\n\ny") is None and above("only") is None
+
+
+def test_import_names():
+    name = lambda path, text: next(s["name"] for s in extract.parse_file(path, text)["symbols"] if s["kind"] == "import")
+    assert name("a.rs", "use std::io::Read;\n") == "Read" and name("a.rs", "use std::{fs, io};\n") == "{fs, io}" and name("a.py", "from os.path import join\n") == "os.path"
+    assert name("a.ts", "import { A } from 'a'\n") == "{" and name("a.go", 'package x\n\nimport "fmt"\n') == '"fmt"'
+
+
 def test_calls_of_further_languages():
     zig = extract.parse_file("a.zig", "pub fn main() void {\n    helper(1); // not(this)\n    main();\n}\n")
     assert zig["calls"] == [{"from_name": "main", "to_name": "helper", "from_line": 2}]
