@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.session import BROADCAST_ROWS, broadcast_checked
+from cairn.session import BROADCAST_ROWS
 
 #: An unfinished transaction that began longer than this before a run is taken for dead, in seconds.
 PATIENCE = 7 * 86_400
@@ -150,7 +150,7 @@ def run_windows(runs: DataFrame, patience: int = PATIENCE) -> DataFrame:
 
 
 def within_windows(scans: DataFrame, windows: DataFrame, at: str) -> DataFrame:
-    """``scans`` once for every window that holds them, with ``seq``.
+    """``scans`` once for every window that holds them, with ``seq`` and ``run``, the window's run_id.
 
     A range join by time bins: both sides meet on the bin, then the bounds are compared. Windows go to every
     task while their bins are at most BROADCAST_ROWS; beyond that the sightings of a bin are salted.
@@ -159,10 +159,11 @@ def within_windows(scans: DataFrame, windows: DataFrame, at: str) -> DataFrame:
     bins = 4 * (n or 0) + 1
     width = max(1, ((last or 0) - (first or 0)) // bins)
     bin_of = lambda micros: F.greatest(F.lit(0), F.least(F.lit(bins), F.floor((micros - F.lit(first or 0)) / F.lit(width)))).cast("long")
-    spans = windows.select("seq", "low", "high", F.explode(F.sequence(F.coalesce(bin_of(F.unix_micros("low")), F.lit(0).cast("long")), bin_of(F.unix_micros("high") - 1))).alias("_bin"))
+    spans = windows.select("seq", F.col("run_id").alias("run"), "low", "high", F.explode(F.sequence(F.coalesce(bin_of(F.unix_micros("low")), F.lit(0).cast("long")), bin_of(F.unix_micros("high") - 1))).alias("_bin"))
     seen = scans.withColumn("_bin", bin_of(F.unix_micros(F.col(at).cast("timestamp"))))
     on = ["_bin"]
-    if len(spans.limit(BROADCAST_ROWS + 1).select(F.lit(1).alias("one")).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
+    few = (n or 0) * (bins + 1) <= BROADCAST_ROWS  # no window has more bins than there are; else they are counted
+    if few or len(spans.limit(BROADCAST_ROWS + 1).select(F.lit(1).alias("one")).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
         spans = F.broadcast(spans)
     else:
         on, seen = ["_bin", "_salt"], seen.withColumn("_salt", F.pmod(F.xxhash64(at, *[c for c in scans.columns if c != at]), F.lit(SALTS)))
@@ -182,8 +183,8 @@ def replay(scans: DataFrame, runs: DataFrame, *, key: str = "file_id", version:
     """
     windows = run_windows(runs, patience)
     seen = scans.where(F.col(version).isNotNull() & F.col(at).isNotNull()).select(key, version, at, *carry)
-    batches = latest_versions(within_windows(seen, windows, at), key, version, at, carry, per=("seq",)).withColumn("_key", F.struct(key))  # NULL keys are equal within it
+    batches = latest_versions(within_windows(seen, windows, at), key, version, at, carry, per=("seq", "run")).withColumn("_key", F.struct(key))  # NULL keys are equal within it
     due = F.lead("seq").over(Window.partitionBy(key).orderBy("seq"))
     ledger = batches.withColumn("_due", due).where("_due is not null").select("_key", version, F.col("_due").alias("seq"))
-    left = unprocessed(batches, ledger, ["_key", version, "seq"]).drop("_key")
-    return left.join(broadcast_checked(windows.select("seq", "run_id")), "seq").select("run_id", key, version, at, *carry)
+    left = unprocessed(batches, ledger, ["_key", version, "seq"])
+    return left.select(F.col("run").alias("run_id"), key, version, at, *carry)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -30,24 +31,32 @@ def debounce(events: DataFrame, key: list[str], at: str, seconds: float = 1.5, *
     groups = key if watch is None else watch
     step = round(seconds * 1_000_000)
 
-    def begin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, start = None, 0
-        for p in parts:
-            t, owners, out = p["_t"].to_numpy(), p["_g"].to_numpy(), np.empty(len(p), np.int64)
-            lo = 0
-            while lo < len(t):
-                if owners[lo] != held or t[lo] >= start + step:
-                    held, start = owners[lo], t[lo]
-                same = len(t) if owners[-1] == held else int(np.argmax(owners[lo:] != held)) + lo
-                hi = lo + int(np.searchsorted(t[lo:same], start + step))
-                out[lo:hi], lo = start, hi
-            yield p.assign(_b=out)[["_k", "_b", "_e"]]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            owner, t = batch.column(0), batch.column(1).to_numpy()
+            other = pc.not_equal(owner.slice(1), owner.slice(0, len(owner) - 1)).to_numpy(zero_copy_only=False)
+            edges = [0, *(1 + np.flatnonzero(other)).tolist(), len(t)]
+            lengths, starts = [], []
+            for lo, hi in zip(edges, edges[1:]):
+                who, times = owner[lo].as_py(), t[lo:hi]
+                at = 0
+                while at < len(times):
+                    if who != held or times[at] >= start + step:
+                        held, start = who, int(times[at])
+                    until = int(np.searchsorted(times, start + step))
+                    lengths.append(until - at)
+                    starts.append(start)
+                    at = until
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(np.repeat(starts, lengths)), batch.column(3)], names=["_k", "_b", "_e"])
 
     rest = [c for c in events.columns if c not in key]
     some = events.where(F.col(at).isNotNull()).select(F.struct(*groups).alias("_w"), F.struct(*key).alias("_k"), F.unix_micros(F.col(at)).alias("_t"), F.struct(F.col(at), *[F.col(c) for c in rest if c != at]).alias("_e"))
     ordered = some.withColumn("_g", F.to_json("_w")).repartition("_g").sortWithinPartitions("_g", "_t").select("_g", "_t", "_k", "_e")
     fields = ordered.schema
-    begun = ordered.mapInPandas(begin, StructType([fields["_k"], StructField("_b", LongType()), fields["_e"]]))
+    begun = ordered.mapInArrow(begin, StructType([fields["_k"], StructField("_b", LongType()), fields["_e"]]))
     last = begun.groupBy("_k", "_b").agg(F.max("_e").alias("_e"), F.count(F.lit(1)).alias("events"))
     return last.select("_k.*", F.timestamp_micros("_b").alias("batch"), "events", "_e.*")
 
