@@ -134,9 +134,9 @@ def _scored(spark, d):
     return c, lexical.search(c, _queries(spark, d), "chunk_key", FIELDS)
 
 
-def _leg_of(spark, d, c, scored):
+def _leg_of(asked, c, scored):
     """The lexical leg with each query's own number of candidates, and what fusion needs of the chunks."""
-    q = _queries(spark, d).select("query_id", fusion.setting(_queries(spark, d), "k_candidates", PARAMS.k_candidates).cast("int").alias("k"))
+    q = asked.select("query_id", fusion.setting(asked, "k_candidates", PARAMS.k_candidates).cast("int").alias("k"))
     most, n = q.agg(F.coalesce(F.max("k"), F.lit(0)), F.count(F.lit(1))).first()
     some = c.select("chunk_key", "symbol_id", "start_line", "end_line", F.concat_ws(" ", *FIELDS).alias("fts_text"))
     return lexical.lexical_leg(scored, some, most, per_query=q, few=2 * most * n <= BROADCAST_ROWS), most, q
@@ -176,7 +176,7 @@ def hybrid_search(spark, d):
     """The whole pipeline for all queries, each with its own weights, rrf_k, candidates and number of hits: both
     legs, evidence gate, fusion, boosts, caps and limits."""
     c, scored = _scored(spark, d)
-    leg, most, k = _leg_of(spark, d, c, scored)
+    leg, most, k = _leg_of(_queries(spark, d), c, scored)
     e = dedupe(table(spark, d, "symbol_embeddings"), "symbol_id", "chunk_index")
     semantic = vectors.vector_leg(e, _query_vectors(spark, d), min_cosine=PARAMS.min_cosine, k=most).join(k, "query_id").where("rank <= k").drop("k")
     got = fusion.fuse(semantic, leg, _queries(spark, d), _symbols(spark, d), p=PARAMS)
@@ -185,7 +185,7 @@ def hybrid_search(spark, d):
 
 def hybrid_lexical_only(spark, d):
     c, scored = _scored(spark, d)
-    got = fusion.fuse(None, _leg_of(spark, d, c, scored)[0], _queries(spark, d), _symbols(spark, d), p=PARAMS)
+    got = fusion.fuse(None, _leg_of(_queries(spark, d), c, scored)[0], _queries(spark, d), _symbols(spark, d), p=PARAMS)
     return got.select("query_id", F.col("position").cast("long").alias("position"), "symbol_id", "match_type", F.round("score", 5).alias("score"))
 
 
@@ -234,6 +234,17 @@ def known_item_eval(spark, d):
     return each.agg(F.count(F.lit(1)).alias("queries"), share(1), share(3), share(15))
 
 
+def identifier_eval(spark, d):
+    """Share of symbols whose name, asked as a query, brings a symbol of that name first and among the first three,
+    for every symbol whose id is divisible by 20 and that is no import, against all."""
+    c, s = _chunks(spark, d), _symbols(spark, d)
+    asked = s.where("symbol_id % 20 = 0 and kind not like 'import%' and kind != 'use_declaration'").select(F.col("symbol_id").alias("query_id"), F.col("name").alias("query_text"))
+    got = fusion.fuse(None, _leg_of(asked, c, lexical.search(c, asked, "chunk_key", FIELDS))[0], asked, s, p=PARAMS)
+    best = got.join(asked, "query_id").where(F.lower("name") == F.lower("query_text")).groupBy("query_id").agg(F.min("position").alias("best"))
+    share = lambda k: F.round(F.avg(F.when(F.col("best") <= k, 1.0).otherwise(0.0)), 4).alias(f"top_{k}")
+    return asked.join(best, "query_id", "left").agg(F.count(F.lit(1)).alias("queries"), share(1), share(3))
+
+
 # ---------------------------------------------------------------- directory and maintenance
 
 
@@ -305,7 +316,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         identifier_split, body_split_words, query_terms, language_detect, test_flags, lexical_boost_layers, minified_detect, embed_gate, path_terms, doc_sections, extract_symbols, extract_calls, chunk_symbols, call_resolution,
-        callers_by_name, bm25_chunks_topk, code_search, vector_topk, hybrid_search, hybrid_lexical_only, rrf_fusion, evidence_gate, per_file_cap, known_item_eval, symbol_lookup_nocase, file_outline, index_stats, embedding_pending,
+        callers_by_name, bm25_chunks_topk, code_search, vector_topk, hybrid_search, hybrid_lexical_only, rrf_fusion, evidence_gate, per_file_cap, known_item_eval, identifier_eval, symbol_lookup_nocase, file_outline, index_stats, embedding_pending,
         unchanged_skip, prune_anti_join, cascade_delete, upsert_files, change_feed_debounce,
     )
 }

@@ -250,6 +250,10 @@ SELECT query_id, symbol_id, file_path, score FROM o QUALIFY row_number() OVER (P
     "known_item_eval": f"""{_HYBRID}, g AS (SELECT DISTINCT query_id, symbol_id FROM judgments WHERE grade = 3), b AS (SELECT query_id, min(position) AS best FROM fin JOIN g USING (query_id, symbol_id) GROUP BY 1),
 w AS (SELECT query_id, best FROM (SELECT DISTINCT query_id FROM g) LEFT JOIN b USING (query_id))
 SELECT count(*) AS queries, round(avg(CASE WHEN best <= 1 THEN 1.0 ELSE 0.0 END), 4) AS top_1, round(avg(CASE WHEN best <= 3 THEN 1.0 ELSE 0.0 END), 4) AS top_3, round(avg(CASE WHEN best <= 15 THEN 1.0 ELSE 0.0 END), 4) AS top_15 FROM w""",
+    "identifier_eval": f"""WITH {SYM}, q AS (SELECT symbol_id AS query_id, name AS query_text, 15 AS max_hits, 60.0::DOUBLE AS rrf_k, 1.0::DOUBLE AS w_vector, 1.0::DOUBLE AS w_bm25, 50 AS k_candidates FROM sym WHERE symbol_id % 20 = 0 AND kind NOT LIKE 'import%' AND kind <> 'use_declaration'),
+{CH}, {_bm25('ch', 'chunk_key', _CHUNK_FIELDS)}, {_leg(True)}, {_fuse(False)},
+b AS (SELECT query_id, min(position) AS best FROM fin JOIN sym USING (symbol_id) JOIN q USING (query_id) WHERE lower(name) = lower(query_text) GROUP BY 1)
+SELECT count(*) AS queries, round(avg(CASE WHEN best <= 1 THEN 1.0 ELSE 0.0 END), 4) AS top_1, round(avg(CASE WHEN best <= 3 THEN 1.0 ELSE 0.0 END), 4) AS top_3 FROM q LEFT JOIN b USING (query_id)""",
     "symbol_lookup_nocase": f"""WITH {Q}, {SYM}, n AS (SELECT query_id, query_text AS t FROM q UNION ALL SELECT -min(symbol_id), translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM sym GROUP BY name)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY path, start_line, symbol_id) AS position, symbol_id, name, kind, path AS file_path, start_line, signature
 FROM sym JOIN n ON translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') QUALIFY position <= 20""",
