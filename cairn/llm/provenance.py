@@ -45,6 +45,8 @@ COPIED_SHARE, COPIED_TOKENS = 0.5, 64
 OVERSIZED = 1_000_000
 #: Characters from which a literal is examined, and about as many that go through one grammar.
 LITERAL, BLOCK = 160, 4000
+#: Characters of files that go through the shared rules together.
+TOGETHER = 1 << 20
 #: Characters from which items of a list that are all equally long, but for the last one, are lines of wrapped data.
 WRAPPED_LINE = 32
 
@@ -182,10 +184,22 @@ def find_foreign(contents: DataFrame, files: DataFrame | None = None, *, key: st
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            tokens, rows = [tokens_of(q, text) for q, text in zip(p.p, p.c)], []
-            for k, q, text, s, own, rules in zip(p.k, p.p, p.c, p.s, tokens, shared_rules_of(tokens)):
-                folder = bool(VENDOR & set(q.split("/")[1:-1]))
-                rows.append((k, q, q.partition("/")[0], *examine(q, text, None if s is None or s != s else int(s), own), folder, [h for h, _ in rules], [n for _, n in rules], sum(n for _, n in rules)))
+            rows, group, held = [], [], 0
+
+            def judge() -> None:
+                tokens = [tokens_of(q, text) for _, q, text, _ in group]
+                for (k, q, text, s), own, rules in zip(group, tokens, shared_rules_of(tokens)):
+                    folder = bool(VENDOR & set(q.split("/")[1:-1]))
+                    rows.append((k, q, q.partition("/")[0], *examine(q, text, None if s is None or s != s else int(s), own), folder, [h for h, _ in rules], [n for _, n in rules], sum(n for _, n in rules)))
+                group.clear()
+
+            for row in zip(p.k, p.p, p.c, p.s):
+                group.append(row)
+                held += len(row[2] or "")
+                if held >= TOGETHER:
+                    judge()
+                    held = 0
+            judge()
             yield pd.DataFrame(rows, columns=["k", "p", "repo", "kind", "evidence", "folder", "hashes", "sizes", "covered"])
 
     seen = cut(here.unionByName(gone).mapInPandas(run, f"k {kind_of}, p string, repo string, kind string, evidence string, folder boolean, hashes array<long>, sizes array<long>, covered long"))

@@ -176,7 +176,7 @@ def renumber(split: DataFrame, group: str = "symbol_id", out: str = "chunk_index
 def shift_unsplit(split: DataFrame, df: DataFrame, keys: tuple[str, str] = ("symbol_id", "chunk_index")) -> DataFrame:
     """``<group>, old_index, <index>``: the items of groups with pieces that were not split themselves, and their new
     index, which is past the pieces gained before them; with the pieces of :func:`renumber` no two are alike.
-    Repeated rows count once; NULL indexes are left out."""
+    Repeated rows count once; NULL groups and NULL indexes are left out."""
     group, index = keys
     gained = split.groupBy(group, F.col("parent_index").alias("old_index")).agg((F.count(F.lit(1)) - 1).alias("_more"))
     whole = df.select(group, F.col(index).alias("old_index")).where("old_index is not null").distinct().join(gained.select(group).distinct(), group, "left_semi")
