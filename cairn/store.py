@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,8 @@ TABLES = tuple(t for t in SCHEMAS if t not in SEGMENTED)
 FIELDS, SYMBOL_FIELDS = ["fts_name", "fts_path", "fts_body"], ["name", "signature"]
 #: Files of a bucket when an index begins, and the fewest and most buckets.
 BUCKET_FILES, LEAST_BUCKETS, MOST_BUCKETS = 4096, 16, 1 << 14
+#: Tables that are written at the same time.
+WRITERS = 4
 #: Segments of postings before they are merged, and the share of hidden paths from which all are.
 MAX_SEGMENTS, HIDDEN_SHARE = 8, 0.25
 #: Seconds a writer waits for another, and after which a lock is taken for left behind.
@@ -217,21 +220,30 @@ class Store:
 
     # -------------------------------------------------------------- updates
 
-    def _write(self, m: dict, place: str, table: str, rows: DataFrame, buckets: list[int]) -> None:
-        """The buckets' new rows; the manifest then names ``place`` for those that have any."""
-        columns = [c.split()[0] for c in SCHEMAS[table].split(", ")]
-        keyed = rows.select(*columns).withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(m["buckets"])).cast("int"))
-        at = f"{self.path}/{place}/{table}"
-        keyed.repartition("bucket").sortWithinPartitions("bucket", "path").write.partitionBy("bucket").parquet(at)
-        made = {s.getPath().getName().removeprefix("bucket=") for s in self._fs.listStatus(self._p(at)) if s.isDirectory()}
-        held = m["tables"][table]
-        for b in map(str, buckets):
-            held.pop(b, None)
-        held |= {b: place for b in made if b.isdigit()}
-
-    def _add_segment(self, m: dict, place: str, table: str, rows: DataFrame) -> None:
-        rows.select(*[c.split()[0] for c in SCHEMAS[table].split(", ")]).repartitionByRange("slot").sortWithinPartitions("slot", "token").write.parquet(f"{self.path}/{place}/{table}")
-        m["segments"][table].append([place, m["seq"]])
+    def _write_all(self, m: dict, place: str, tables: dict[str, DataFrame], buckets: list[int]) -> None:
+        """Writes the buckets' new rows of several tables and new segments, at the same time, into ``place``; then the
+        manifest names it for the buckets that have any."""
+        columns = lambda t: [c.split()[0] for c in SCHEMAS[t].split(", ")]
+
+        def write(table: str) -> None:
+            rows, at = tables[table].select(*columns(table)), f"{self.path}/{place}/{table}"
+            if table in SEGMENTED:
+                rows.repartitionByRange("slot").sortWithinPartitions("slot", "token").write.parquet(at)
+            else:
+                keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(m["buckets"])).cast("int"))
+                keyed.repartition("bucket").sortWithinPartitions("bucket", "path").write.partitionBy("bucket").parquet(at)
+
+        with ThreadPoolExecutor(WRITERS) as pool:
+            list(pool.map(write, tables))
+        for table in tables:
+            if table in SEGMENTED:
+                m["segments"][table].append([place, m["seq"]])
+                continue
+            at, held = self._p(f"{self.path}/{place}/{table}"), m["tables"][table]
+            made = {s.getPath().getName().removeprefix("bucket=") for s in self._fs.listStatus(at) if s.isDirectory()}
+            for x in map(str, buckets):
+                held.pop(x, None)
+            held |= {x: place for x in made if x.isdigit()}
 
     def _merge(self, m: dict, files: int) -> None:
         """Merges segments: the younger ones where there are many, all where much of the index is hidden."""
@@ -244,7 +256,7 @@ class Store:
                 place = f"commit-{uuid.uuid4().hex}"
                 rows = self._segments(m, table, some)
                 m["segments"][table] = [x for x in held if x not in some]
-                self._add_segment(m, place, table, rows)
+                self._write_all(m, place, {table: rows}, [])
         if whole:
             m["hidden"], m["hidden_counts"] = [], []
 
@@ -275,16 +287,15 @@ class Store:
             files = graph.prune_out(graph.upsert_files(self._from(m, "files", buckets), derived["files"]), dropped)
             stubs = derived["files"].where("embed_hash is not null").select("path", F.col("embed_hash").alias("_stub"))
             files = files.join(stubs, "path", "left").withColumn("embed_hash", F.coalesce("_stub", "embed_hash")).drop("_stub")
-            self._write(m, place, "files", files, buckets)
+            tables = {"files": files} | {t: derived[t] for t in SEGMENTED}
             for t in TABLES[1:]:
                 rest = graph.prune_out(self._from(m, t, buckets), replaced)
-                self._write(m, place, t, rest.unionByName(derived[t].select(rest.columns)) if t in derived else rest, buckets)
+                tables[t] = rest.unionByName(derived[t].select(rest.columns)) if t in derived else rest
+            self._write_all(m, place, tables, buckets)
             if since is not None:
                 replaced.write.parquet(f"{self.path}/{place}/hidden")
                 m["hidden"].append([place, m["seq"]])
                 m["hidden_counts"] = [*m.get("hidden_counts", []), [m["seq"], changed + removed]]
-            for t in SEGMENTED:
-                self._add_segment(m, place, t, derived[t])
             self._merge(m, self._from(m, "files").count())
             self._publish(m, since)
             return {"changed": changed, "removed": removed}
@@ -306,8 +317,7 @@ class Store:
             place = f"commit-{uuid.uuid4().hex}"
             vectors = graph.prune_out(self._from(m, "embeddings", buckets), todo.select("path")).unionByName(made.where("embedding is not null"))
             files = self._from(m, "files", buckets).join(done.select("path", F.lit(True).alias("_done")), "path", "left").withColumn("embed_hash", F.when(F.col("_done"), F.col("hash")).otherwise(F.col("embed_hash"))).drop("_done")
-            self._write(m, place, "embeddings", vectors, buckets)
-            self._write(m, place, "files", files, buckets)
+            self._write_all(m, place, {"embeddings": vectors, "files": files}, buckets)
             self._publish(m, since)
             return done.count()
 
