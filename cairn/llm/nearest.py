@@ -31,7 +31,7 @@ from cairn.session import cut
 #: Rows a cell should hold, and the most cells of all tables.
 CELL_ROWS, MAX_CELLS = 2048, 1 << 18
 #: Queries and rows of a tile, and queries that are compared at a time.
-QUERY_BLOCK, ROW_BLOCK, BLOCK = 20_000, 1 << 17, 4096
+QUERY_BLOCK, ROW_BLOCK, BLOCK = 20_000, 1 << 17, 1024
 #: Share of the k nearest that the reach is laid out for.
 RECALL = 0.98
 
