@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from cairn.llm.neighbours import DIM, _matrix, usable
 from cairn.session import cut
 
-#: Rows a cell should hold, and the most cells of all tables.
-CELL_ROWS, MAX_CELLS = 2048, 1 << 18
+#: Rows a cell should hold at least, cells that one more function makes of one, and the most cells of all tables.
+CELL_ROWS, FANOUT, MAX_CELLS = 512, 3.6, 1 << 18
 #: Queries and rows of a tile, and queries that are compared at a time.
-QUERY_BLOCK, ROW_BLOCK, BLOCK = 20_000, 1 << 17, 1024
+QUERY_BLOCK, ROW_BLOCK, BLOCK = 1 << 16, 1 << 17, 1024
 #: Share of the k nearest that the reach is laid out for.
 RECALL = 0.98
 
@@ -63,10 +63,12 @@ class Coarse:
         return out
 
     @staticmethod
-    def fit(n: int, k: int, *, dim: int = DIM, recall: float = RECALL, width: float = 2.0, seed: int = 11) -> Coarse:
-        """Functions by the number of rows; tables and reach by random pairs as close as the k-th neighbour is
-        expected, and by pairs that are unrelated: of 1, 2 and 4 tables those that visit the fewest rows."""
-        functions = max(1, min(dim, math.floor(math.log(max(2, n / CELL_ROWS)) / math.log(2.6)) + 2))
+    def fit(n: int, k: int, queries: int = 0, *, dim: int = DIM, recall: float = RECALL, width: float = 2.0, seed: int = 11) -> Coarse:
+        """Functions by the number of rows, and so that the copies of the queries, one for each cell, are about as
+        many as the rows; tables and reach by random pairs as close as the k-th neighbour is expected, and by pairs
+        that are unrelated: of 1, 2 and 4 tables those that visit the fewest rows."""
+        cells = max(2.0, min(n / CELL_ROWS, n / max(1, queries)))
+        functions = max(1, min(dim, math.floor(math.log(cells) / math.log(FANOUT))))
         c = expected_cosine(n, k, dim)
         rng = np.random.default_rng(seed)
         v, g = rng.normal(size=(20000, dim)), rng.normal(size=(20000, dim))
@@ -118,7 +120,8 @@ def nearest(df: DataFrame, queries: DataFrame, *, k: int = 10, group: str = "sym
     spark = df.sparkSession
     clean = lambda x: usable(x.where(F.col(group).isNotNull()).select(F.col(group).cast("long").alias("g"), F.col(item).cast("long").alias("i"), F.col(vector).alias("v")), "v", dim).dropDuplicates(["g", "i"])
     base, asked = clean(df), clean(queries)
-    index = index or Coarse.fit(base.count(), k, dim=dim)
+    n_queries = asked.count()
+    index = index or Coarse.fit(base.count(), k, n_queries, dim=dim)
 
     def unit(batch: pa.RecordBatch) -> np.ndarray:
         v = _matrix(batch.column(2), dim)
@@ -161,7 +164,7 @@ def nearest(df: DataFrame, queries: DataFrame, *, k: int = 10, group: str = "sym
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["c", "n"])
 
     blocks, splits = np.ones(len(held), np.int64), np.maximum(1, -(-rows_of // ROW_BLOCK))
-    if asked.count() > QUERY_BLOCK:
+    if n_queries > QUERY_BLOCK:
         for r in asked.mapInArrow(count_probes, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():  # at most MAX_CELLS
             blocks[r["c"]] = -(-r["n"] // QUERY_BLOCK)
     tiles = spark.sparkContext.broadcast((blocks, splits, np.concatenate([[0], np.cumsum(blocks * splits)])))
