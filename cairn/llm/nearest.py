@@ -31,7 +31,7 @@ from cairn.session import cut
 #: Rows a cell should hold at least, cells that one more function makes of one, and the most cells of all tables.
 CELL_ROWS, FANOUT, MAX_CELLS = 512, 3.6, 1 << 18
 #: Queries and rows of a tile, and queries that are compared at a time.
-QUERY_BLOCK, ROW_BLOCK, BLOCK = 1 << 16, 1 << 17, 1024
+QUERY_BLOCK, ROW_BLOCK, BLOCK = 1 << 16, 1 << 16, 1024
 #: Share of the k nearest that the reach is laid out for.
 RECALL = 0.98
 
