@@ -7,7 +7,8 @@ content at cost 0, computed by lazily built automata; cells with equal content s
 nonterminal derives is repaired by insertions, deletions and replacements of tokens, searched by rising cost
 around each point where its derivation stops.
 Brackets themselves are repaired by closing or dropping the fewest. The cost of a text is the sum; a text is
-valid if and only if its cost is 0.
+valid if and only if its cost is 0. The search is bounded by the values below; :mod:`cairn.llm.least` finds the
+least costs of invalid texts without bounds.
 """
 
 from __future__ import annotations

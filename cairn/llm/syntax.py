@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cairn.functions.language import detect
 from cairn.llm.chart import parse
 from cairn.llm.grammars import grammar_of
+from cairn.llm.least import least
 
 #: Line starts of merge conflict markers.
 CONFLICT = ("<<<<<<<", "=======", ">>>>>>>", "|||||||")
@@ -23,14 +24,15 @@ def examine(path: str | None, content: str | None) -> tuple[str | None, bool, bo
     return judge(path, content)[:6]
 
 
-def judge(path: str | None, content: str | None) -> tuple[str | None, bool, bool, int, int | None, str | None, bool]:
+def judge(path: str | None, content: str | None, exact: bool = False) -> tuple[str | None, bool, bool, int, int | None, str | None, bool]:
     """``(language, checked, invalid, cost, first edited line, cause, capped)``.
 
     cost is that of the cheapest repair found (at least 1 where one is needed). The cause follows from where
     the edits lie: ``conflict`` at merge markers, ``truncation`` at the end with open groups, ``mismatch``
     all over the text or from its first line on, ``local`` otherwise. Empty or blank content is valid, except
     as JSON; NULL content and languages without a grammar are not checked. ``capped`` tells that the cost is a
-    least one: the search stopped at a bound, or groups are open at the end.
+    least one: the search stopped at a bound, or groups are open at the end. With ``exact`` an invalid text goes
+    through :func:`least`, which has no bounds and examines open groups too; nothing is capped then.
     """
     language = detect(path)
     made = grammar_of(language) if language else None
@@ -43,6 +45,8 @@ def judge(path: str | None, content: str | None) -> tuple[str | None, bool, bool
     got = parse(grammar, lexer(text))
     if not got.cost:
         return language, True, False, 0, None, None, False
+    if exact:
+        got = least(grammar, lexer(text))
     lines, edited = text.split("\n"), sorted(set(got.lines))
     first = edited[0] if edited else 1
     if any(lines[n - 1].startswith(CONFLICT) for k in edited for n in range(max(1, k - 2), min(len(lines), k + 2) + 1)):
@@ -61,14 +65,14 @@ def judge(path: str | None, content: str | None) -> tuple[str | None, bool, bool
 def flag_files(df: DataFrame, *, key: str = "file_id", path: str = "path", content: str = "content") -> DataFrame:
     """One row per key: key, path, repo (first step of the path), language, checked, invalid, cost, line, cause, capped.
 
-    Markdown and plain text have no grammar. Repeated rows are flagged alike and count once; extra columns
+    Costs are exact, so ``capped`` is false. Markdown and plain text have no grammar. Repeated rows are flagged alike and count once; extra columns
     are ignored. Contents never leave their partition: only the narrow result is shuffled, to drop repeats.
     """
     kind = dict(df.dtypes)[key]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            rows = [(k, q, q.partition("/")[0] if q else None, *judge(q, c)) for k, q, c in zip(p.k, p.p, p.c)]
+            rows = [(k, q, q.partition("/")[0] if q else None, *judge(q, c, exact=True)) for k, q, c in zip(p.k, p.p, p.c)]
             out = pd.DataFrame(rows, columns=["k", "path", "repo", "language", "checked", "invalid", "cost", "line", "cause", "capped"])
             out["line"] = out["line"].astype("Int64")
             yield out

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import mixture, nearest, neighbours, provenance, rank, syntax
+from cairn.llm.grammars import grammar_of
+from cairn.llm.least import Union, _unpaired
 from cairn.llm.repair import code_tokens, re_pair, shared_rules
 
 VALID = {
@@ -83,6 +85,60 @@ def test_costs_that_are_least_ones():
     assert cost >= 8 and least
 
 
+def least_edits(a, text):
+    """Least edits by plain search over (position, state of the automaton that is not determinised)."""
+    level, seen, cost = {(0, s) for s in a._closure((a.start,))}, set(), 0
+    while True:
+        todo, following = list(level), set()
+        while todo:
+            i, s = todo.pop()
+            if (i, s) in seen:
+                continue
+            if i == len(text) and s == a.final:
+                return cost
+            seen.add((i, s))
+            for label, t in a.arcs[s]:
+                behind = a._closure((t,))
+                todo += [(i + 1, u) for u in behind if i < len(text) and a.grammar.matches(label, text[i])]
+                following |= {(k, u) for u in behind for k in (i, min(i + 1, len(text)))}
+            following |= {(i + 1, s)} if i < len(text) else set()
+        level, cost = following - seen, cost + 1
+
+
+@pytest.mark.parametrize("language, bracket", [("json", "["), ("json", "{"), ("c", "{"), ("go", "("), ("python", "<l|")])
+def test_least_repair_against_plain_search(language, bracket):
+    grammar = grammar_of(language)[1]
+    union = Union(grammar, grammar.contents[bracket])
+    chars = [x if isinstance(x, str) else grammar.group(x[0], x[1] or 1) for x in union.on]
+    rng = random.Random(4)
+    for n in range(15):
+        text = "".join(rng.choice(chars) for _ in range(n % 8))
+        cost, edits = union.least(text)
+        assert cost == len(edits) == min(least_edits(grammar.automaton(x), text) for x in grammar.contents[bracket])
+        assert edits == sorted(edits) and union.least(text, (cost + 1, []))[0] == cost
+
+
+def test_fewest_brackets():
+    pairs, rng = {")": "(", "]": "[", "}": "{"}, random.Random(6)
+
+    def fewest(s):
+        if not s:
+            return 0
+        return min([1 + fewest(s[1:]), *(fewest(s[1:k]) + fewest(s[k + 1 :]) for k in range(1, len(s)) if pairs.get(s[k]) == s[0])])
+
+    for _ in range(300):
+        s = "".join(rng.choice("([)]" if rng.random() < 0.7 else "{}") for _ in range(rng.randrange(10)))
+        assert sum(map(len, _unpaired([(c, 1) for c in s]))) == fewest(s), s
+
+
+def test_costs_beyond_the_bounds(spark):
+    """Costs above 8 in a group and 24 in a text, edits that are far apart or many in a place, contents of open groups."""
+    rows = [("a.json", "[" + " ".join(map(str, range(30))) + "]", 15), ("b.py", "".join(f"x{i} = 1 2 3 4\n" for i in range(60)), 120), ("c.json", '{"a": [1 2 3, {"b"', 5), ("d.json", "[1, 2" + " ]" * 40, 39), ("e.json", "[" + ", ".join(["1", "2 3"] * 20) + "]", 20), ("f.json", '{"a": 1,}', 1), ("g.json", "[1]", 0), ("h.rs", "fn f() {" * 3000, 3000)]
+    df = spark.createDataFrame([(p, c) for p, c, _ in rows], "path string, content string")
+    got = {r["path"]: (r["invalid"], r["cost"], r["capped"]) for r in syntax.flag_files(df.withColumn("file_id", F.col("path"))).collect()}
+    assert got == {p: (cost > 0, cost, False) for p, _, cost in rows}
+
+
 def test_flags(spark):
     rows = [(1, "r/a.py", "x = 1\n"), (1, "r/a.py", "x = 1\n"), (2, "r/b.py", "def f(:\n"), (3, "s/a.json", ""), (4, "s/a.py", ""), (5, "s/a.py", None), (6, "s/a.md", "# <<<"), (7, None, "x"), (8, "s/x.rs", "fn f() {" * 3000), (9, "s/a.zig", "}")]
     df = spark.createDataFrame(rows, "file_id long, path string, content string").withColumn("language", F.lit("wrong")).withColumn("k", F.lit(0))
