@@ -6,6 +6,7 @@ import hashlib
 import os
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,38 +17,69 @@ from pyspark.sql import functions as F
 
 from cairn.functions.vector import clamp, dot
 
-#: Query vectors that every task holds; more are cut into blocks of about so many.
-MAX_QUERIES = 10_000
-#: Vectors that are multiplied at a time.
-BLOCK = 4096
+#: Query vectors that every task holds; more are cut into blocks of about so many. Up to MATRICES blocks are sent to
+#: where the vectors lie.
+MAX_QUERIES, MATRICES = 10_000, 16
+#: Vectors that are multiplied at a time, most cosines of them, candidates that are held, and rows that are handed on at a time.
+BLOCK, CELLS, KEPT, ROWS = 4096, 1 << 23, 1 << 20, 10_000
 #: Decimals of a cosine; further ones depend on how a batch was multiplied, and equal vectors must tie.
 DIGITS = 9
 LINES = ["symbol_id", "chunk_index", "start_line", "end_line"]
 
 
-def _best(batch: pa.RecordBatch, at: int, sides: dict[int, tuple[np.ndarray, np.ndarray]], min_cosine: float, k: int, query: str) -> Iterator[pa.RecordBatch]:
-    """The k best symbols of a batch for each query, by their best chunk; column ``at`` holds the vectors, the
-    columns before it the lines."""
-    sizes = pc.fill_null(pc.list_value_length(batch.column(at)), -1).to_numpy()
-    for dim, (ids, q) in sides.items():
-        places = np.flatnonzero(sizes == dim)
-        for lo in range(0, len(places), BLOCK):
-            some = batch.take(pa.array(places[lo : lo + BLOCK]))
-            v = some.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-            cosine = np.round(np.clip(v @ q.T, 0.0, 1.0), DIGITS)
-            i, j = np.nonzero(cosine >= min_cosine)  # NaN is never above
-            if not len(i):
-                continue
-            symbol, part, start, _ = (pc.fill_null(some.column(n), -1).to_numpy()[i] for n in range(at - 4, at))
-            c = cosine[i, j]
-            order = np.lexsort((part, start, -c, symbol, j))  # best chunk of each symbol
-            order = order[np.concatenate([[True], (j[order][1:] != j[order][:-1]) | (symbol[order][1:] != symbol[order][:-1])])]
-            order = order[np.lexsort((symbol[order], -c[order], j[order]))]
-            begin = np.concatenate([[True], j[order][1:] != j[order][:-1]])
-            place = np.arange(len(order)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
-            order = order[place < k]
-            lines = some.select(LINES).take(pa.array(i[order]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[j[order]]), *lines.columns, pa.array(c[order])], names=[query, *LINES, "cosine"])
+class _Best:
+    """The k best symbols of each query so far, by their best chunk. Column ``at`` of the batches holds the vectors,
+    the columns before it the lines."""
+
+    def __init__(self, sides: dict[int, tuple[np.ndarray, np.ndarray]], at: int, min_cosine: float, k: int):
+        self.at, self.k = at, k
+        self.sides = {dim: (ids, q, np.full(len(ids), float(min_cosine)), []) for dim, (ids, q) in sides.items()}
+
+    def take(self, batch: pa.RecordBatch) -> None:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(self.at)), -1).to_numpy()
+        for dim, (_, q, least, held) in self.sides.items():
+            places = np.flatnonzero(sizes == dim)
+            step = max(1, min(BLOCK, CELLS // max(1, len(q))))
+            for lo in range(0, len(places), step):
+                some = batch.take(pa.array(places[lo : lo + step]))
+                v = some.column(self.at).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+                cosine = v @ q.T
+                np.clip(cosine, 0.0, 1.0, out=cosine)
+                i, j = np.nonzero(cosine >= least - 10.0**-DIGITS)  # NaN is never above
+                c = np.round(cosine[i, j], DIGITS)
+                near = c >= least[j]
+                i, j, c = i[near], j[near], c[near]
+                if len(i):
+                    lines = [pc.fill_null(some.column(n), -1).to_numpy()[i] for n in range(self.at - 4, self.at)]
+                    empty = [some.column(n).is_null().to_numpy(zero_copy_only=False)[i] for n in range(self.at - 4, self.at)]
+                    held.append((j, c, np.array(lines), np.array(empty)))
+                if sum(len(x[0]) for x in held) > max(KEPT, 4 * self.k * len(q)):
+                    self._cut(least, held)
+
+    def _cut(self, least: np.ndarray, held: list) -> None:
+        """Keeps the best ones, and lets what does not reach a query's k-th cosine be skipped from now on."""
+        if not held:
+            return
+        j, c, lines, empty = (np.concatenate([x[n] for x in held], axis=-1) for n in range(4))
+        symbol, part, start = lines[:3]
+        order = np.lexsort((part, start, -c, symbol, j))  # best chunk of each symbol
+        order = order[np.concatenate([[True], (j[order][1:] != j[order][:-1]) | (symbol[order][1:] != symbol[order][:-1])])]
+        order = order[np.lexsort((symbol[order], -c[order], j[order]))]
+        begin = np.concatenate([[True], j[order][1:] != j[order][:-1]])
+        place = np.arange(len(order)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
+        last = order[place == self.k - 1]
+        least[j[last]] = np.maximum(least[j[last]], c[last])
+        order = order[place < self.k]
+        held[:] = [(j[order], c[order], lines[:, order], empty[:, order])]
+
+    def rows(self, query: str) -> Iterator[pa.RecordBatch]:
+        for ids, _, least, held in self.sides.values():
+            self._cut(least, held)
+            for j, c, lines, empty in held:
+                for lo in range(0, len(j), ROWS):
+                    x = slice(lo, lo + ROWS)
+                    columns = [pa.array(a[x], mask=b[x]) for a, b in zip(lines, empty)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[j[x]]), *columns, pa.array(c[x])], names=[query, *LINES, "cosine"])
 
 
 def _sides(rows: Iterable[tuple]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -65,23 +97,29 @@ def vector_leg(vectors: DataFrame, queries: DataFrame, *, min_cosine: float = 0.
 
     Dot products are clamped to [0, 1]; vectors of another length, NULL or with NaN are skipped; the gate is
     inclusive. Of a symbol's chunks the best counts, on ties the one that starts first. ``queries`` holds
-    ``query`` and ``vec``. Up to MAX_QUERIES of them go to every task as one matrix; more are cut into blocks,
-    and each block meets all vectors. Each Arrow batch keeps at most k rows per query, so what is shuffled does
-    not grow with the gate.
+    ``query`` and ``vec``. Up to MAX_QUERIES of them go to every task as one matrix; of more, each block meets all
+    vectors, which are read again for up to MATRICES blocks, and copied to the blocks if there are more. Each task keeps at most k rows per query, so what is shuffled grows neither
+    with the gate nor with the number of vectors.
     """
     asked = queries.select(query, "vec").where("vec is not null")
     kind = dict(queries.dtypes)[query]
     shape = f"{query} {kind}, symbol_id long, chunk_index long, start_line long, end_line long, cosine double"
     stored = vectors.select(*LINES, "embedding")
-    rows = asked.limit(MAX_QUERIES + 1).collect()
-    if len(rows) <= MAX_QUERIES:
-        sides = vectors.sparkSession.sparkContext.broadcast(_sides((r[query], r["vec"]) for r in rows))
+    rows = asked.limit(MAX_QUERIES * MATRICES + 1).toArrow()
+    if rows.num_rows <= MAX_QUERIES * MATRICES:
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield from _best(batch, 4, sides.value, min_cosine, k, query)
+        def against(some: pa.Table) -> DataFrame:
+            sides = vectors.sparkSession.sparkContext.broadcast(_sides(zip(*(c.to_pylist() for c in some.columns))))
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                best = _Best(sides.value, 4, min_cosine, k)
+                for batch in batches:
+                    best.take(batch)
+                yield from best.rows(query)
+
+            return stored.mapInArrow(run, shape)
 
-        scored = stored.mapInArrow(run, shape)
+        scored = reduce(DataFrame.unionByName, [against(rows.slice(lo, MAX_QUERIES)) for lo in range(0, max(1, rows.num_rows), MAX_QUERIES)])
     else:
         blocks = -(-asked.count() // MAX_QUERIES)
         splits = max(1, vectors.sparkSession.sparkContext.defaultParallelism // blocks)
@@ -92,7 +130,7 @@ def vector_leg(vectors: DataFrame, queries: DataFrame, *, min_cosine: float = 0.
         right = stored.withColumn("_b", all_of(blocks)).select(tile(F.col("_b"), F.xxhash64("symbol_id", "chunk_index")), F.lit(1).alias("_kind"), F.lit(None).cast(kind).alias(query), F.lit(None).cast("array<double>").alias("vec"), *LINES, F.col("embedding").cast("array<float>").alias("embedding"))
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, got, sides = None, [], None
+            held, got, best = None, [], None
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -100,13 +138,17 @@ def vector_leg(vectors: DataFrame, queries: DataFrame, *, min_cosine: float = 0.
                 edges = [0, *(1 + np.flatnonzero((t[1:] != t[:-1]) | (what[1:] != what[:-1]))).tolist(), len(t)]
                 for lo, hi in zip(edges, edges[1:]):
                     if t[lo] != held:
-                        held, got, sides = t[lo], [], None
+                        if best is not None:
+                            yield from best.rows(query)
+                        held, got, best = t[lo], [], None
                     part = batch.slice(lo, hi - lo)
                     if what[lo] == 0:
                         got += zip(part.column(2).to_pylist(), part.column(3).to_pylist())
                     elif got:
-                        sides = _sides(got) if sides is None else sides
-                        yield from _best(part, 8, sides, min_cosine, k, query)
+                        best = _Best(_sides(got), 8, min_cosine, k) if best is None else best
+                        best.take(part)
+            if best is not None:
+                yield from best.rows(query)
 
         scored = left.unionByName(right).repartition("_tile").sortWithinPartitions("_tile", "_kind").mapInArrow(meet, shape)
     one = Window.partitionBy(query, "symbol_id").orderBy(F.col("cosine").desc(), "start_line", "chunk_index")

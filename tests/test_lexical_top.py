@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions.params import Bm25Params
-from cairn.operators import lexical, lexical_top
+from cairn.operators import lexical, lexical_top, vectors
 from cairn.plans import queries as plans
 
 WORDS = ["alpha", "beta", "gamma", "delta", "Über", "x1", "fetch", "header"]
@@ -46,7 +47,7 @@ def test_weights_that_are_no_whole_numbers(corpus):
     docs, asked = corpus
     p = Bm25Params(weights=(0.3, 1.7))
     want = lexical.top(lexical.search(docs, asked, "k", ["t", "u"], p), 9, [F.col("bm25").desc(), F.col("k").asc()])
-    assert _rows(lexical_top.search_top(docs, asked, "k", ["t", "u"], 9, p=p)) == _rows(want)
+    assert _rows(lexical_top.search_top(docs.unionAll(docs), asked, "k", ["t", "u"], 9, p=p)) == _rows(want)  # repeated rows count once
 
 
 def test_nothing_to_search(corpus):
@@ -89,3 +90,34 @@ def test_chunks_without_rows_for_all_pairs(spark, tables):
     got = []
     assert most_rows(spark, lambda: got.append(plans.bm25_chunks_topk(spark, tables).count())) < 40_000
     assert got == [60 * 50]
+
+
+def test_hybrid_without_rows_for_all_pairs(spark, tables):
+    got = []
+    assert most_rows(spark, lambda: got.append(plans.hybrid_lexical_only(spark, tables).count())) < 40_000
+    assert 0 < got[0] <= 60 * 5
+
+
+@pytest.mark.parametrize("blocks", [1, 100])
+def test_vectors_by_small_steps(spark, monkeypatch, blocks):
+    """Candidates that are dropped on the way change nothing: against all cosines, with equal ones."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(240, 4)).astype(np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[60:120] = v[:60]
+    v = v.astype(np.float32).astype(float)
+    e = spark.createDataFrame([(i // 2, i % 2, None if i % 5 == 0 else i, i, x.tolist()) for i, x in enumerate(v)], "symbol_id long, chunk_index long, start_line long, end_line long, embedding array<float>")
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:40])], "query_id long, vec array<double>")
+    want = []
+    for i in range(40):
+        c = np.round(np.clip(v @ v[i], 0, 1), 9)
+        best = {}
+        for j in sorted(range(240), key=lambda j: (-c[j], -1 if j % 5 == 0 else j, j % 2)):
+            if c[j] >= 0.2:
+                best.setdefault(j // 2, j)
+        for rank, j in enumerate(sorted(best.values(), key=lambda j: (-c[j], j // 2))[:6], 1):
+            want.append((i, j // 2, j % 2, None if j % 5 == 0 else j, j, c[j], rank))
+    for name, value in (("CELLS", 300), ("KEPT", 1), ("ROWS", 7), ("MAX_QUERIES", 9), ("MATRICES", blocks)):
+        monkeypatch.setattr(vectors, name, value)
+    got = vectors.vector_leg(e.unionAll(e), q, min_cosine=0.2, k=6)
+    assert sorted(map(tuple, got.collect()), key=lambda r: (r[0], r[6])) == want
