@@ -121,3 +121,22 @@ def test_vectors_by_small_steps(spark, monkeypatch, blocks):
         monkeypatch.setattr(vectors, name, value)
     got = vectors.vector_leg(e.unionAll(e), q, min_cosine=0.2, k=6)
     assert sorted(map(tuple, got.collect()), key=lambda r: (r[0], r[6])) == want
+
+
+def test_names_without_rows_for_all_pairs(spark, tables, tmp_path):
+    """75 symbols asked by three names that 500 chunks each have."""
+    c, s = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("symbol_chunks", "symbols"))
+    c.withColumn("fts_name", F.expr("concat('name', symbol_id % 3)")).write.parquet(f"{tmp_path}/symbol_chunks.parquet")
+    s.withColumn("name", F.expr("concat('name', symbol_id % 3)")).write.parquet(f"{tmp_path}/symbols.parquet")
+    got = []
+    assert most_rows(spark, lambda: got.extend(plans.identifier_eval(spark, str(tmp_path)).collect())) < 20_000
+    assert tuple(got[0]) == (75, 1.0, 1.0)
+
+
+def test_known_items_without_rows_for_all_pairs(spark, tables):
+    spark.range(60).selectExpr("id as query_id", "id as symbol_id", "3 as grade").write.parquet(f"{tables}/judgments.parquet")
+    spark.range(60).selectExpr("id as hit_id", "id as query_id", "id as symbol_id").write.parquet(f"{tables}/search_hits.parquet")
+    spark.range(60).selectExpr("id as symbol_id", "0L as chunk_index", "1L as start_line", "2L as end_line", "transform(sequence(0, 63), x -> float(if(x = id, 1, 0))) as embedding").write.parquet(f"{tables}/symbol_embeddings.parquet")
+    got = []
+    assert most_rows(spark, lambda: got.extend(plans.known_item_eval(spark, tables).collect())) < 40_000
+    assert tuple(got[0]) == (60, 1.0, 1.0, 1.0)
